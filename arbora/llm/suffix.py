@@ -244,8 +244,7 @@ def _over_blocks(docs: DataFrame, benchmark: DataFrame, p: SuffixParams, id_col:
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated."""
-    ids = contamination(docs, benchmark, p, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(ids, F.col(id_col) == F.col("_id"), "left_anti")
+    return docs.join(contamination(docs, benchmark, p, id_col, text_col).where("contaminated").select(id_col).distinct(), id_col, "left_anti")
 
 
 def items_sha256(names) -> str:
