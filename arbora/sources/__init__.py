@@ -1 +1 @@
-
+"""Readers and writers of graph and tree files."""
