@@ -5,8 +5,9 @@ fewer words the whole sequence is the one shingle). Documents with equal sets ar
 
 1. Each class gets `bands * rows` minima of multiply-shift hashes; each band of `rows` minima names a bucket. A pair at
    similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7.
-2. In each bucket one member, the one with the most company over all of its buckets, is paired with each other member:
-   as many pairs as members, however large the bucket is.
+2. The hub of a bucket is the member with the most company over all of its buckets. Each class is first paired with the
+   best of its buckets' hubs, then with its other hubs as far as they still are in other components: at most as many
+   pairs as members, however large a bucket is.
 3. Pairs pass if their signatures agree on nearly the threshold's share of the minima (5 standard errors below it), and
    are then confirmed on their full sets.
 4. Links make components. Buckets that still hold several components are gone through again: members outside of the
@@ -39,7 +40,8 @@ class MinHashParams:
     rows: int = 5
     #: How far below the threshold a signature's agreement may lie.
     margin: float = 0.15
-    #: Buckets of more members are compared block by block.
+    #: Buckets of more members are compared block by block, in blocks of that many members.
+    few: int = 32
     block: int = 512
     seed: int = 97
 
@@ -174,6 +176,17 @@ def star_components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    if links.isEmpty():
+        return roots
+    return common.saved(star_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
+
+
 def _rest(members: DataFrame, hubs: DataFrame, roots: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
     """Pairs of bucket members in different components that haven't been compared: those without the bucket's hub."""
     own = members.join(roots.toDF("id", "root"), "id", "left").select("key", "m", "id", F.coalesce("root", "id").alias("c"))
@@ -182,11 +195,11 @@ def _rest(members: DataFrame, hubs: DataFrame, roots: DataFrame, classes: DataFr
     hub = roots.toDF("hub", "hub_root")
     own = common.saved(own.join(hub, "hub", "left").withColumn("minor", F.expr("c <> coalesce(hub_root, hub)")).where("id <> hub").drop("hub_root"), "open")
     minor = own.where("minor").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    few = own.where(f"m <= {p.block}").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("minor").alias("mb"))
+    few = own.where(f"m <= {p.few}").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("minor").alias("mb"))
     pairs = minor.join(few, "key").where("ca <> cb and (a < b or not mb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     kind = classes.schema["id"].dataType.simpleString()
-    large = own.where(f"m > {p.block}").join(classes.select("id", "n", "sig"), "id").withColumn("blocks", F.ceil(F.col("m") / p.block).cast("int"))
+    large = own.where(f"m > {p.few}").join(classes.select("id", "n", "sig"), "id").withColumn("blocks", F.ceil(F.col("m") / p.block).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     left = large.where("minor").select("key", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "c", "n", "sig")
     right = large.select("key", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), "id", "c", "n", "sig")
@@ -219,17 +232,18 @@ def components(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str
     shared = spots.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = common.saved(spots.join(shared, "key").select("key", "m", "id"), "members")
     company = members.groupBy("id").agg(F.sum("m").alias("w"))
-    hubs = members.join(company, "id").groupBy("key").agg(F.max(F.struct("w", "id"))["id"].alias("hub"))
+    hubs = members.join(company, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("x")).select("key", F.col("x.id").alias("hub"), F.col("x.w").alias("w"))
     hubs = common.saved(hubs, "hubs")
-    star = members.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     sets = common.saved(full_sets(docs, classes.join(company.select("id"), "id", "left_semi"), p, id_col, text_col), "sets")
-    first = common.saved(confirmed(likely(star, classes, p), sets, p), "links")
-    roots = common.saved(star_components(first), "roots")
 
-    second = common.saved(confirmed(_rest(members, hubs, roots, classes, p), sets, p), "links")
-    if not second.isEmpty():
-        joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second)
-        roots = common.saved(star_components(joined), "roots")
+    star = members.join(hubs, "key").where("id <> hub")
+    best = star.groupBy("id").agg(F.max(F.struct("w", "hub"))["hub"].alias("hub"))
+    tested = common.saved(_pairs(best).distinct(), "pairs")
+    roots = common.saved(star_components(common.saved(confirmed(likely(tested, classes, p), sets, p), "links")), "roots")
+    apart = star.select("id", "hub").distinct().join(roots.toDF("id", "ri"), "id", "left").join(roots.toDF("hub", "rh"), "hub", "left").where("coalesce(ri, id) <> coalesce(rh, hub)")
+    more = common.saved(_pairs(apart).join(tested, ["a", "b"], "left_anti"), "pairs")
+    roots = _joined(roots, common.saved(confirmed(likely(more, classes, p), sets, p), "links"))
+    roots = _joined(roots, common.saved(confirmed(_rest(members, hubs.drop("w"), roots, classes, p), sets, p), "links"))
     common.forget(sets)
 
     reps = classes.select("k1", "k2", F.col("id").alias("rep")).join(roots.toDF("rep", "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))

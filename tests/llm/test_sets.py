@@ -58,7 +58,7 @@ def corpus(rng):
 def test_components_against_brute_force(spark, rng):
     rows = corpus(rng)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for p in (minhash.MinHashParams(shingle=2), minhash.MinHashParams(), minhash.MinHashParams(shingle=2, block=4)):
+    for p in (minhash.MinHashParams(shingle=2), minhash.MinHashParams(), minhash.MinHashParams(shingle=2, few=4, block=4)):
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.components(docs, p).collect())
         assert got == brute_components(rows, p.shingle)
 
