@@ -14,7 +14,7 @@ from arbora.plans.shared import forget, saved
 def components(arcs: DataFrame, limit: int | None = None) -> DataFrame:
     """(node, component): the smallest node that each node reaches. arcs: symmetric; self-loops make a node of their own known."""
     arcs = saved(arcs.select("src", "dst"), "arcs")
-    hooks = _hooks(arcs.where("src > dst"), limit)
+    hooks = saved(_hooks(arcs.where("src > dst"), limit), "hooks")
     parent = roots(hooks.select(F.col("src").alias("node"), F.col("dst").alias("parent")).unionByName(_tops(arcs, hooks)), limit)
     return parent.select("node", F.col("root").alias("component"))
 

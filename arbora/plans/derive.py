@@ -61,10 +61,10 @@ def geographic_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geographic_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, x, y): each order with its customer's number's supplier-like mix: order k against the customer ((7 k) mod customers) + 1."""
+    """(qid, x, y): order k against customer (7 k) mod the number of customers."""
     n = table(spark, sf_dir, "customer").count()
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(key.alias("qid"), (key + ORDER).alias("x"), ((7 * key) % max(n, 1) + 1 + CUSTOMER).alias("y"))
+    return table(spark, sf_dir, "orders").select(key.alias("qid"), (key + ORDER).alias("x"), ((7 * key) % max(n, 1) + CUSTOMER).alias("y"))
 
 
 # --- the same in DuckDB SQL -------------------------------------------------------------------
@@ -91,4 +91,4 @@ def geographic_tree_sql() -> str:
 
 
 def geographic_queries_sql() -> str:
-    return f"SELECT o_orderkey AS qid, o_orderkey + {ORDER}::BIGINT AS x, (7 * o_orderkey) % (SELECT count(*) FROM customer) + 1 + {CUSTOMER}::BIGINT AS y FROM orders"
+    return f"SELECT o_orderkey AS qid, o_orderkey + {ORDER}::BIGINT AS x, (7 * o_orderkey) % (SELECT count(*) FROM customer) + {CUSTOMER}::BIGINT AS y FROM orders"

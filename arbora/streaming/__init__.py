@@ -1 +1 @@
-
+"""Queries as a stream."""
