@@ -1,22 +1,27 @@
-"""Breadth-first search: a join of the frontier with the arcs for each level. For graphs of small depth."""
+"""Breadth-first search: one task for graphs that fit it, else a join of the frontier with the arcs for each level."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.plans.pointer import fits, one_group
 from arbora.plans.shared import forget, saved
 
 from .graph import top_degree
 
 
-def bfs(arcs: DataFrame, start: int | DataFrame, max_levels: int | None = None) -> DataFrame:
+def bfs(arcs: DataFrame, start: int | DataFrame, max_levels: int | None = None, limit: int | None = None) -> DataFrame:
     """(node, distance, parent) of the nodes that start (a node, or a DataFrame of nodes of different components) reaches.
 
     parent is the smallest neighbour one level up, null at the start. arcs: symmetric.
     """
     starts = arcs.sparkSession.range(1).select(F.lit(start).cast("long").alias("node")) if isinstance(start, int) else start
     arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct(), "arcs")
+    if max_levels is None and fits(arcs, limit) and fits(starts, limit):
+        return one_group(arcs).cogroup(one_group(starts.select(F.col("node").cast("long")))).applyInPandas(_levels, "node long, distance long, parent long")
     seen = saved(starts.select(F.col("node").cast("long").alias("node"), F.lit(0).cast("long").alias("distance"), F.lit(None).cast("long").alias("parent")), "bfs")
     front, level, parts = seen, 0, [seen]
     while max_levels is None or level < max_levels:
@@ -41,6 +46,31 @@ def bfs(arcs: DataFrame, start: int | DataFrame, max_levels: int | None = None)
     return out
 
 
+def _levels(arcs: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """bfs() of a graph that one task holds."""
+    ids, ends = np.unique(np.concatenate([arcs["src"], arcs["dst"], starts["node"]]), return_inverse=True)
+    src, dst, first = np.split(ends, [len(arcs), 2 * len(arcs)])
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    at = np.searchsorted(src, np.arange(len(ids) + 1))
+    distance, parent = np.full(len(ids), -1), np.full(len(ids), -1)
+    front, level = np.unique(first), 0
+    distance[front] = 0
+    while len(front):
+        level += 1
+        size = at[front + 1] - at[front]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[front], size)
+        to, up = dst[place], np.repeat(front, size)
+        new = distance[to] < 0
+        to, up = to[new], up[new]
+        front, best = np.unique(to, return_index=True)  # front is ascending, so the first is the smallest parent
+        distance[front], parent[front] = level, up[best]
+    seen = distance >= 0
+    up = pd.array(ids[np.maximum(parent, 0)], dtype="Int64")
+    up[parent < 0] = pd.NA
+    return pd.DataFrame({"node": ids[seen], "distance": distance[seen], "parent": up[seen]})
+
+
 def with_unreached(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """found with all nodes (node); distance is null where start doesn't reach."""
     return nodes.join(found, "node", "left")

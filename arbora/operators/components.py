@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.plans.pointer import fits, roots
+from arbora.plans.pointer import fits, one_group, roots
 from arbora.plans.shared import forget, saved
 
 
@@ -46,7 +46,7 @@ def _hooks(edges: DataFrame, limit: int | None) -> DataFrame:
             far = low != np.arange(len(ids))
             return pd.DataFrame({"src": ids[far], "dst": ids[low[far]]})
 
-        return edges.groupBy(F.lit(0)).applyInPandas(solve, "src long, dst long")
+        return one_group(edges).applyInPandas(solve, "src long, dst long")
     was = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -88,9 +88,9 @@ def spanning_forest(arcs: DataFrame, limit: int | None = None) -> DataFrame:
                     up[b] = b = up[up[b]]
                 keep.append(a != b)
                 up[max(a, b)] = min(a, b)
-            return own[keep]
+            return own.loc[keep, ["src", "dst"]]
 
-        return edges.groupBy(F.lit(0)).applyInPandas(solve, "src long, dst long")
+        return one_group(edges).applyInPandas(solve, "src long, dst long")
     live = edges.select(F.col("src").alias("ca"), F.col("dst").alias("cb"), "src", "dst")
     kept = None
     while True:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.bits import msb, shl
-from arbora.plans.pointer import fits
+from arbora.plans.pointer import fits, one_group
 from arbora.plans.shared import saved
 
 
@@ -33,7 +33,7 @@ def interval_minmax(values: DataFrame, asked: DataFrame, limit: int | None = Non
                 lo[at], hi[at] = np.minimum(lows[0][x], lows[0][y]), np.maximum(highs[0][x], highs[0][y])
             return pd.DataFrame({"key": q["key"], "lo": lo, "hi": hi})
 
-        return values.groupBy(F.lit(0)).cogroup(asked.groupBy(F.lit(0))).applyInPandas(solve, f"key {kind}, lo long, hi long")
+        return one_group(values).cogroup(one_group(asked)).applyInPandas(solve, f"key {kind}, lo long, hi long")
     asked = saved(asked.withColumn("k", msb(F.col("last") - F.col("first") + 1)), "rmq-asked")
     deepest = asked.agg(F.max("k")).first()[0]
     level, table = values, values.withColumn("k", F.lit(0))

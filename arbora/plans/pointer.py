@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .shared import forget, saved
@@ -22,6 +22,11 @@ def fits(df: DataFrame, limit: int | None = None) -> bool:
     return df.limit((LOCAL_ROWS if limit is None else limit) + 1).count() <= (LOCAL_ROWS if limit is None else limit)
 
 
+def one_group(df: DataFrame) -> GroupedData:
+    """All rows as one group; for tables that fits() has counted."""
+    return df.withColumn("_all", F.lit(0)).groupBy("_all")
+
+
 def jump(next_: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ends of the chains i -> next_[i] (an end points to itself) and the sums over each chain without its end's entry."""
     sums = [np.where(next_ == np.arange(len(next_)), 0, s) for s in sums]
@@ -56,7 +61,7 @@ def list_rank(links: DataFrame, head: int | None = None, limit: int | None = Non
             left = jump(to, np.ones(len(ids), np.int64))[1]
             return pd.DataFrame({"id": ids, "rank": len(ids) - 1 - left})
 
-        return links.withColumn("next", F.coalesce("next", "id")).groupBy(F.lit(0)).applyInPandas(solve, "id long, rank long")
+        return one_group(links.withColumn("next", F.coalesce("next", "id"))).applyInPandas(solve, "id long, rank long")
     now = links.select("id", F.col("next").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left"))
     n = links.count()
     reach = 1
@@ -80,7 +85,7 @@ def roots(parents: DataFrame, limit: int | None = None) -> DataFrame:
             root, level = jump(to, np.ones(len(ids), np.int64))
             return pd.DataFrame({"node": ids, "root": ids[root], "level": level})
 
-        return parents.withColumn("parent", F.coalesce("parent", "node")).groupBy(F.lit(0)).applyInPandas(solve, "node long, root long, level long")
+        return one_group(parents.withColumn("parent", F.coalesce("parent", "node"))).applyInPandas(solve, "node long, root long, level long")
     now = parents.select("node", F.coalesce("parent", "node").alias("to"), F.col("parent").isNotNull().cast("long").alias("level"))
     while True:
         far = now.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("level").alias("level2"))

@@ -44,10 +44,10 @@ BFS = """bfs(v, d) USING KEY (v) AS (SELECT min(u), 0::BIGINT FROM arcs UNION
 par AS (SELECT x.v AS v, min(y.v) AS p FROM bfs x JOIN arcs ON arcs.u = x.v JOIN bfs y ON y.v = arcs.v AND y.d = x.d - 1 GROUP BY x.v)"""
 SEARCH_TREE = "t AS (SELECT bfs.v AS node, par.p AS parent FROM bfs LEFT JOIN par ON par.v = bfs.v)"
 CLOSURE = "anc(v, a, h) AS (SELECT node, node, 0::BIGINT FROM t UNION ALL SELECT anc.v, t.parent, h + 1 FROM anc JOIN t ON t.node = anc.a WHERE t.parent IS NOT NULL)"
-#: Children of p are visited from those above p upwards, then those below; at the root plainly upwards.
+#: A node's children are visited from those above its own parent upwards, then those below; at the root plainly upwards.
 NUMBERS = """lev AS (SELECT v AS node, max(h) AS level FROM anc GROUP BY v),
 sz AS (SELECT a AS node, count(*) AS size FROM anc GROUP BY a),
-sib AS (SELECT t.node, CASE WHEN t.parent IS NULL THEN 0 ELSE 1 + coalesce(sum(sz.size) OVER (PARTITION BY t.parent ORDER BY (CASE WHEN up.parent IS NULL OR t.node > t.parent THEN 0 ELSE 1 END), t.node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS s
+sib AS (SELECT t.node, CASE WHEN t.parent IS NULL THEN 0 ELSE 1 + coalesce(sum(sz.size) OVER (PARTITION BY t.parent ORDER BY (CASE WHEN up.parent IS NULL OR t.node > up.parent THEN 0 ELSE 1 END), t.node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS s
   FROM t JOIN sz USING (node) LEFT JOIN t up ON up.node = t.parent),
 num AS (SELECT anc.v AS node, 1 + sum(sib.s) AS pre FROM anc JOIN sib ON sib.node = anc.a GROUP BY anc.v),
 nodes AS (SELECT t.node AS node, t.parent AS parent, CAST(lev.level AS BIGINT) AS level, CAST(num.pre AS BIGINT) AS pre, CAST(sz.size AS BIGINT) AS size FROM t JOIN lev USING (node) JOIN sz USING (node) JOIN num USING (node))"""

@@ -105,9 +105,10 @@ def test_largest_component(spark):
 
 def test_search(spark):
     edges = CASES["two cycles and an edge"] + [(30, 31)]
-    found = search.bfs(arcs_of(spark, edges), 0)
-    assert {r.node: r.distance for r in found.collect()} == brute.distances(edges, 0)
-    assert {r.node: r.parent for r in found.collect()}[4] == 3
+    for limit in (0, None):
+        found = search.bfs(arcs_of(spark, edges), 0, limit=limit)
+        assert {r.node: r.distance for r in found.collect()} == brute.distances(edges, 0)
+        assert {r.node: r.parent for r in found.collect()} == {0: None, 1: 0, 2: 0, 3: 2, 4: 3, 5: 3}
     assert tuple(search.eccentricity(found).first()) == (3, 4)
 
 
