@@ -39,9 +39,12 @@ class LineParams:
     min_diversity: float = 0.5
 
 
-def masked(line: Column) -> Column:
-    """The line with one space between tokens and variable fields masked."""
-    plain = F.trim(F.regexp_replace(line, r"\s+", " "))
+def _plain(line: Column) -> Column:
+    """The line with one space between tokens."""
+    return F.trim(F.regexp_replace(line, r"\s+", " "))
+
+
+def _fields_masked(plain: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
 
 
@@ -49,25 +52,35 @@ def _tokens(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def leaf(line: Column, p: LineParams) -> Column:
-    words = _tokens(line)
+def leaf(words: Column, p: LineParams) -> Column:
     return F.xxhash64(F.size(words), *[F.get(words, F.lit(i)) for i in range(p.lead)])
 
 
-def _minima(tokens: Column) -> list[Column]:
-    """Minima of the hashed pairs of neighbouring tokens under FAMILIES hash functions."""
-    words = F.transform(tokens, lambda w: F.xxhash64(w))
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.xxhash64(a, b))).otherwise(words)
+def _pairs(hashes: Column) -> Column:
+    """Hashed pairs of neighbours; a lone one is itself."""
+    n = F.size(hashes) - 1
+    return F.when(n > 0, F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b))).otherwise(hashes)
 
-    def least(k: int) -> Column:
-        return F.array_min(F.transform(pairs, lambda x: F.xxhash64(x, F.lit(k))))
 
-    return [least(k).alias(f"m{k}") for k in range(FAMILIES)]
+def _least(pairs: Column, k: int) -> Column:
+    return F.array_min(F.transform(pairs, lambda x: F.xxhash64(x, F.lit(k)))).alias(f"m{k}")
+
 
+def _split(df: DataFrame, text_col: str, distinct: bool) -> DataFrame:
+    """Adds _own (masked lines) and _tokens. Each step is a column of its own: lambdas evaluate what they repeat anew."""
+    plain = F.transform(_lines(F.col(text_col)), _plain)
+    own = F.transform(F.col("_plain"), _fields_masked)
+    df = df.withColumn("_plain", F.filter(F.array_distinct(plain), lambda x: x != "") if distinct else plain)
+    df = df.withColumn("_own", F.array_distinct(own) if distinct else own).drop("_plain")
+    return df.withColumn("_tokens", F.transform("_own", _tokens))
 
-def _mark(line: Column, p: LineParams) -> Column:
-    own = masked(line)
-    return F.when(own != "", F.struct(leaf(own, p).alias("leaf"), F.xxhash64(own).alias("sig"), F.size(_tokens(own)).alias("tokens"), *_minima(_tokens(own))))
+
+def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
+    """Adds lines: (leaf, sig, tokens, m0...) of the text's distinct lines."""
+    df = _split(df, text_col, True)
+    df = df.withColumn("_pairs", F.transform(F.transform("_tokens", lambda t: F.transform(t, lambda w: F.xxhash64(w))), _pairs))
+    each = F.arrays_zip("_own", "_tokens", "_pairs")
+    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_tokens"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), F.size(z["_tokens"]).alias("tokens"), *[_least(z["_pairs"], k) for k in range(FAMILIES)])))
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -116,8 +129,7 @@ def _recurs(p: LineParams) -> Column:
 
 def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(marks, found): (key, lines) of each document with the distinct (leaf, sig, tokens, m0...) of its lines; (leaf, sig) of the lines to drop."""
-    text = F.col(text_col)
-    marks = docs.select(_key(id_col, text_col).alias("key"), F.array_distinct(F.filter(F.transform(_lines(text), lambda x: _mark(x, p)), lambda x: x.isNotNull())).alias("lines"))
+    marks = _marks(docs.select(_key(id_col, text_col).alias("key"), text_col), text_col, p)
     marks = common.saved(marks.select("key", "lines", *_two_least()), "line-marks")
 
     each = marks.select(F.explode("lines").alias("x"), *[f"t{k}" for k in range(FAMILIES)]).select("x", *[f.alias(f"f{i}") for i, f in enumerate(_families())])
@@ -139,8 +151,8 @@ def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_
 
 def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LineParams, text_col: str) -> DataFrame:
     """The rows of lines that share their leaf's template. opened: (leaf, docs) of the leaves that hold different lines."""
-    text = docs.select(F.explode(F.array_distinct(_lines(F.col(text_col)))).alias("line")).select(masked(F.col("line")).alias("line")).where("line <> ''")
-    text = text.select(leaf(F.col("line"), p).alias("leaf"), F.xxhash64("line").alias("sig"), "line").join(opened, "leaf")
+    text = _split(docs.select(text_col), text_col, True).select(F.explode("_own").alias("line"))
+    text = text.select(leaf(_tokens(F.col("line")), p).alias("leaf"), F.xxhash64("line").alias("sig"), "line").join(opened, "leaf")
     # First by leaf and sig, so that a line of many documents travels once for each task.
     text = common.saved(text.groupBy("leaf", "sig").agg(F.first("line").alias("line"), F.first("docs").alias("docs")), "line-texts")
     spots = text.join(lines.select("leaf", "sig", "n"), ["leaf", "sig"]).select("leaf", "sig", "n", "docs", F.posexplode(_tokens(F.col("line"))).alias("place", "token")).where(F.col("place") >= p.lead)
@@ -157,15 +169,12 @@ def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "d
     hits = marks.select("key", F.explode("lines").alias("x")).select("key", "x.leaf", "x.sig").join(found, ["leaf", "sig"])
     gone = hits.groupBy("key").agg(F.collect_set(F.struct("leaf", "sig")).alias("_gone"))  # the lines of one document
     text = F.col(text_col)
-
-    def stays(x: Column) -> Column:
-        own = masked(x)
-        return ~F.array_contains(F.col("_gone"), F.struct(leaf(own, p).alias("leaf"), F.xxhash64(own).alias("sig"))) | (own == "")
-
-    clashing = [c for c in docs.columns if c in ("n_lines", "n_dropped", "_gone", "_key")]
+    clashing = [c for c in docs.columns if c in ("n_lines", "n_dropped", "_gone", "_key", "_cut", "_plain", "_own", "_tokens", "_marks", "_left")]
     out = docs.drop(*clashing).withColumn("_key", _key(id_col, text_col)).join(gone.withColumnRenamed("key", "_key"), "_key", "left")
-    left = F.when(F.col("_gone").isNotNull(), F.filter(_lines(text), stays))
+    out = _split(out.withColumn("_cut", F.when(F.col("_gone").isNotNull(), text)), "_cut", False)
+    out = out.withColumn("_marks", F.transform(F.arrays_zip("_own", "_tokens"), lambda z: F.struct(leaf(z["_tokens"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"))))
+    left = F.when(F.col("_gone").isNotNull(), F.filter(_lines(text), lambda x, i: ~F.array_contains(F.col("_gone"), F.get(F.col("_marks"), i))))
     lines = F.size(_lines(text))
     out = out.withColumn("_left", left).withColumn("n_lines", F.when(text.isNull() | (text == ""), 0).otherwise(lines).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(lines - F.size("_left"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_gone").isNotNull(), F.array_join("_left", "\n")).otherwise(text)).drop("_key", "_gone", "_left")
+    return out.withColumn(text_col, F.when(F.col("_gone").isNotNull(), F.array_join("_left", "\n")).otherwise(text)).drop("_key", "_gone", "_left", "_cut", "_own", "_tokens", "_marks")
