@@ -163,7 +163,9 @@ def bootstrap(mentions: DataFrame, p: PiiParams) -> tuple[DataFrame, DataFrame]:
         confident = held.join(totals, "pattern").select("pattern", "kind", F.round(F.col("s") / (F.col("total") + p.smoothing), 9).alias("confidence")).where(F.col("confidence") >= p.min_confidence)
         confident = common.saved(confident, "pii-patterns")
         miss = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))
-        scored = graph.join(confident, "pattern").groupBy("value", "kind").agg(F.round(1 - F.exp(miss), 9).alias("score")).where(F.col("score") >= p.min_score)
+        # What is spelt like an address can only be one, and nothing else can.
+        alike = F.col("value").rlike(r"@|\(at\)|\[at\]") == (F.col("kind") == "email")
+        scored = graph.join(confident, "pattern").where(alike).groupBy("value", "kind").agg(F.round(1 - F.exp(miss), 9).alias("score")).where(F.col("score") >= p.min_score)
         best = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
         found = common.saved(best.join(known.select("value").distinct(), "value", "left_anti"), "pii-found")
     return found, confident

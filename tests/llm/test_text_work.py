@@ -134,7 +134,7 @@ def test_contamination_against_brute_force(spark, rng):
 def test_contamination_odd(spark, odd_docs, no_docs):
     b = spark.createDataFrame([(1, "another word word and another"), (None, "one"), (3, None)], "item_id long, text string")
     rows = suffix.contamination(odd_docs, b).collect()
-    assert len(rows) == 10 and {r.n_hit for r in rows if r.doc_id in (5, 6)} == {1} and max(r.n_hit for r in rows) == 119_999
+    assert len(rows) == 10 and {r.n_hit for r in rows if r.doc_id in (5, 6)} == {1} and max(r.n_hit for r in rows) == 119_997  # all but two words at the start and one at the end
     assert suffix.contamination(no_docs, b).collect() == []
     assert not any(r.contaminated for r in suffix.contamination(odd_docs, b.limit(0)).collect())
 
