@@ -173,7 +173,10 @@ def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "d
     out = docs.drop(*clashing).withColumn("_key", _key(id_col, text_col)).join(gone.withColumnRenamed("key", "_key"), "_key", "left")
     out = _split(out.withColumn("_cut", F.when(F.col("_gone").isNotNull(), text)), "_cut", False)
     out = out.withColumn("_marks", F.transform(F.arrays_zip("_own", "_tokens"), lambda z: F.struct(leaf(z["_tokens"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"))))
-    left = F.when(F.col("_gone").isNotNull(), F.filter(_lines(text), lambda x, i: ~F.array_contains(F.col("_gone"), F.get(F.col("_marks"), i))))
+    # Lines and marks go into one array first: a column that only a lambda reads would be evaluated for each element.
+    both = F.arrays_zip(_lines(F.col("_cut")).alias("line"), F.col("_marks").alias("mark"))
+    kept = F.filter(both, lambda z: ~F.array_contains(F.col("_gone"), z["mark"]))
+    left = F.when(F.col("_gone").isNotNull(), F.transform(kept, lambda z: z["line"]))
     lines = F.size(_lines(text))
     out = out.withColumn("_left", left).withColumn("n_lines", F.when(text.isNull() | (text == ""), 0).otherwise(lines).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(lines - F.size("_left"), F.lit(0)).cast("long"))
