@@ -5,12 +5,11 @@ Tokens with a digit are variable fields from the start. A line's leaf in the tre
 mentions is constant and the others are wildcards: lines that agree with at least `min_constant` of the places after the
 leading ones (as many of which must be constant) share the leaf's template; other lines are templates of their own.
 
-A template recurs if it stands in at least `min_docs` documents (`min_docs_long` from `long_tokens` tokens on) that are
-different texts: copies of a document repeat all of its lines, which isn't boilerplate. What a document is apart from a
-line is marked by `FAMILIES` minima of the hashed token pairs of its other lines, which copies and near copies share. For
-each template the variance of these minima over its documents is compared with that of unrelated documents (sums and sums of squares only, so any number of documents
-aggregates to one row); below `min_diversity` of it the documents are taken for copies. All lines of recurring templates
-are dropped, wherever they stand.
+A template, or an exact line by itself, recurs if it stands in at least `min_docs` families of documents (`min_docs_long`
+from `long_tokens` tokens on): copies of a document repeat all of its lines, which isn't boilerplate. What a document is
+apart from a line is marked by `FAMILIES` minima of the hashed token pairs of its other lines, which copies and near
+copies share. Documents that share a minimum are one family, and so are those that others link; a family counts once,
+whatever its size. All recurring lines, and all lines of recurring templates, are dropped, wherever they stand.
 
 Defined cases: null texts stay null; empty lines are kept and never counted; a line repeated within a document counts
 once; texts without a recurring line stay as they are, byte for byte; rows may repeat, and rows with a null id are taken
@@ -25,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .minhash import star_components
 
-FAMILIES, LANES = 4, 2
+FAMILIES = 4
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,6 @@ class LineParams:
     min_docs_long: int = 3
     long_tokens: int = 50
     min_constant: float = 0.6
-    min_diversity: float = 0.5
 
 
 def _plain(line: Column) -> Column:
@@ -107,24 +106,15 @@ def _families() -> list[Column]:
     return [F.when(own != a, a).otherwise(F.coalesce(b, a)) for a, b, own in both]
 
 
-def _lane(family: Column, j: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(family), 48 - 16 * j).bitwiseAND(0xFFFF)
+def _enough(p: LineParams) -> Column:
+    return (F.col("n") >= p.min_docs) | ((F.col("n") >= p.min_docs_long) & (F.col("tokens") >= p.long_tokens))
 
 
-def _diverse() -> Column:
-    """Mean unbiased variance of the lanes, as a share of that of unrelated documents."""
-    n, total = F.col("n").cast("double"), F.lit(0.0)
-    for j in range(FAMILIES * LANES):
-        total = total + (F.col(f"q{j}").cast("double") - F.col(f"s{j}").cast("double") * F.col(f"s{j}").cast("double") / n)
-    return F.when(n > 1, total / (n - 1) / (FAMILIES * LANES) / (65536.0 * 65536.0 / 12)).otherwise(0.0)
-
-
-_SUMS = ["n", *[f"{c}{j}" for j in range(FAMILIES * LANES) for c in "sq"]]
-
-
-def _recurs(p: LineParams) -> Column:
-    enough = (F.col("n") >= p.min_docs) | ((F.col("n") >= p.min_docs_long) & (F.col("tokens") >= p.long_tokens))
-    return enough & (_diverse() >= p.min_diversity)
+def _counted(rows: DataFrame) -> DataFrame:
+    """(unit, n): how many families the documents of a unit make. rows: (unit, f0...), one or more for each document."""
+    rows = common.saved(rows.select("unit", *[F.xxhash64("unit", F.lit(k), f"f{k}").alias(f"v{k}") for k in range(FAMILIES)]).distinct(), "line-families")
+    roots = star_components(rows.select(F.col("v0").alias("a"), F.explode(F.array(*[f"v{k}" for k in range(1, FAMILIES)])).alias("b")))
+    return rows.select("unit", F.col("v0").alias("id")).distinct().join(roots, "id").select("unit", "root").distinct().groupBy("unit").agg(F.count("*").alias("n"))
 
 
 def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -132,20 +122,22 @@ def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_
     marks = _marks(docs.select(_key(id_col, text_col).alias("key"), text_col), text_col, p)
     marks = common.saved(marks.select("key", "lines", *_two_least()), "line-marks")
 
-    each = marks.select(F.explode("lines").alias("x"), *[f"t{k}" for k in range(FAMILIES)]).select("x", *[f.alias(f"f{i}") for i, f in enumerate(_families())])
-    lanes = [_lane(F.col(f"f{i}"), j) for i in range(FAMILIES) for j in range(LANES)]
-    each = each.select("x.leaf", "x.sig", "x.tokens", *[v.alias(f"v{k}") for k, v in enumerate(lanes)])
-    sums = [F.count("*").alias("n")]
-    for k in range(len(lanes)):
-        sums += [F.sum(f"v{k}").alias(f"s{k}"), F.sum(F.col(f"v{k}") * F.col(f"v{k}")).alias(f"q{k}")]
-    lines = common.saved(each.groupBy("leaf", "sig").agg(F.max("tokens").alias("tokens"), *sums), "lines")
+    each = marks.select(F.explode("lines").alias("x"), *[f"t{k}" for k in range(FAMILIES)]).select("x.leaf", "x.sig", "x.tokens", *[f.alias(f"f{k}") for k, f in enumerate(_families())])
+    ends = [e(f"f{k}") for k in range(FAMILIES) for e in (F.min, F.max)]
+    varied = F.lit(True)  # where a minimum is the same in all documents, they are one family
+    for low, high in zip(ends[::2], ends[1::2], strict=True):
+        varied = varied & (low != high)
+    lines = common.saved(each.groupBy("leaf", "sig").agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"), varied.alias("varied")), "lines")
 
     leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.max("tokens").alias("tokens"))
     opened = leaves.where((F.col("a") != F.col("b")) & (F.col("docs") >= min(p.min_docs, p.min_docs_long)) & (F.col("tokens") > p.lead)).select("leaf", "docs")
     shared = _templates(docs, lines, opened, p, text_col)
-    alone = lines.join(shared.select("leaf", "sig"), ["leaf", "sig"], "left_anti").where(_recurs(p)).select("leaf", "sig")
-    whole = shared.groupBy("leaf").agg(F.max("tokens").alias("tokens"), *[F.sum(c).alias(c) for c in _SUMS]).where(_recurs(p)).select("leaf")
-    found = alone.unionByName(shared.select("leaf", "sig").join(whole, "leaf"))
+    whole = shared.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).where(_enough(p)).select("leaf")
+    asked = lines.where(_enough(p) & F.col("varied")).select("leaf", "sig", "tokens", F.xxhash64(F.lit("line"), "leaf", "sig").alias("unit"))
+    asked = asked.unionByName(shared.join(whole, "leaf").select("leaf", "sig", "tokens", F.xxhash64(F.lit("leaf"), "leaf").alias("unit")))
+    asked = common.saved(asked, "line-units")
+    counted = _counted(each.drop("tokens").join(asked, ["leaf", "sig"]))
+    found = asked.join(counted, "unit").where(_enough(p)).select("leaf", "sig").distinct()
     return marks, common.saved(found, "line-templates")
 
 
@@ -160,7 +152,7 @@ def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LinePara
     constant = often.where("2 * n >= docs").groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
     agree = spots.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "sig").agg(F.count("*").alias("agree"))
     kept = agree.join(lines, ["leaf", "sig"]).where(F.col("agree") >= p.min_constant * (F.col("tokens") - p.lead))
-    return common.saved(kept.select("leaf", "sig", "tokens", *_SUMS), "line-shared")
+    return common.saved(kept.select("leaf", "sig", "tokens", "n"), "line-shared")
 
 
 def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -258,6 +258,15 @@ def test_copies_are_left_alone(spark, rng):
     assert got.agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_lines_in_a_large_family(spark, rng):
+    """A copy family counts once, so it doesn't shield a line that unrelated documents hold as well."""
+    passage, base = prose(rng, "de", 60), [prose(rng, "en", 30) for _ in range(4)]
+    copies = ["\n".join([*base[:3], base[3] + f" word{i % 9}", passage]) for i in range(140)]
+    others = ["\n".join([prose(rng, "fr", 40), passage, prose(rng, "fr", 40)]) for _ in range(20)]
+    got = lines.deduplicated(spark.createDataFrame(list(enumerate(copies + others)), "doc_id long, text string")).collect()
+    assert len(got) == 160 and all(passage not in r.text and r.n_dropped == 1 for r in got)
+
+
 def test_lines_odd(spark, odd_docs, no_docs):
     rows = lines.deduplicated(odd_docs).collect()
     texts = sorted((repr(r.text) for r in odd_docs.collect()))
