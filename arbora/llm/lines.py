@@ -11,6 +11,10 @@ apart from a line is marked by `FAMILIES` minima of the hashed token pairs of it
 copies share. Documents that share a minimum are one family, and so are those that others link; a family counts once,
 whatever its size. All recurring lines, and all lines of recurring templates, are dropped, wherever they stand.
 
+A passage may be broken into short lines. At each place of a document's distinct lines, the shortest run of neighbours
+that has `long_tokens` tokens, forward and backward, is counted like one long line: where it stands in `min_docs_long`
+families of documents, its lines are dropped from the documents that hold the run.
+
 Defined cases: null texts stay null; empty lines are kept and never counted; a line repeated within a document counts
 once; texts without a recurring line stay as they are, byte for byte; rows may repeat, and rows with a null id are taken
 by their text. All columns of the input stay; the added ones are `n_lines` and `n_dropped`.
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,7 +37,7 @@ FAMILIES = 4
 class LineParams:
     lead: int = 3
     min_docs: int = 5
-    min_docs_long: int = 3
+    min_docs_long: int = 2
     long_tokens: int = 50
     min_constant: float = 0.6
 
@@ -117,10 +121,42 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.select("unit", F.col("v0").alias("id")).distinct().join(roots, "id").select("unit", "root").distinct().groupBy("unit").agg(F.count("*").alias("n"))
 
 
-def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(marks, found): (key, lines) of each document with the distinct (leaf, sig, tokens, m0...) of its lines; (leaf, sig) of the lines to drop."""
+def _passages(marks: DataFrame, lines: DataFrame, p: LineParams) -> DataFrame:
+    """(body, leaf, sig): lines of recurring runs, by the document's body. Copies that have the same lines are one body."""
+    own = marks.select("body", F.posexplode("lines").alias("at", "x")).select("body", "at", "x.leaf", "x.sig", "x.tokens")
+    held = own.join(lines.where(F.col("n") >= p.min_docs_long).select("leaf", "sig"), ["leaf", "sig"]).distinct()
+    held = held.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("body").orderBy("at")))
+    held = held.withColumn("all", F.sum("tokens").over(Window.partitionBy("body", "run"))).where(F.col("all") >= p.long_tokens)
+    near, far = Window.partitionBy("body", "run").orderBy("at"), p.long_tokens - 1  # each line has a token at least
+    line = F.struct("tokens", "leaf", "sig")
+    held = held.withColumn("fore", F.collect_list(line).over(near.rowsBetween(0, far))).withColumn("back", F.reverse(F.collect_list(line).over(near.rowsBetween(-far, 0))))
+    size, none = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("lines")), F.lit(None)
+
+    def enough(run: str) -> Column:
+        """How many lines of the run make up long_tokens; null if all don't."""
+        got = F.aggregate(run, size, lambda a, x: F.when(a["tokens"] >= p.long_tokens, a).otherwise(F.struct((a["tokens"] + x["tokens"]).alias("tokens"), (a["lines"] + 1).alias("lines"))))
+        return F.when(got["tokens"] >= p.long_tokens, got["lines"]).otherwise(none)
+
+    held = held.withColumn("nf", enough("fore")).withColumn("nb", enough("back"))
+    fore = held.where("nf > 1").select("body", F.col("at").alias("a"), (F.col("at") + F.col("nf") - 1).alias("b"), F.slice("fore", F.lit(1), F.col("nf")).alias("run"))
+    back = held.where("nb > 1").select("body", (F.col("at") - F.col("nb") + 1).alias("a"), F.col("at").alias("b"), F.reverse(F.slice("back", F.lit(1), F.col("nb"))).alias("run"))
+    runs = fore.unionByName(back).select("body", "a", "b", F.xxhash64(F.lit("run"), "run").alias("unit"), F.lit(p.long_tokens).alias("tokens")).distinct()
+    runs = common.saved(runs, "line-runs")
+    asked = runs.groupBy("unit").agg(F.count("*").alias("n"), F.min("body").alias("x"), F.max("body").alias("y")).where("n > 1 and x <> y").select("unit")
+
+    wanted = common.saved(runs.join(asked, "unit"), "line-runs")
+    bodies = marks.join(wanted.select("body").distinct(), "body", "left_semi").select("body", "lines").dropDuplicates(["body"])
+    rows = wanted.join(bodies, "body").withColumn("rest", F.filter("lines", lambda x, i: (i < F.col("a")) | (i > F.col("b"))))
+    rows = rows.withColumn("rest", F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.col("lines")))
+    rows = rows.select("unit", *[F.array_min(F.col("rest")[f"m{k}"]).alias(f"f{k}") for k in range(FAMILIES)])
+    found = wanted.join(_counted(rows).where(F.col("n") >= p.min_docs_long), "unit").select("body", F.explode(F.sequence("a", "b")).alias("at")).distinct()
+    return common.saved(found.join(own, ["body", "at"]).select("body", "leaf", "sig"), "line-passages")
+
+
+def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marks, found, passages): (key, body, lines) of each document with the distinct (leaf, sig, tokens, m0...) of its lines; (leaf, sig) of the lines to drop; (body, leaf, sig) of those to drop from some documents."""
     marks = _marks(docs.select(_key(id_col, text_col).alias("key"), text_col), text_col, p)
-    marks = common.saved(marks.select("key", "lines", *_two_least()), "line-marks")
+    marks = common.saved(marks.select("key", F.xxhash64(F.col("lines")["sig"]).alias("body"), "lines", *_two_least()), "line-marks")
 
     each = marks.select(F.explode("lines").alias("x"), *[f"t{k}" for k in range(FAMILIES)]).select("x.leaf", "x.sig", "x.tokens", *[f.alias(f"f{k}") for k, f in enumerate(_families())])
     ends = [e(f"f{k}") for k in range(FAMILIES) for e in (F.min, F.max)]
@@ -138,7 +174,7 @@ def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_
     asked = common.saved(asked, "line-units")
     counted = _counted(each.drop("tokens").join(asked, ["leaf", "sig"]))
     found = asked.join(counted, "unit").where(_enough(p)).select("leaf", "sig").distinct()
-    return marks, common.saved(found, "line-templates")
+    return marks, common.saved(found, "line-templates"), _passages(marks, lines, p)
 
 
 def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LineParams, text_col: str) -> DataFrame:
@@ -157,8 +193,9 @@ def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LinePara
 
 def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines of recurring templates dropped from text_col, and n_lines and n_dropped."""
-    marks, found = recurring(docs, p, id_col, text_col)
-    hits = marks.select("key", F.explode("lines").alias("x")).select("key", "x.leaf", "x.sig").join(found, ["leaf", "sig"])
+    marks, found, passages = recurring(docs, p, id_col, text_col)
+    hits = marks.select("key", F.explode("lines").alias("x")).select("key", "x.leaf", "x.sig").join(found, ["leaf", "sig"]).select("key", "leaf", "sig")
+    hits = hits.unionByName(marks.select("key", "body").distinct().join(passages, "body").select("key", "leaf", "sig"))
     gone = hits.groupBy("key").agg(F.collect_set(F.struct("leaf", "sig")).alias("_gone"))  # the lines of one document
     text = F.col(text_col)
     clashing = [c for c in docs.columns if c in ("n_lines", "n_dropped", "_gone", "_key", "_cut", "_plain", "_own", "_tokens", "_marks", "_left")]

@@ -267,6 +267,24 @@ def test_lines_in_a_large_family(spark, rng):
     assert len(got) == 160 and all(passage not in r.text and r.n_dropped == 1 for r in got)
 
 
+def test_passages_of_two_documents(spark, rng):
+    """A long line of two unrelated documents goes, as does a passage that is broken into short lines; short ones stay."""
+    line, parts, few = prose(rng, "de", 60), [prose(rng, "de", n) for n in (24, 20, 22, 4)], prose(rng, "de", 12)
+    bodies = [[prose(rng, "en", 30) for _ in range(4)] for _ in range(30)]
+    texts = [list(b) for b in bodies]
+    for i in (3, 9):
+        texts[i].insert(2, line)
+    for i in (5, 11):
+        texts[i][1:1] = parts
+    for i in (6, 12, 18):
+        texts[i].insert(3, few)
+    for i in range(40):  # copies, near and exact, that hold no more than their own lines
+        texts.append([*bodies[0][:3], bodies[0][3] + (f" word{i}" if i % 2 else "")])
+    want = [[x for x in t if x != line and x not in parts] for t in texts]
+    got = {r.doc_id: r.text for r in lines.deduplicated(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {i: "\n".join(t) for i, t in enumerate(want)}
+
+
 def test_lines_odd(spark, odd_docs, no_docs):
     rows = lines.deduplicated(odd_docs).collect()
     texts = sorted((repr(r.text) for r in odd_docs.collect()))
