@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import partial
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,8 +88,8 @@ def q_degree(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degrees(d.purchase_arcs(spark, sf))
 
 
-def _dense(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    arcs, names = graph.largest_component(d.purchase_arcs(spark, sf, "part", 48))
+def _dense(spark: SparkSession, sf: str, least: float = 48) -> tuple[DataFrame, int]:
+    arcs, names = graph.largest_component(d.purchase_arcs(spark, sf, "part", least))
     return arcs, names.count()
 
 
@@ -97,75 +100,75 @@ dense AS (SELECT s.new AS src, t.new AS dst FROM arcs JOIN names s ON s.old = u
 
 
 @query("q_largest_component_relabel", DENSE + " SELECT src, dst FROM dense")
-def q_largest_component_relabel(spark: SparkSession, sf: str) -> DataFrame:
-    return _dense(spark, sf)[0]
+def q_largest_component_relabel(spark: SparkSession, sf: str, least: float = 48) -> DataFrame:
+    return _dense(spark, sf, least)[0]
 
 
 @query("q_csr_offsets", DENSE + " SELECT new AS src, CAST(coalesce(sum(n) OVER (ORDER BY new ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", n AS degree FROM (SELECT new, (SELECT count(*) FROM dense WHERE src = new) AS n FROM names)")
-def q_csr_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.to_csr(*_dense(spark, sf))
+def q_csr_offsets(spark: SparkSession, sf: str, least: float = 48) -> DataFrame:
+    return graph.to_csr(*_dense(spark, sf, least))
 
 
 @query("q_csr_to_coo", DENSE + " SELECT row_number() OVER (ORDER BY src, dst) - 1 AS arc_id, src, dst FROM dense")
-def q_csr_to_coo(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.from_csr(graph.neighbour_lists(_dense(spark, sf)[0]))
+def q_csr_to_coo(spark: SparkSession, sf: str, least: float = 48) -> DataFrame:
+    return graph.from_csr(graph.neighbour_lists(_dense(spark, sf, least)[0]))
 
 
 @query("q_components", f"WITH RECURSIVE {arcs_sql('part', 45)}, {CC} SELECT v AS node, c AS component FROM cc")
-def q_components(spark: SparkSession, sf: str) -> DataFrame:
-    return components(d.purchase_arcs(spark, sf, "part", 45))
+def q_components(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return components(d.purchase_arcs(spark, sf, "part", least))
 
 
 @query("q_component_sizes", f"WITH RECURSIVE {arcs_sql('part', 48)}, {CC} SELECT c AS component, count(*) AS size FROM cc GROUP BY c")
-def q_component_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.component_sizes(components(d.purchase_arcs(spark, sf, "part", 48)))
+def q_component_sizes(spark: SparkSession, sf: str, least: float = 48) -> DataFrame:
+    return graph.component_sizes(components(d.purchase_arcs(spark, sf, "part", least)))
 
 
 @query("q_spanning_forest_size", f"WITH RECURSIVE {arcs_sql('part', 45)}, {CC} SELECT count(*) - count(DISTINCT c) AS edges FROM cc")
-def q_spanning_forest_size(spark: SparkSession, sf: str) -> DataFrame:
-    return spanning_forest(d.purchase_arcs(spark, sf, "part", 45)).agg(F.count("*").alias("edges"))
+def q_spanning_forest_size(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return spanning_forest(d.purchase_arcs(spark, sf, "part", least)).agg(F.count("*").alias("edges"))
 
 
-def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    arcs = saved(d.purchase_arcs(spark, sf, "supp", 45), "arcs")
+def _search(spark: SparkSession, sf: str, least: float = 45) -> tuple[DataFrame, DataFrame]:
+    arcs = saved(d.purchase_arcs(spark, sf, "supp", least), "arcs")
     return arcs, search.bfs(arcs, arcs.agg(F.min("src")).first()[0])
 
 
 @query("q_bfs_levels", search_sql("SELECT v AS node, d AS distance FROM bfs"))
-def q_bfs_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return _search(spark, sf)[1].select("node", "distance")
+def q_bfs_levels(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return _search(spark, sf, least)[1].select("node", "distance")
 
 
 @query("q_bfs_parent", search_sql("SELECT node, parent FROM t"))
-def q_bfs_parent(spark: SparkSession, sf: str) -> DataFrame:
-    return _search(spark, sf)[1].select("node", "parent")
+def q_bfs_parent(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return _search(spark, sf, least)[1].select("node", "parent")
 
 
 @query("q_bfs_unreached", f"WITH RECURSIVE {arcs_sql('part', 48)}, {BFS} SELECT DISTINCT u AS node, d AS distance FROM arcs LEFT JOIN bfs ON bfs.v = arcs.u")
-def q_bfs_unreached(spark: SparkSession, sf: str) -> DataFrame:
-    arcs = saved(d.purchase_arcs(spark, sf, "part", 48), "arcs")
+def q_bfs_unreached(spark: SparkSession, sf: str, least: float = 48) -> DataFrame:
+    arcs = saved(d.purchase_arcs(spark, sf, "part", least), "arcs")
     found = search.bfs(arcs, arcs.agg(F.min("src")).first()[0])
     return search.with_unreached(found, arcs.select(F.col("src").alias("node")).distinct()).select("node", "distance")
 
 
 @query("q_spanning_tree_bfs", search_sql("SELECT p AS src, v AS dst FROM par"))
-def q_spanning_tree_bfs(spark: SparkSession, sf: str) -> DataFrame:
-    return search.spanning_tree(_search(spark, sf)[1])
+def q_spanning_tree_bfs(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return search.spanning_tree(_search(spark, sf, least)[1])
 
 
 @query("q_eccentricity", search_sql("SELECT max(d) AS ecc FROM bfs"))
-def q_eccentricity(spark: SparkSession, sf: str) -> DataFrame:
-    return search.eccentricity(_search(spark, sf)[1]).select("ecc")
+def q_eccentricity(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return search.eccentricity(_search(spark, sf, least)[1]).select("ecc")
 
 
 @query("q_farthest", search_sql("SELECT min(v) AS farthest FROM bfs WHERE d = (SELECT max(d) FROM bfs)"))
-def q_farthest(spark: SparkSession, sf: str) -> DataFrame:
-    return search.eccentricity(_search(spark, sf)[1]).select("farthest")
+def q_farthest(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return search.eccentricity(_search(spark, sf, least)[1]).select("farthest")
 
 
 @query("q_max_distance", search_sql("SELECT max(d) AS max_distance FROM bfs"))
-def q_max_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.max_distance(_search(spark, sf)[1])
+def q_max_distance(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return stats.max_distance(_search(spark, sf, least)[1])
 
 
 DIAMETER = f"""WITH RECURSIVE {arcs_sql("part", 48)}, {CC}, best AS (SELECT c FROM cc GROUP BY c ORDER BY count(*) DESC, c LIMIT 1),
@@ -177,15 +180,15 @@ far(k, d) USING KEY (k) AS (SELECT new * 1000000 + new, 0::BIGINT FROM names UNI
 
 
 @query("q_diameter_bounds", DIAMETER + " SELECT max(d) AS diam_lb, max(d) AS diam_ub FROM far")
-def q_diameter_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    low, high = search.diameter_bounds(_dense(spark, sf)[0])
+def q_diameter_bounds(spark: SparkSession, sf: str, least: float = 48) -> DataFrame:
+    low, high = search.diameter_bounds(_dense(spark, sf, least)[0])
     return spark.range(1).select(F.lit(low).cast("long").alias("diam_lb"), F.lit(high).cast("long").alias("diam_ub"))
 
 
 @query("q_graph_stats", DIAMETER + " SELECT (SELECT count(*) FROM names) AS n, (SELECT count(*) FROM dense) AS m, (SELECT 2 * (count(*) - 1) FROM names) AS bridges, max(d) AS diam_lb, max(d) AS diam_ub FROM far")
-def q_graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+def q_graph_stats(spark: SparkSession, sf: str, least: float = 48) -> DataFrame:
     """The largest component of lines of 48 and more is a tree at all scales, so all of its arcs are bridges."""
-    return stats.graph_stats(_dense(spark, sf)[0])
+    return stats.graph_stats(_dense(spark, sf, least)[0])
 
 
 # --- tours and numberings --------------------------------------------------------------------
@@ -199,8 +202,8 @@ def q_list_rank(spark: SparkSession, sf: str) -> DataFrame:
     return list_rank(own.join(after, "i", "left").select(F.col("o_orderkey").alias("id"), "next"))
 
 
-def _tour(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    arcs, found = _search(spark, sf)
+def _tour(spark: SparkSession, sf: str, least: float = 45) -> tuple[DataFrame, int]:
+    arcs, found = _search(spark, sf, least)
     found = saved(found, "search")
     root = euler.root_of(found)
     return euler.euler_tour(search.spanning_tree(found), root), root
@@ -210,39 +213,39 @@ def _tour(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     "q_euler_tour",
     search_sql("SELECT parent AS src, node AS dst, 2 * pre - 3 - level AS \"rank\" FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT node, parent, 2 * pre - 3 - level + 2 * size - 1 FROM nodes WHERE parent IS NOT NULL"),
 )
-def q_euler_tour(spark: SparkSession, sf: str) -> DataFrame:
-    return _tour(spark, sf)[0]
+def q_euler_tour(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return _tour(spark, sf, least)[0]
 
 
 @query("q_preorder_size_level", search_sql("SELECT node, parent, level, pre, size FROM nodes"))
-def q_preorder_size_level(spark: SparkSession, sf: str) -> DataFrame:
-    return euler.numbering(*_tour(spark, sf)).drop("down")
+def q_preorder_size_level(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return euler.numbering(*_tour(spark, sf, least)).drop("down")
 
 
-def _from_zero(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    arcs = d.purchase_arcs(spark, sf, "supp", 45)
-    return arcs, saved(euler.numbering(*_tour(spark, sf)).withColumn("pre", F.col("pre") - 1), "numbers")
+def _from_zero(spark: SparkSession, sf: str, least: float = 45) -> tuple[DataFrame, DataFrame]:
+    arcs = d.purchase_arcs(spark, sf, "supp", least)
+    return arcs, saved(euler.numbering(*_tour(spark, sf, least)).withColumn("pre", F.col("pre") - 1), "numbers")
 
 
 NEAR = "near AS (SELECT n.node, n.pre - 1 AS pre, n.size, coalesce(min(m.pre) - 1, (SELECT count(*) + 1 FROM nodes)) AS lo, coalesce(max(m.pre) - 1, -1) AS hi FROM nodes n LEFT JOIN arcs ON arcs.u = n.node AND (n.parent IS NULL OR arcs.v <> n.parent) LEFT JOIN nodes m ON m.node = arcs.v GROUP BY n.node, n.pre, n.size)"
 
 
 @query("q_neighbour_minmax", search_sql(f", {NEAR} SELECT node, lo, hi FROM near"))
-def q_neighbour_minmax(spark: SparkSession, sf: str) -> DataFrame:
-    return cut.neighbour_minmax(*_from_zero(spark, sf)).select("node", "lo", "hi")
+def q_neighbour_minmax(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return cut.neighbour_minmax(*_from_zero(spark, sf, least)).select("node", "lo", "hi")
 
 
 @query("q_subtree_minmax", search_sql(f", {NEAR} SELECT anc.a AS node, min(lo) AS lo, max(hi) AS hi FROM anc JOIN near ON near.node = anc.v GROUP BY anc.a"))
-def q_subtree_minmax(spark: SparkSession, sf: str) -> DataFrame:
-    return cut.subtree_minmax(*_from_zero(spark, sf)).select("node", "lo", "hi")
+def q_subtree_minmax(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+    return cut.subtree_minmax(*_from_zero(spark, sf, least)).select("node", "lo", "hi")
 
 
 # --- bridges ---------------------------------------------------------------------------------
 
 
 def _bridges(strategy: str) -> Query:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        arcs = graph.numbered(d.purchase_arcs(spark, sf, "supp", 45))
+    def run(spark: SparkSession, sf: str, least: float = 45) -> DataFrame:
+        arcs = graph.numbered(d.purchase_arcs(spark, sf, "supp", least))
         return cut.bridges(arcs, strategy).select("arc_id", "src", "dst", "is_bridge")
 
     return run
@@ -355,3 +358,14 @@ def q_report_throughput(spark: SparkSession, sf: str) -> DataFrame:
     counts = rows.groupBy("file", "algo").agg(F.count("*").alias("numQ"))
     both = report.throughput(report.wide(rows, ["file", "algo"], ["Overall", "Preprocessing", "Queries"]).join(counts, ["file", "algo"]), "numQ", "Queries", "queries_per_s")
     return both.select("file", "algo", "numQ", F.round("Queries", 6).alias("ms"), F.round("queries_per_s", 6).alias("queries_per_s"))
+
+
+# --- the same operators over whole tables ----------------------------------------------------
+
+#: The SQL of these two goes from each node to all others, and counts on a tree.
+NO_WHOLE_SQL = ("q_diameter_bounds", "q_graph_stats")
+
+for _name, _f in list(QUERIES.items()):
+    if "least" in signature(_f).parameters:
+        _sql = None if _name in NO_WHOLE_SQL else re.sub(r"l_quantity >= 4[58]\b", "l_quantity >= 0.0", ORACLES[_name])
+        query(f"{_name}_whole", _sql)(partial(_f, least=0.0))

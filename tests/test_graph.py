@@ -119,3 +119,27 @@ def test_diameter_and_stats(spark, name):
     want = max(max(brute.distances(edges, v).values()) for v in nodes)
     r = stats.graph_stats(arcs_of(spark, edges)).first()
     assert (r.n, r.m, r.bridges, r.diam_lb, r.diam_ub) == (len(nodes), 2 * len(edges), 2 * len(brute.bridges(edges)), want, want)
+
+
+def test_queries_over_whole_tables(spark, tmp_path):
+    """Lines of all quantities count; the queries of the same name without _whole read those of 45 or 48 on."""
+    from arbora import queries
+
+    lines = [(o, o * k % 7, (o + k) % 4, float(1 + (o * 5 + k) % 44)) for o in range(6) for k in range(1, 3)] + [(50, 60, 70, 3.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    own = queries.QUERIES
+    part, supp = ({(2 * x[0], 2 * x[i] + 1) for x in lines} for i in (1, 2))
+    top = brute.components(part)
+    assert {tuple(r) for r in own["q_components_whole"](spark, str(tmp_path)).collect()} == set(top.items())
+    assert own["q_components"](spark, str(tmp_path)).count() == 0
+    far = brute.distances(supp, min(v for e in supp for v in e))
+    assert {tuple(r) for r in own["q_bfs_levels_whole"](spark, str(tmp_path)).collect()} == set(far.items())
+    flags = {(r.src, r.dst): r.is_bridge for r in own["q_bridges_tv_whole"](spark, str(tmp_path)).collect()}
+    cut_edges = brute.bridges(supp)
+    assert flags == {x: frozenset(x) in cut_edges for a, b in supp for x in ((a, b), (b, a))}
+    big = max(set(top.values()), key=lambda c: (list(top.values()).count(c), -c))
+    edges = [e for e in part if top[e[0]] == big]
+    nodes = {v for e in edges for v in e}
+    width = max(max(brute.distances(edges, v).values()) for v in nodes)
+    got = own["q_graph_stats_whole"](spark, str(tmp_path)).first()
+    assert (got.n, got.m, got.bridges) == (len(nodes), 2 * len(edges), 2 * len(brute.bridges(edges))) and got.diam_lb <= width <= got.diam_ub
