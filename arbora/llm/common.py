@@ -46,6 +46,11 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def document_key(id_col: str, text_col: str) -> Column:
+    """Names a row's document; rows with a null id are taken by their text."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

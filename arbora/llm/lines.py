@@ -86,11 +86,6 @@ def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
     return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_tokens"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), F.size(z["_tokens"]).alias("tokens"), *[_least(z["_pairs"], k) for k in range(FAMILIES)])))
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    """Names a row's document; rows that share it only share which lines go."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.coalesce(F.col(text_col), F.lit("")))))
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -155,7 +150,7 @@ def _passages(marks: DataFrame, lines: DataFrame, p: LineParams) -> DataFrame:
 
 def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(marks, found, passages): (key, body, lines) of each document with the distinct (leaf, sig, tokens, m0...) of its lines; (leaf, sig) of the lines to drop; (body, leaf, sig) of those to drop from some documents."""
-    marks = _marks(docs.select(_key(id_col, text_col).alias("key"), text_col), text_col, p)
+    marks = _marks(docs.select(common.document_key(id_col, text_col).alias("key"), text_col), text_col, p)
     marks = common.saved(marks.select("key", F.xxhash64(F.col("lines")["sig"]).alias("body"), "lines", *_two_least()), "line-marks")
 
     each = marks.select(F.explode("lines").alias("x"), *[f"t{k}" for k in range(FAMILIES)]).select("x.leaf", "x.sig", "x.tokens", *[f.alias(f"f{k}") for k, f in enumerate(_families())])
@@ -199,7 +194,7 @@ def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "d
     gone = hits.groupBy("key").agg(F.collect_set(F.struct("leaf", "sig")).alias("_gone"))  # the lines of one document
     text = F.col(text_col)
     clashing = [c for c in docs.columns if c in ("n_lines", "n_dropped", "_gone", "_key", "_cut", "_plain", "_own", "_tokens", "_marks", "_left")]
-    out = docs.drop(*clashing).withColumn("_key", _key(id_col, text_col)).join(gone.withColumnRenamed("key", "_key"), "_key", "left")
+    out = docs.drop(*clashing).withColumn("_key", common.document_key(id_col, text_col)).join(gone.withColumnRenamed("key", "_key"), "_key", "left")
     out = _split(out.withColumn("_cut", F.when(F.col("_gone").isNotNull(), text)), "_cut", False)
     out = out.withColumn("_marks", F.transform(F.arrays_zip("_own", "_tokens"), lambda z: F.struct(leaf(z["_tokens"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"))))
     # Lines and marks go into one array first: a column that only a lambda reads would be evaluated for each element.

@@ -243,8 +243,10 @@ def _over_blocks(docs: DataFrame, benchmark: DataFrame, p: SuffixParams, id_col:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated."""
-    return docs.join(contamination(docs, benchmark, p, id_col, text_col).where("contaminated").select(id_col).distinct(), id_col, "left_anti")
+    """The rows of docs that aren't contaminated; those with a null id are taken by their text."""
+    docs = docs.withColumn("_document", common.document_key(id_col, text_col))
+    found = contamination(docs.select("_document", text_col), benchmark, p, "_document", text_col)
+    return docs.join(found.where("contaminated").select("_document").distinct(), "_document", "left_anti").drop("_document")
 
 
 def items_sha256(names) -> str:

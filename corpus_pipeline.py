@@ -13,11 +13,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity classifier, fitted on labelled documents, rejects."""
-    docs = docs.select(COLUMNS)
+    """Drops the documents that the toxicity classifier, fitted on labelled documents, rejects; those with a null id are taken by their text."""
+    docs = docs.select(*COLUMNS, common.document_key("doc_id", "text").alias("_document"))
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    rejected = toxicity.score(docs, model, "_document").where("predicted = 1").select("_document").distinct()
+    return docs.join(rejected, "_document", "left_anti").select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

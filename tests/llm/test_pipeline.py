@@ -40,3 +40,16 @@ def test_stages(spark, folder):
     assert set(docs.columns) == {"doc_id", "source", "size", "source_size", "target", "taken"}
     again = corpus_pipeline.run(spark, path)
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_null_ids_do_not_pass(spark, folder, rng):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    none = [(docs.where(f"doc_id = {i}").first().text + more) for i, more in ((101, ""), (300, ""), (3, " of its own"))]
+    docs = docs.unionByName(spark.createDataFrame([(None, t, "en", "s0", len(t)) for t in none], docs.schema))
+
+    def left(stage):
+        return {r.text for r in stage(spark, docs, path).where("doc_id is null").collect()}
+
+    assert left(corpus_pipeline.toxic) == set(none[1:])
+    assert left(corpus_pipeline.decontaminate) == {none[0], none[2]}
