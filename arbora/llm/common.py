@@ -1,13 +1,16 @@
-"""Shared pieces: shared-folder tables, fold arithmetic, vectorised tokenising and hashing."""
+"""Shared pieces: Python over texts, sieves, folds and samples, vectorised tokenising and hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from arbora.plans.shared import forget, saved, shared_dir  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch sent to Python: whole texts travel, so batches stay short.
 BATCH_ROWS = 512
@@ -15,44 +18,48 @@ BATCH_ROWS = 512
 STEP = 1 << 20
 
 
-# --- tables in the shared folder -------------------------------------------------------------
+def document_key(id_col: str, text_col: str) -> Column:
+    """Names a row's document; rows with a null id are taken by their text."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one is set only where none is, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not isinstance(found, str):
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="arbora-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def saved(df: DataFrame, name: str = "t") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later work doesn't depend on executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], ddl: str, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, keep..., columns of ddl) for each row. make() is called once in a task and gives a function from the
+    values of text_col in a batch (nulls are None) to one tuple for each. Ids and kept columns stay in Arrow, so null
+    and large ones come back as they were."""
+    short_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
+    added = StructType.fromDDL(ddl)
+    kinds, names = [to_arrow_type(f.dataType) for f in added], ["id", *keep, *added.names]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows_of = make()
+        for batch in batches:
+            rows = rows_of(batch.column(len(keep) + 1).to_pylist())
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 1], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files behind a saved() table once nothing reads it any more."""
-    spark = df.sparkSession
-    for top in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/arbora/" in top:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    schema = StructType([*own.schema.fields[: len(keep) + 1], *added.fields])
+    return own.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def document_key(id_col: str, text_col: str) -> Column:
-    """Names a row's document; rows with a null id are taken by their text."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("~"), F.coalesce(F.col(text_col), F.lit("")))))
+# --- sieves ----------------------------------------------------------------------------------
 
+#: Bits of a sieve: it is broadcast as at most 2**SIEVE_BITS / 64 rows of two longs.
+SIEVE_BITS = 24
 
-def short_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+def sieved(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a 64-bit hash) may be among keys: none that is gets lost, and few others stay while keys are
+    much fewer than the sieve's bits. It spares the shuffle of rows that a following join drops."""
+    word, bit = f"shiftrightunsigned({key}, {64 - SIEVE_BITS + 6})", f"cast(shiftrightunsigned({key}, {64 - SIEVE_BITS}) & 63 as int)"
+    sieve = keys.groupBy(F.expr(word).alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_bits"))
+    held = rows.join(F.broadcast(sieve), F.expr(word) == F.col("_word"))  # at most 2**SIEVE_BITS / 64 rows
+    return held.where(f"getbit(_bits, {bit}) = 1").drop("_word", "_bits")
 
 
 # --- folds -----------------------------------------------------------------------------------
@@ -72,6 +79,17 @@ def hash_sample(df: DataFrame, by: str, limit: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(by).cast("string"), F.lit(seed)), F.col(by)).limit(limit)
 
 
+def text_sample(docs: DataFrame, ids: DataFrame, chars: int, row_chars: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, text) of the documents of ids (id, y; a bounded sample with distinct ids): one text of each id, of at most
+    row_chars characters, in the order of hashed ids as far as all have at most chars characters. It is cut before
+    anything goes to the driver."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= row_chars)
+    held = saved(texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "sample")
+    order = Window.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), "id").rowsBetween(Window.unboundedPreceding, 0)  # a row for each sampled id
+    fits = held.select("id", F.sum(F.length("text")).over(order).alias("n")).where(F.col("n") <= chars).select("id")
+    return held.join(F.broadcast(fits), "id")
+
+
 # --- numpy text work -------------------------------------------------------------------------
 
 _U = np.uint64

@@ -3,7 +3,7 @@
 Trusted positives are documents labelled as good; the unlabelled set is plain documents, good and bad mixed, whose
 labels (if any) aren't looked at. The share of good texts in the unlabelled set (the class prior) is estimated from
 the two sets alone: over score thresholds, the smallest upper bound of the ratio of the unlabelled set's upper tail to
-the positives' upper tail, on rows that the scorer wasn't fitted on. A logistic model over surface features then
+the positives' upper tail, over all documents that the scorer wasn't fitted on. A logistic model over surface features then
 minimises the unbiased risk  prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)).
 
 Features of a text, all from its characters: shares of character shapes and of their pairs and triples (letters lose
@@ -33,7 +33,7 @@ class QualityParams:
     epochs: int = 60
     batch: int = 512
     rate: float = 0.02
-    #: Bounds of the samples that the fit takes: rows of each set (smallest hashes of the id), characters of a row.
+    #: Bounds of the samples that the fit takes: rows of each set (smallest hashes of the id), characters of a row, of both sets.
     sample_rows: int = 4000
     sample_row_chars: int = 50_000
     sample_chars: int = 14_000_000
@@ -99,11 +99,13 @@ class QualityModel:
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        return ((features(texts, self.params.bits) - self.mean) * self.scale) @ self.weights + self.intercept
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(texts), self.prior)
-        x = (features(texts, self.params.bits) - self.mean) * self.scale
-        return _sigmoid(x @ self.weights + self.intercept).astype(float)
+        return _sigmoid(self.margins(texts)).astype(float)
 
 
 def risk_minimiser(pos: np.ndarray, unl: np.ndarray, prior: float, p: QualityParams) -> tuple[np.ndarray, float]:
@@ -133,62 +135,75 @@ def risk_minimiser(pos: np.ndarray, unl: np.ndarray, prior: float, p: QualityPar
     return total[:-1] / kept, float(total[-1] / kept)
 
 
-def class_prior(pos: np.ndarray, unl: np.ndarray, delta: float) -> float:
-    """The positives' share of the unlabelled scores: smallest upper bound of tail ratios."""
-    cut = np.unique(np.concatenate([pos, unl]))
-    tail_p = 1 - np.searchsorted(np.sort(pos), cut) / len(pos)
-    tail_u = 1 - np.searchsorted(np.sort(unl), cut) / len(unl)
-    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(len(unl)))
+def class_prior(pos: np.ndarray, above: np.ndarray, total: int, delta: float) -> float:
+    """The positives' share of the unlabelled scores: smallest upper bound of tail ratios. pos: sorted scores of
+    positives; above[i]: how many of the total unlabelled scores are at least pos[i] (no other cut can do better)."""
+    tail_p = 1 - np.searchsorted(pos, pos) / len(pos)
+    tail_u = above / max(total, 1)
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(pos)) + 1 / np.sqrt(max(total, 1)))
     ok = tail_p > max(0.1, 2 * slack)
     at = np.argmin(np.where(ok, (tail_u + slack) / np.maximum(tail_p, 1e-9), np.inf))
     return float(np.clip(tail_u[at] / tail_p[at], 0.02, 0.98)) if ok.any() else 0.5
 
 
-def fit(positive: list[str | None], unlabelled: list[str | None], p: QualityParams = QualityParams(), prior: float | None = None) -> QualityModel:
-    if not positive or not unlabelled:
-        return QualityModel(p, 0.5 if prior is None else prior, np.zeros(0), 0.0)
-    xp, xu = features(positive, p.bits), features(unlabelled, p.bits)
+def _scaled(xp: np.ndarray, xu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     both = np.vstack([xp, xu])
     mean, scale = both.mean(0), 1 / np.maximum(both.std(0), 0.02)
-    xp, xu = (xp - mean) * scale, (xu - mean) * scale
-    if prior is None:
-        if min(len(xp), len(xu)) < 20:
-            prior = 0.5
-        else:  # halves: one to fit a scorer of positive against unlabelled, one to compare tails
-            w, b = risk_minimiser(xp[::2], xu[::2], 0.5, p)
-            prior = class_prior(xp[1::2] @ w + b, xu[1::2] @ w + b, p.delta)
-    w, b = risk_minimiser(xp, xu, prior, p)
-    return QualityModel(p, prior, w, b, mean, scale)
+    return (xp - mean) * scale, (xu - mean) * scale, mean, scale
+
+
+def fit(positive: list[str | None], unlabelled: list[str | None], prior: float, p: QualityParams = QualityParams()) -> QualityModel:
+    if not positive or not unlabelled:
+        return QualityModel(p, prior, np.zeros(0), 0.0)
+    xp, xu, mean, scale = _scaled(features(positive, p.bits), features(unlabelled, p.bits))
+    return QualityModel(p, prior, *risk_minimiser(xp, xu, prior, p), mean, scale)
+
+
+def estimated_prior(texts: DataFrame, positive: list[str], unlabelled: pd.DataFrame, p: QualityParams) -> float:
+    """The class prior over all of texts (id, text): a scorer fitted on halves of the samples scores every other row."""
+    first = unlabelled.iloc[::2]
+    halves = fit(positive[::2], first["text"].tolist(), 0.5, p)
+    cuts = np.sort(halves.margins(positive[1::2]))
+    spark = texts.sparkSession
+    held = spark.sparkContext.broadcast((halves, cuts, set(first["id"].astype(str))))  # at most sample_rows ids
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, at, fitted = held.value
+        counts = np.zeros(len(at) + 1, np.int64)
+        for pdf in batches:
+            rest = [t for i, t in zip(pdf["id"], pdf["text"], strict=True) if i not in fitted]
+            counts += np.bincount(np.searchsorted(at, model.margins(rest), side="right"), minlength=len(at) + 1)
+        yield pd.DataFrame({"cut": np.arange(len(counts)), "n": counts})
+
+    own = texts.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(run, "cut int, n long")
+    n = np.zeros(len(cuts) + 1, np.int64)
+    for r in own.groupBy("cut").agg(F.sum("n").alias("n")).collect():  # a row for each positive of the sample
+        n[r["cut"]] = r["n"]
+    return class_prior(cuts, np.cumsum(n[::-1])[::-1][1:], int(n.sum()), p.delta)
 
 
 def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams(), id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """docs: the rows that may be learned from. Positives are those with label quality = 1; the unlabelled set is a sample of all of docs."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) <= " + str(p.sample_row_chars))
-    good = labels.select(F.col(id_col).alias("id"), F.col("quality").alias("y")).where("id is not null").groupBy("id").agg(F.min("y").alias("y")).where("y = 1").select("id")
-    ids = common.hash_sample(good, "id", p.sample_rows, p.seed)
-    positive = texts.join(F.broadcast(ids), "id")  # at most sample_rows ids
-    unlabelled = common.hash_sample(texts.select("id"), "id", p.sample_rows, p.seed + 1)
-    unlabelled = texts.join(F.broadcast(unlabelled.distinct()), "id")
+    """docs: the rows that may be learned from. Positives are those with label quality = 1; the unlabelled set is all of docs, of which a sample fits the weights and every row counts for the class prior."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+    common.short_batches(docs.sparkSession)
+    good = labels.select(F.col(id_col).alias("id"), F.col("quality").alias("y")).where("id is not null").groupBy("id").agg(F.min("y").alias("y")).where("y = 1")
 
-    def taken(df: DataFrame) -> list[str]:
-        pdf = df.toPandas().sort_values(["id", "text"], kind="stable")
-        pdf = pdf.iloc[np.argsort(common.mix64(pdf["id"].to_numpy().astype(np.uint64)), kind="stable")]
-        return pdf["text"][pdf["text"].str.len().cumsum() <= p.sample_chars // 2].tolist()
+    def taken(ids: DataFrame, seed: int) -> pd.DataFrame:
+        pdf = common.text_sample(texts, ids, p.sample_chars // 2, p.sample_row_chars, seed, "id", "text").select("id", "text", F.xxhash64(F.col("id").cast("string"), F.lit(seed)).alias("h")).toPandas()
+        return pdf.sort_values("h", kind="stable")
 
-    return fit(taken(positive), taken(unlabelled), p)
+    positive = taken(common.hash_sample(good, "id", p.sample_rows, p.seed), p.seed)["text"].tolist()
+    unlabelled = taken(common.hash_sample(texts.select("id").distinct(), "id", p.sample_rows, p.seed + 1).withColumn("y", F.lit(0)), p.seed + 1)
+    prior = 0.5 if min(len(positive), len(unlabelled)) < 20 else estimated_prior(texts, positive, unlabelled, p)
+    return fit(positive, unlabelled["text"].tolist(), prior, p)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted) for each row; other columns of docs aren't read."""
-    common.short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights, whatever the input
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = held.value
-        for pdf in batches:
-            s = m.scores(pdf["text"].where(pdf["text"].notna(), None).tolist())
-            yield pd.DataFrame({"id": pdf["id"], "score": s, "predicted": (s >= m.params.threshold).astype("int32")})
+        return lambda texts: [(float(s), int(s >= m.params.threshold)) for s in m.scores(texts)]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double, predicted int")
-    return out.withColumnRenamed("id", id_col)
+    return common.map_texts(docs, make, "score double, predicted int", id_col, text_col)

@@ -70,42 +70,64 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, row_chars: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, y, text) of at most `rows` labelled documents of each label, chosen by the hash of the id."""
+def labelled_ids(labels: DataFrame, label: str, rows: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, y) of at most `rows` labelled documents of each label, chosen by the hash of the id."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     own = own.groupBy("id").agg(F.max("y").alias("y"))
-    picked = [common.hash_sample(own.where(F.col("y") == y), "id", rows, seed) for y in (0, 1)]
-    ids = picked[0].unionByName(picked[1])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= row_chars)
-    return texts.join(F.broadcast(ids), "id").select("id", "y", "text")  # at most 2 * rows ids
-
-
-def bounded(sample: DataFrame, chars: int) -> pd.DataFrame:
-    """The rows of a bounded sample in a fixed order, up to `chars` characters."""
-    pdf = sample.toPandas()
-    pdf["text"] = pdf["text"].fillna("")
-    pdf = pdf.sort_values(["id", "y", "text"], kind="stable")
-    order = np.argsort(common.mix64(pdf["id"].to_numpy().astype(np.uint64)), kind="stable")
-    pdf = pdf.iloc[order].reset_index(drop=True)
-    return pdf[(pdf["text"].str.len().cumsum() <= chars) | (pdf.index == 0)]
-
-
-def fit(sample: pd.DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """sample: columns y (0 or 1) and text."""
-    y, size = sample["y"].to_numpy().astype(float), 1 << p.bits
-    share = (y.sum() + 0.5) / (len(y) + 1)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(p, np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    rows = [np.unique(buckets(t, p)) for t in sample["text"]]
-    lens = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows).astype(np.int32)
+    return common.hash_sample(own.where("y = 0"), "id", rows, seed).unionByName(common.hash_sample(own.where("y = 1"), "id", rows, seed))
+
+
+def ratios(sample: DataFrame, p: ToxicityParams) -> pd.DataFrame:
+    """(bucket, r): the log-count ratios that exceed their own error. Texts are counted in the tasks; the driver gets no more than these."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((2, 1 << p.bits), np.int32)
+        for pdf in batches:
+            for y, t in zip(pdf["y"], pdf["text"], strict=True):
+                seen[y, np.unique(buckets(t, p))] += 1
+        held = np.flatnonzero(seen.any(0))
+        yield pd.DataFrame({"bucket": held, "n0": seen[0, held], "n1": seen[1, held]})
+
+    counts = common.saved(sample.select("y", "text").mapInPandas(run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "ngrams")
+    total = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1")).first()
+    s0, s1 = F.col("n0") + p.smoothing, F.col("n1") + p.smoothing
+    t0, t1 = ((total[c] or 0) + p.smoothing * (1 << p.bits) for c in ("t0", "t1"))
+    own = counts.select("bucket", (F.log(s1 / F.lit(t1)) - F.log(s0 / F.lit(t0))).alias("r"), (1 / s0 + 1 / s1).alias("error"))
+    out = own.where(F.col("r") * F.col("r") >= p.min_z**2 * F.col("error")).select("bucket", "r").toPandas().sort_values("bucket")  # 2**bits rows at most
+    common.forget(counts)
+    return out
+
+
+def fit(sample: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """sample: a bounded table with columns id, y (0 or 1) and text."""
+    shares = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    weights, share = np.zeros(1 << p.bits, np.float32), (shares.get(1, 0) + 0.5) / (sum(shares.values()) + 1)
+    if len(shares) < 2:
+        return ToxicityModel(p, weights, float(np.log(share / (1 - share))))
+    common.short_batches(sample.sparkSession)
+    found = ratios(sample, p)
+    bucket, r = found["bucket"].to_numpy(), found["r"].to_numpy()
+    held = sample.sparkSession.sparkContext.broadcast(bucket)  # 2**bits at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = held.value
+        for pdf in batches:
+            own = [np.flatnonzero(np.isin(known, buckets(t, p))).astype(np.int32).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"].astype(str), "y": pdf["y"], "features": own})
+
+    rows = sample.select("id", "y", "text").mapInPandas(run, "id string, y int, features binary").toPandas().sort_values("id")
+    y, size = rows["y"].to_numpy().astype(float), len(bucket)
+    lens = rows["features"].str.len().to_numpy() // 4
+    cols = np.frombuffer(b"".join(rows["features"]), np.int32)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
-    seen = [np.bincount(cols, weights=(y == k)[owner], minlength=size) + p.smoothing for k in (0, 1)]
-    r = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
-    r[r**2 < p.min_z**2 * (1 / seen[0] + 1 / seen[1])] = 0  # ratios within their own error tell nothing
-    held = r[cols] != 0
-    cols, owner = cols[held], owner[held]
+    del rows
+    w, b = logistic(cols, owner, y, r, size, p)
+    weights[bucket] = w
+    return ToxicityModel(p, weights, b)
 
+
+def logistic(cols: np.ndarray, owner: np.ndarray, y: np.ndarray, r: np.ndarray, size: int, p: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Weights and intercept over features scaled by r. Row owner[i] has feature cols[i]."""
     # Full-batch Nesterov steps with an adaptive step size; both labels weigh half.
     cost = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, b = np.zeros(size), 0.0
@@ -126,7 +148,7 @@ def fit(sample: pd.DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityM
         w, b, step, last = new_w, new_b, step * 1.1, loss
     z = np.bincount(owner, weights=(w * r)[cols], minlength=len(y)) + b
     a, c = _platt(z, y)
-    return ToxicityModel(p, (a * w * r).astype(np.float32), float(a * b + c))
+    return (a * w * r).astype(np.float32), float(a * b + c)
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -147,19 +169,15 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted) for each row; other columns of docs aren't read."""
-    common.short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits weights, whatever the input
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = held.value
-        for pdf in batches:
-            s = m.scores(pdf["text"].where(pdf["text"].notna(), None).tolist())
-            yield pd.DataFrame({"id": pdf["id"], "score": s, "predicted": (s >= m.params.threshold).astype("int32")})
+        return lambda texts: [(float(s), int(s >= m.params.threshold)) for s in m.scores(texts)]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double, predicted int")
-    return out.withColumnRenamed("id", id_col)
+    return common.map_texts(docs, make, "score double, predicted int", id_col, text_col)
 
 
-def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    return fit(bounded(labelled_sample(docs, labels, "toxic", p.sample_rows, p.sample_row_chars, p.seed), p.sample_chars), p)
+def train(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams(), id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    ids = labelled_ids(labels, "toxic", p.sample_rows, p.seed, id_col)
+    return fit(common.saved(common.text_sample(docs, ids, p.sample_chars, p.sample_row_chars, p.seed, id_col, text_col), "sample"), p)

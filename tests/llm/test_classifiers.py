@@ -56,7 +56,64 @@ def test_class_prior():
     pos, neg = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
     for prior in (0.2, 0.5, 0.8):
         mixed = np.concatenate([rng.normal(2, 1, int(4000 * prior)), neg[: int(4000 * (1 - prior))]])
-        assert abs(quality.class_prior(pos, mixed, 0.1) - prior) < 0.08
+        cuts = np.sort(pos)
+        above = np.array([(mixed >= c).sum() for c in cuts])
+        assert abs(quality.class_prior(cuts, above, len(mixed), 0.1) - prior) < 0.08
+
+
+def test_prior_counts_every_row(spark, rng):
+    """The tail shares behind the prior against a loop over all rows."""
+    good, bad = [prose(rng) for _ in range(60)], [" ".join("$$ ##".split() * 20) for _ in range(40)]
+    texts = spark.createDataFrame(list(enumerate(good + bad)), "id long, text string")
+    sample = texts.where("id % 2 = 0").toPandas()
+    p = quality.QualityParams(epochs=10)
+    got = quality.estimated_prior(texts, good[:30], sample, p)
+    model = quality.fit(good[:30][::2], sample["text"].iloc[::2].tolist(), 0.5, p)
+    rest = [t for i, t in enumerate(good + bad) if i not in set(sample["id"].iloc[::2])]
+    cuts, all_ = np.sort(model.margins(good[:30][1::2])), model.margins(rest)
+    want = quality.class_prior(cuts, np.array([(all_ >= c - 1e-9).sum() for c in cuts]), len(rest), p.delta)
+    assert abs(got - want) < 1e-9
+
+
+def test_risk_against_a_grid():
+    """On one feature, the minimiser errs hardly more than the best cut that knows all labels."""
+    rng = np.random.default_rng(4)
+    pos, good, bad = rng.normal(1.5, 1, (600, 1)), rng.normal(1.5, 1, (400, 1)), rng.normal(-1.5, 1, (400, 1))
+    w, b = quality.risk_minimiser(pos, np.concatenate([good, bad]), 0.5, quality.QualityParams(epochs=200))
+
+    def wrong(x, y):
+        return ((good[:, 0] * x + y < 0).mean() + (bad[:, 0] * x + y >= 0).mean()) / 2
+
+    assert wrong(w[0], b) <= min(wrong(1, -c) for c in np.linspace(-3, 3, 121)) + 0.02
+
+
+def test_ratios_against_counting(spark, rng):
+    """Log-count ratios of n-grams against counting them in dictionaries, and the fit's gradient at its end."""
+    p = toxicity.ToxicityParams(orders=(3,), min_z=1.0)
+    rows = [(i, i % 2, prose(rng, "en" if i % 2 else "de", 12)) for i in range(60)]
+    seen, size = [{}, {}], 1 << p.bits
+    for _, y, t in rows:
+        for g in set(toxicity.buckets(t, p).tolist()):
+            seen[y][g] = seen[y].get(g, 0) + 1
+    total = [sum(s.values()) + p.smoothing * size for s in seen]
+    want = {}
+    for g in {*seen[0], *seen[1]}:
+        a, b = (s.get(g, 0) + p.smoothing for s in seen)
+        r = np.log(b / total[1]) - np.log(a / total[0])
+        if r * r >= p.min_z**2 * (1 / a + 1 / b):
+            want[g] = r
+    got = toxicity.ratios(spark.createDataFrame(rows, "id long, y int, text string"), p)
+    assert dict(zip(got["bucket"], got["r"].round(9))) == {g: round(r, 9) for g, r in want.items()}
+
+
+def test_string_ids_and_large_ids(spark, rng):
+    rows = [(f"doc-{i}", prose(rng) + (" villain rascal" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, y int")
+    labels = spark.createDataFrame([(i, 1 - y, y) for i, _, y in rows], "doc_id string, quality int, toxic int")
+    for op in (toxicity, quality):
+        assert {r.doc_id for r in op.score(docs, op.train(docs, labels)).collect()} == {r[0] for r in rows}
+        big = spark.createDataFrame([(9007199254740993, "a"), (None, "b")], "doc_id long, text string")
+        assert {r.doc_id for r in op.score(big, op.train(docs, labels)).collect()} == {9007199254740993, None}
 
 
 def test_quality_odd(spark, odd_docs, no_docs):
