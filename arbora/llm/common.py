@@ -87,7 +87,7 @@ def text_sample(docs: DataFrame, ids: DataFrame, chars: int, row_chars: int, see
     held = saved(texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "sample")
     order = Window.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), "id").rowsBetween(Window.unboundedPreceding, 0)  # a row for each sampled id
     fits = held.select("id", F.sum(F.length("text")).over(order).alias("n")).where(F.col("n") <= chars).select("id")
-    return held.join(F.broadcast(fits), "id")
+    return held.join(F.broadcast(fits), "id").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, "id")  # few rows, much work
 
 
 # --- numpy text work -------------------------------------------------------------------------

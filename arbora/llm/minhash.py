@@ -5,14 +5,16 @@ fewer words the whole sequence is the one shingle). Documents with equal sets ar
 
 1. Each class gets `bands * rows` minima of multiply-shift hashes; each band of `rows` minima names a bucket. A pair at
    similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7.
-2. The hub of a bucket is the member with the most company over all of its buckets. Each class is first paired with the
-   best of its buckets' hubs, then with its other hubs as far as they still are in other components: at most as many
-   pairs as members, however large a bucket is.
+2. The hub of a bucket is the member with the most company over all of its buckets. Each class is paired with the best
+   of its buckets' hubs: at most one pair for each class, however large a bucket is.
 3. Pairs pass if their signatures agree on nearly the threshold's share of the minima (5 standard errors below it), and
-   are then confirmed on their full sets.
-4. Links make components. Buckets that still hold several components are gone through again: members outside of the
-   first member's component meet all members of other components, in blocks of bounded size. So each pair that shares
-   a bucket is compared or already joined, and nothing is capped.
+   are then confirmed on their full sets. Links make components.
+4. In each bucket that still holds several components, the members outside of the hub's component meet all members of
+   other components, in blocks of bounded size, by signature; a pair is taken in the first of its common buckets alone.
+   What leaves a block is its members that have a likely partner, never pairs. These members bring their full sets to
+   the same block, where likely pairs are confirmed, best first, unless links of the block have joined them before; the
+   links that leave it are a forest. So each pair that shares a bucket is compared or already joined, nothing is capped,
+   and rows grow with members and blocks.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; rows with a null id are
 returned with a null component and kept; rows that share an id are one document for linking. Other columns aren't read.
@@ -40,9 +42,9 @@ class MinHashParams:
     rows: int = 5
     #: How far below the threshold a signature's agreement may lie.
     margin: float = 0.15
-    #: Buckets of more members are compared block by block, in blocks of that many members.
-    few: int = 32
-    block: int = 512
+    #: Members, and shingles of full sets, in a block of a bucket, about.
+    block: int = 1024
+    block_shingles: int = 1 << 20
     seed: int = 97
 
 
@@ -77,43 +79,36 @@ def set_key(members: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-
 def sketches(docs: DataFrame, p: MinHashParams, id_col: str, text_col: str) -> DataFrame:
     """(id, n, k1, k2, bands, sig): size and name of each document's set, its buckets, and the low byte of each minimum."""
-    common.short_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         a, b = hashers(p)
-        for pdf in batches:
-            rows = []
-            for words in common.word_hashes(pdf["text"].where(pdf["text"].notna(), None).tolist(), "space"):
-                members = common.shingles(words, p.shingle)
-                if not len(members):
-                    rows.append((0, 0, 0, [], b""))
-                    continue
-                low = minima(members, a, b)
-                rows.append((len(members), *set_key(members), band_keys(low, p), low.astype(np.uint8).tobytes()))
-            yield pd.DataFrame({"id": pdf["id"], **dict(zip(("n", "k1", "k2", "bands", "sig"), map(list, zip(*rows, strict=True)), strict=True))} if rows else {c: [] for c in ("id", "n", "k1", "k2", "bands", "sig")})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInPandas(run, f"id {kind}, n long, k1 long, k2 long, bands array<long>, sig binary")
+        def row(words: np.ndarray) -> tuple:
+            members = common.shingles(words, p.shingle)
+            if not len(members):
+                return 0, 0, 0, [], b""
+            low = minima(members, a, b)
+            return len(members), *set_key(members), band_keys(low, p), low.astype(np.uint8).tobytes()
+
+        return lambda texts: [row(w) for w in common.word_hashes(texts, "space")]
+
+    return common.map_texts(docs, make, "n long, k1 long, k2 long, bands array<long>, sig binary", id_col, text_col).withColumnRenamed(id_col, "id")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, p: MinHashParams, id_col: str, text_col: str) -> DataFrame:
     """(id, members): the full sets of the classes in wanted (id, k1, k2)."""
-    texts = _texts(docs, id_col, text_col).join(wanted.select("id").distinct(), "id", "left_semi")
+    texts = docs.join(wanted.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [common.shingles(w, p.shingle) for w in common.word_hashes(pdf["text"].where(pdf["text"].notna(), None).tolist(), "space")]
-            keys = [set_key(s) if len(s) else (0, 0) for s in sets]
-            yield pd.DataFrame({"id": pdf["id"], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "members": [s.view(np.int64) for s in sets]})
+    def make():
+        def row(words: np.ndarray) -> tuple:
+            members = common.shingles(words, p.shingle)
+            return (*(set_key(members) if len(members) else (0, 0)), members.view(np.int64))
+
+        return lambda texts: [row(w) for w in common.word_hashes(texts, "space")]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    sets = texts.mapInPandas(run, f"id {kind}, k1 long, k2 long, members array<long>")
+    sets = common.map_texts(texts, make, "k1 long, k2 long, members array<long>", id_col, text_col).withColumnRenamed(id_col, "id")
     return sets.join(wanted.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "members")
 
 
@@ -176,10 +171,6 @@ def star_components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-
-
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The components after more links."""
     if links.isEmpty():
@@ -187,43 +178,81 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return common.saved(star_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
 
 
-def _rest(members: DataFrame, hubs: DataFrame, roots: DataFrame, classes: DataFrame, p: MinHashParams) -> DataFrame:
-    """Pairs of bucket members in different components that haven't been compared: those without the bucket's hub."""
-    own = members.join(roots.toDF("id", "root"), "id", "left").select("key", "m", "id", F.coalesce("root", "id").alias("c"))
-    open_ = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    own = own.join(open_, "key").join(hubs, "key")
-    hub = roots.toDF("hub", "hub_root")
-    own = common.saved(own.join(hub, "hub", "left").withColumn("minor", F.expr("c <> coalesce(hub_root, hub)")).where("id <> hub").drop("hub_root"), "open")
-    minor = own.where("minor").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    few = own.where(f"m <= {p.few}").select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("minor").alias("mb"))
-    pairs = minor.join(few, "key").where("ca <> cb and (a < b or not mb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
+def likely_pairs(sig: np.ndarray, n: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, agreement) of the rows x of left and y of right whose components differ, whose sizes and signatures allow
+    the threshold, and whose signatures agree on no band before this one (then an earlier bucket has the pair)."""
+    right = right[np.argsort(n[right], kind="stable")]
+    bound, least, out = n[right], p.share / 100 - p.margin, []
+    for x in left:
+        a, b = np.searchsorted(bound, [-(-p.share * n[x] // 100), 100 * n[x] // p.share + 1])
+        near = right[a:b]
+        near = near[c[near] != c[x]]
+        same = sig[near] == sig[x]
+        share = (same.mean(1) - 1 / 256) / (1 - 1 / 256)  # less what agrees by chance
+        first = same.reshape(len(near), p.bands, p.rows).all(2)[:, :band].any(1) if band else np.zeros(len(near), bool)
+        ok = (share >= least) & ~first
+        out.append((np.full(ok.sum(), x), near[ok], share[ok]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+
+
+def _block(pdf: pd.DataFrame, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The likely pairs of the rows of a block."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+    left, right = (np.flatnonzero(pdf["side"].to_numpy() == k) for k in (0, 1))
+    return likely_pairs(sig, pdf["n"].to_numpy(), pd.factorize(pdf["c"])[0], left, right, int(pdf["band"].iloc[0]), p)
+
+
+def rest_links(members: DataFrame, hubs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
+    """Links (a, b) between bucket members in different components: a forest of those that each block finds."""
+    own = members.join(roots.toDF("id", "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+    own = own.join(classes.select("id", "n"), "id")
+    open_ = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m"), F.sum("n").alias("s")).where("x <> y")
+    hub = hubs.select("key", "hub").join(roots.toDF("hub", "hub_root"), "hub", "left").select("key", F.coalesce("hub_root", "hub").alias("main"))
+    open_ = open_.join(hub, "key").select("key", "main", F.greatest(F.ceil(F.col("m") / p.block), F.ceil(F.col("s") / p.block_shingles)).cast("int").alias("blocks"))
+    minor = own.join(open_, "key").where("c <> main").groupBy("key").agg(F.count("*").alias("q"), F.sum("n").alias("s"))
+    minor = minor.select("key", F.greatest(F.ceil(F.col("q") / p.block), F.ceil(F.col("s") / p.block_shingles)).cast("int").alias("rows"))
+    own = own.join(open_.join(minor, "key"), "key").withColumn("at", F.xxhash64("id", "key"))
+    # (i, j): block i of those outside of the hub's component meets block j of all.
+    left = own.where("c <> main").select("key", F.lit(0).alias("side"), F.expr("cast(pmod(at, rows) as int)").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "c", "n")
+    right = own.select("key", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.expr("cast(pmod(at, blocks) as int)").alias("j"), "id", "c", "n")
+    sigs = classes.select("id", "sig", F.posexplode("bands").alias("band", "key"))
+    rows = left.unionByName(right).join(sigs, ["id", "key"])
     kind = classes.schema["id"].dataType.simpleString()
-    large = own.where(f"m > {p.few}").join(classes.select("id", "n", "sig"), "id").withColumn("blocks", F.ceil(F.col("m") / p.block).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    left = large.where("minor").select("key", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "c", "n", "sig")
-    right = large.select("key", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), "id", "c", "n", "sig")
-    least = p.share / 100 - p.margin
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out = [pd.DataFrame({"a": [], "b": []}).astype(pdf["id"].dtype)]
-        if len(x) and len(y):
-            sig = np.frombuffer(b"".join(y["sig"]), np.uint8).reshape(len(y), -1)
-            n, c, ids = y["n"].to_numpy(), y["c"].to_numpy(), y["id"].to_numpy()
-            for i, cx, nx, s in zip(x["id"], x["c"], x["n"], x["sig"], strict=True):
-                ok = (c != cx) & (100 * np.minimum(n, nx) >= p.share * np.maximum(n, nx))
-                at = np.flatnonzero(ok)
-                at = at[_agreement(sig[at], np.frombuffer(s, np.uint8)) >= least]
-                out.append(pd.DataFrame({"a": np.minimum(ids[at], i), "b": np.maximum(ids[at], i)}))
-        return pd.concat(out)
+    def partners(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, _ = _block(pdf, p)
+        return pdf.iloc[np.unique(np.concatenate([x, y]))]
+
+    schema = f"key long, side int, i int, j int, id {kind}, c {kind}, n long, sig binary, band int"
+    columns = ["key", "side", "i", "j", "id", "c", "n", "sig", "band"]
+    found = common.saved(rows.select(columns).groupBy("key", "i", "j").applyInPandas(partners, schema), "partners")
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, share = _block(pdf, p)
+        up: dict = {}
+
+        def top(v):
+            while (w := up.get(v, v)) != v:
+                up[v] = v = up.get(w, w)
+            return v
+
+        ids, c, n, sets_, out = pdf["id"].to_numpy(), pdf["c"].to_numpy(), pdf["n"].to_numpy(), pdf["members"].to_numpy(), []
+        for k in np.argsort(-share, kind="stable"):
+            i, j = x[k], y[k]
+            if (a := top(c[i])) == (b := top(c[j])):
+                continue
+            both = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
+            if 100 * both >= p.share * (n[i] + n[j] - both):
+                up[a] = b
+                out.append(sorted((ids[i], ids[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    more = left.unionByName(right).groupBy("key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
-    return likely(pairs.distinct(), classes, p).unionByName(more).distinct()
+    return found.join(sets, "id").select(*columns, "members").groupBy("key", "i", "j").applyInPandas(forest, f"a {kind}, b {kind}").distinct()
 
 
 def components(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of docs."""
+    docs = docs.select(id_col, text_col)
     every = common.saved(sketches(docs, p, id_col, text_col), "sketches")
     named = every.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = common.saved(named, "classes")
@@ -236,15 +265,11 @@ def components(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str
     hubs = common.saved(hubs, "hubs")
     sets = common.saved(full_sets(docs, classes.join(company.select("id"), "id", "left_semi"), p, id_col, text_col), "sets")
 
-    star = members.join(hubs, "key").where("id <> hub")
-    best = star.groupBy("id").agg(F.max(F.struct("w", "hub"))["hub"].alias("hub"))
-    tested = common.saved(_pairs(best).distinct(), "pairs")
+    best = members.join(hubs, "key").where("id <> hub").groupBy("id").agg(F.max(F.struct("w", "hub"))["hub"].alias("hub"))
+    tested = best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     roots = common.saved(star_components(common.saved(confirmed(likely(tested, classes, p), sets, p), "links")), "roots")
-    apart = star.select("id", "hub").distinct().join(roots.toDF("id", "ri"), "id", "left").join(roots.toDF("hub", "rh"), "hub", "left").where("coalesce(ri, id) <> coalesce(rh, hub)")
-    more = common.saved(_pairs(apart).join(tested, ["a", "b"], "left_anti"), "pairs")
-    roots = _joined(roots, common.saved(confirmed(likely(more, classes, p), sets, p), "links"))
-    roots = _joined(roots, common.saved(confirmed(_rest(members, hubs.drop("w"), roots, classes, p), sets, p), "links"))
-    common.forget(sets)
+    roots = _joined(roots, common.saved(rest_links(members, hubs, roots, classes, sets, p), "links"))
+    common.forget(sets, members, hubs)
 
     reps = classes.select("k1", "k2", F.col("id").alias("rep")).join(roots.toDF("rep", "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
     out = every.select("id", "n", "k1", "k2").join(reps, ["k1", "k2"], "left")

@@ -58,11 +58,30 @@ def corpus(rng):
 def test_components_against_brute_force(spark, rng):
     rows = corpus(rng)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for p in (minhash.MinHashParams(shingle=2), minhash.MinHashParams(), minhash.MinHashParams(shingle=2, few=4, block=4)):
+    for p in (minhash.MinHashParams(shingle=2), minhash.MinHashParams(), minhash.MinHashParams(shingle=2, block=4), minhash.MinHashParams(shingle=2, block_shingles=300)):
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.components(docs, p).collect())
         assert got == brute_components(rows, p.shingle)
 
 
+def test_blocks_without_hubs(spark, rng):
+    """Blocks alone find all links: each class begins as its own component."""
+    rows = corpus(rng)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = minhash.MinHashParams(shingle=2, block=16)
+    every = minhash.sketches(docs, p, "doc_id", "text").where("n > 0")
+    classes = every.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).cache()
+    members = classes.select("id", F.explode("bands").alias("key"))
+    hubs = members.groupBy("key").agg(F.max("id").alias("hub"))
+    sets = minhash.full_sets(docs, classes, p, "doc_id", "text")
+    links = minhash.rest_links(members, hubs, spark.createDataFrame([], "id long, root long"), classes, sets, p)
+    roots = {r.id: r.root for r in minhash.star_components(links).collect()}
+    want = {i: c for i, n, c, _ in brute_components(rows, 2)}
+    for r in classes.select("id").collect():
+        first = roots.get(r.id, r.id)
+        assert want[first] == want[r.id] and (first == r.id or want[r.id] <= first)
+    assert len({*roots.values()}) == len({want[r.id] for r in classes.select("id").collect() if r.id in roots})
+
+
 def test_star_components(spark, rng):
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
     up = {v: v for e in edges for v in e}
