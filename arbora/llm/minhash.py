@@ -27,8 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import common
 
@@ -45,6 +47,8 @@ class MinHashParams:
     #: Members, and shingles of full sets, in a block of a bucket, about.
     block: int = 1024
     block_shingles: int = 1 << 20
+    #: Bucket members that one call looks at, about.
+    bin_rows: int = 2000
     seed: int = 97
 
 
@@ -99,7 +103,9 @@ def sketches(docs: DataFrame, p: MinHashParams, id_col: str, text_col: str) -> D
 
 def full_sets(docs: DataFrame, wanted: DataFrame, p: MinHashParams, id_col: str, text_col: str) -> DataFrame:
     """(id, members): the full sets of the classes in wanted (id, k1, k2)."""
-    texts = docs.join(wanted.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    ids = wanted.select("id").distinct().withColumn("_key", F.xxhash64(F.col("id").cast("string")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("_key"))
+    texts = common.sieved(texts, ids, "_key").join(ids, ["id", "_key"], "left_semi")
 
     def make():
         def row(words: np.ndarray) -> tuple:
@@ -108,7 +114,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, p: MinHashParams, id_col: str,
 
         return lambda texts: [row(w) for w in common.word_hashes(texts, "space")]
 
-    sets = common.map_texts(texts, make, "k1 long, k2 long, members array<long>", id_col, text_col).withColumnRenamed(id_col, "id")
+    sets = common.map_texts(texts, make, "k1 long, k2 long, members array<long>", "id", "text")
     return sets.join(wanted.select("id", "k1", "k2"), ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]).select("id", "members")
 
 
@@ -178,33 +184,45 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return common.saved(star_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links)), "roots")
 
 
-def likely_pairs(sig: np.ndarray, n: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, agreement) of the rows x of left and y of right whose components differ, whose sizes and signatures allow
-    the threshold, and whose signatures agree on no band before this one (then an earlier bucket has the pair)."""
-    right = right[np.argsort(n[right], kind="stable")]
-    bound, least, out = n[right], p.share / 100 - p.margin, []
-    for x in left:
-        a, b = np.searchsorted(bound, [-(-p.share * n[x] // 100), 100 * n[x] // p.share + 1])
-        near = right[a:b]
-        near = near[c[near] != c[x]]
-        same = sig[near] == sig[x]
+#: Pairs that one numpy step compares.
+PAIRS = 1 << 16
+
+
+def likely_pairs(t: pa.Table, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, agreement): rows of side 0 and of side 1 in the same bucket and block whose components differ, whose sizes
+    and signatures allow the threshold, and whose signatures agree on no band before the bucket's (else an earlier
+    bucket has the pair)."""
+    side, n, band = (t[c].to_numpy() for c in ("side", "n", "band"))
+    c = np.unique(t["c"].to_numpy(), return_inverse=True)[1]
+    block = np.unique(np.stack([t[k].to_numpy() for k in ("key", "i", "j")]), axis=1, return_inverse=True)[1].ravel()
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
+    right = np.flatnonzero(side == 1)
+    right = right[np.lexsort((n[right], block[right]))]
+    left = np.flatnonzero(side == 0)
+    # The partners that sizes allow stand together; sizes are put behind the block's number.
+    step = int(n.max(initial=0)) + 2
+    place = block[right] * step + n[right]
+    first = np.searchsorted(place, block[left] * step - (-p.share * n[left] // 100))
+    last = np.searchsorted(place, block[left] * step + np.minimum(100 * n[left] // p.share, step - 1), side="right")
+    least, out, size = p.share / 100 - p.margin, [], last - first
+    for a, b in common.steps([range(s) for s in size.tolist()], PAIRS):
+        m = size[a:b]
+        x = np.repeat(left[a:b], m)
+        y = right[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[a:b], m)]
+        on = c[x] != c[y]
+        x, y = x[on], y[on]
+        same = sig[x] == sig[y]
         share = (same.mean(1) - 1 / 256) / (1 - 1 / 256)  # less what agrees by chance
-        first = same.reshape(len(near), p.bands, p.rows).all(2)[:, :band].any(1) if band else np.zeros(len(near), bool)
-        ok = (share >= least) & ~first
-        out.append((np.full(ok.sum(), x), near[ok], share[ok]))
+        on = share >= least
+        x, y, same, share = x[on], y[on], same[on], share[on]
+        on = same.reshape(len(x), p.bands, p.rows).all(2).argmax(1) >= band[x]
+        out.append((x[on], y[on], share[on]))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
-def _block(pdf: pd.DataFrame, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The likely pairs of the rows of a block."""
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-    left, right = (np.flatnonzero(pdf["side"].to_numpy() == k) for k in (0, 1))
-    return likely_pairs(sig, pdf["n"].to_numpy(), pd.factorize(pdf["c"])[0], left, right, int(pdf["band"].iloc[0]), p)
-
-
 def rest_links(members: DataFrame, hubs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, p: MinHashParams) -> DataFrame:
     """Links (a, b) between bucket members in different components: a forest of those that each block finds."""
-    own = members.join(roots.toDF("id", "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+    own = members.join(roots.toDF("id", "root"), "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("c"))
     own = own.join(classes.select("id", "n"), "id")
     open_ = own.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m"), F.sum("n").alias("s")).where("x <> y")
     hub = hubs.select("key", "hub").join(roots.toDF("hub", "hub_root"), "hub", "left").select("key", F.coalesce("hub_root", "hub").alias("main"))
@@ -213,22 +231,25 @@ def rest_links(members: DataFrame, hubs: DataFrame, roots: DataFrame, classes: D
     minor = minor.select("key", F.greatest(F.ceil(F.col("q") / p.block), F.ceil(F.col("s") / p.block_shingles)).cast("int").alias("rows"))
     own = own.join(open_.join(minor, "key"), "key").withColumn("at", F.xxhash64("id", "key"))
     # (i, j): block i of those outside of the hub's component meets block j of all.
-    left = own.where("c <> main").select("key", F.lit(0).alias("side"), F.expr("cast(pmod(at, rows) as int)").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "c", "n")
-    right = own.select("key", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.expr("cast(pmod(at, blocks) as int)").alias("j"), "id", "c", "n")
-    sigs = classes.select("id", "sig", F.posexplode("bands").alias("band", "key"))
-    rows = left.unionByName(right).join(sigs, ["id", "key"])
-    kind = classes.schema["id"].dataType.simpleString()
-
-    def partners(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, _ = _block(pdf, p)
-        return pdf.iloc[np.unique(np.concatenate([x, y]))]
-
-    schema = f"key long, side int, i int, j int, id {kind}, c {kind}, n long, sig binary, band int"
-    columns = ["key", "side", "i", "j", "id", "c", "n", "sig", "band"]
-    found = common.saved(rows.select(columns).groupBy("key", "i", "j").applyInPandas(partners, schema), "partners")
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, share = _block(pdf, p)
+    own = own.withColumn("whole", F.expr("blocks = 1 and rows = 1"))
+    left = own.where("c <> main").select("key", "whole", F.lit(0).alias("side"), F.expr("cast(pmod(at, rows) as int)").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "c", "n", "band")
+    right = own.select("key", "whole", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.expr("cast(pmod(at, blocks) as int)").alias("j"), "id", "c", "n", "band")
+    # Blocks of small buckets are put together, so that a call has some work.
+    bins = max(1, members.count() // p.bin_rows)
+    alone = F.xxhash64("key", "i", "j")
+    rows = left.unionByName(right).withColumn("bin", F.when(F.col("whole"), F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(alone)).drop("whole")
+    rows = rows.join(classes.select("id", "sig"), "id")
+    fields = {f.name: f for f in rows.schema}
+    columns = ["bin", "key", "side", "i", "j", "id", "c", "n", "sig", "band"]
+
+    def partners(t: pa.Table) -> pa.Table:
+        x, y, _ = likely_pairs(t, p)
+        return t.select(columns).take(np.unique(np.concatenate([x, y])))
+
+    found = common.saved(rows.select(columns).groupBy("bin").applyInArrow(partners, StructType([fields[c] for c in columns])), "partners")
+
+    def forest(t: pa.Table) -> pa.Table:
+        x, y, share = likely_pairs(t, p)
         up: dict = {}
 
         def top(v):
@@ -236,18 +257,21 @@ def rest_links(members: DataFrame, hubs: DataFrame, roots: DataFrame, classes: D
                 up[v] = v = up.get(w, w)
             return v
 
-        ids, c, n, sets_, out = pdf["id"].to_numpy(), pdf["c"].to_numpy(), pdf["n"].to_numpy(), pdf["members"].to_numpy(), []
+        ids, c, n, sets_ = t["id"].to_pylist(), t["c"].to_pylist(), t["n"].to_pylist(), t["members"].combine_chunks()
+        out = []
         for k in np.argsort(-share, kind="stable"):
             i, j = x[k], y[k]
             if (a := top(c[i])) == (b := top(c[j])):
                 continue
-            both = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
+            both = len(np.intersect1d(sets_[i].values.to_numpy(), sets_[j].values.to_numpy(), assume_unique=True))
             if 100 * both >= p.share * (n[i] + n[j] - both):
                 up[a] = b
                 out.append(sorted((ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
+        return pa.table({k: pa.array([o[m] for o in out], t.schema.field("id").type) for m, k in enumerate("ab")})
 
-    return found.join(sets, "id").select(*columns, "members").groupBy("key", "i", "j").applyInPandas(forest, f"a {kind}, b {kind}").distinct()
+    kind = classes.schema["id"].dataType
+    links = found.join(sets, "id").select(*columns, "members").groupBy("bin").applyInArrow(forest, StructType([StructField("a", kind), StructField("b", kind)]))
+    return links.distinct()
 
 
 def components(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,9 +281,9 @@ def components(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str
     named = every.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = common.saved(named, "classes")
 
-    spots = classes.select("id", F.explode("bands").alias("key"))
+    spots = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = spots.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = common.saved(spots.join(shared, "key").select("key", "m", "id"), "members")
+    members = common.saved(spots.join(shared, "key").select("key", "band", "m", "id"), "members")
     company = members.groupBy("id").agg(F.sum("m").alias("w"))
     hubs = members.join(company, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("x")).select("key", F.col("x.id").alias("hub"), F.col("x.w").alias("w"))
     hubs = common.saved(hubs, "hubs")

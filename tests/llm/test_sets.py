@@ -58,7 +58,7 @@ def corpus(rng):
 def test_components_against_brute_force(spark, rng):
     rows = corpus(rng)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for p in (minhash.MinHashParams(shingle=2), minhash.MinHashParams(), minhash.MinHashParams(shingle=2, block=4), minhash.MinHashParams(shingle=2, block_shingles=300)):
+    for p in (minhash.MinHashParams(shingle=2), minhash.MinHashParams(), minhash.MinHashParams(shingle=2, block=4), minhash.MinHashParams(shingle=2, block_shingles=300, bin_rows=50)):
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.components(docs, p).collect())
         assert got == brute_components(rows, p.shingle)
 
@@ -70,7 +70,7 @@ def test_blocks_without_hubs(spark, rng):
     p = minhash.MinHashParams(shingle=2, block=16)
     every = minhash.sketches(docs, p, "doc_id", "text").where("n > 0")
     classes = every.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).cache()
-    members = classes.select("id", F.explode("bands").alias("key"))
+    members = classes.select("id", F.posexplode("bands").alias("band", "key"))
     hubs = members.groupBy("key").agg(F.max("id").alias("hub"))
     sets = minhash.full_sets(docs, classes, p, "doc_id", "text")
     links = minhash.rest_links(members, hubs, spark.createDataFrame([], "id long, root long"), classes, sets, p)
@@ -304,6 +304,15 @@ def test_passages_of_two_documents(spark, rng):
     assert got == {i: "\n".join(t) for i, t in enumerate(want)}
 
 
+def test_lines_keep_all_columns(spark, rng):
+    names = ["_key", "key", "_text", "mark", "both", "left", "gone", "row", "lines", "body", "sig", "n_lines"]
+    rows = [(i, prose(rng) + "\nAll rights reserved here\t today.", *([7] * len(names))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in names))
+    got = lines.deduplicated(docs)
+    assert set(got.columns) == {*docs.columns, "n_dropped"}
+    assert all(r.n_dropped == 1 and r.n_lines == 2 and all(r[c] == 7 for c in names[:-1]) for r in got.collect())
+
+
 def test_lines_odd(spark, odd_docs, no_docs):
     rows = lines.deduplicated(odd_docs).collect()
     texts = sorted((repr(r.text) for r in odd_docs.collect()))
