@@ -17,7 +17,7 @@ families of documents, its lines are dropped from the documents that hold the ru
 
 Defined cases: null texts stay null; empty lines are kept and never counted; a line repeated within a document counts
 once; texts without a recurring line stay as they are, byte for byte; rows may repeat, and rows with a null id are taken
-by their text. All columns of the input stay; the added ones are `n_lines` and `n_dropped`.
+by their text. All columns of the input stay, whatever their names, but for `n_lines` and `n_dropped`, which are added.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from . import common
 from .minhash import star_components
 
-FAMILIES = 4
+#: Even: each hash gives the least and the greatest value.
+FAMILIES = 6
+#: Added to a pair's hash by exclusive or, one for each two minima.
+TURNS = (0, 0x5555555555555555, 0x3333333333333333)
 
 
 @dataclass(frozen=True)
@@ -42,52 +45,43 @@ class LineParams:
     min_constant: float = 0.6
 
 
-def _plain(line: Column) -> Column:
-    """The line with one space between tokens."""
-    return F.trim(F.regexp_replace(line, r"\s+", " "))
+def _masked(line: Column) -> Column:
+    """The line with one space between tokens and <*> for tokens with a digit. Only lines with something to do are rewritten."""
+    spaced = F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))
+    return F.when(line.contains("  ") | line.rlike(r"[0-9\t\x0B\f\r]"), F.regexp_replace(spaced, r"(?<! )[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.trim(line))
 
 
-def _fields_masked(plain: Column) -> Column:
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
+def _size(line: Column) -> Column:
+    """The number of a masked line's tokens."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _tokens(line: Column) -> Column:
-    return F.split(line, " ")
-
-
-def leaf(words: Column, p: LineParams) -> Column:
-    return F.xxhash64(F.size(words), *[F.get(words, F.lit(i)) for i in range(p.lead)])
+def leaf(line: Column, p: LineParams) -> Column:
+    return F.xxhash64(_size(line), F.substring_index(line, " ", p.lead))
 
 
 def _pairs(hashes: Column) -> Column:
-    """Hashed pairs of neighbours; a lone one is itself."""
+    """Hashes of pairs of neighbours; a lone one is itself."""
     n = F.size(hashes) - 1
-    return F.when(n > 0, F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b))).otherwise(hashes)
-
-
-def _least(pairs: Column, k: int) -> Column:
-    return F.array_min(F.transform(pairs, lambda x: F.xxhash64(x, F.lit(k)))).alias(f"m{k}")
-
-
-def _split(df: DataFrame, text_col: str, distinct: bool) -> DataFrame:
-    """Adds _own (masked lines) and _tokens. Each step is a column of its own: lambdas evaluate what they repeat anew."""
-    plain = F.transform(_lines(F.col(text_col)), _plain)
-    own = F.transform(F.col("_plain"), _fields_masked)
-    df = df.withColumn("_plain", F.filter(F.array_distinct(plain), lambda x: x != "") if distinct else plain)
-    df = df.withColumn("_own", F.array_distinct(own) if distinct else own).drop("_plain")
-    return df.withColumn("_tokens", F.transform("_own", _tokens))
+    return F.when(n > 0, F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: a.bitwiseXOR(F.shiftleft(b, 1)))).otherwise(hashes)
 
 
 def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
-    """Adds lines: (leaf, sig, tokens, m0...) of the text's distinct lines."""
-    df = _split(df, text_col, True)
-    df = df.withColumn("_pairs", F.transform(F.transform("_tokens", lambda t: F.transform(t, lambda w: F.xxhash64(w))), _pairs))
-    each = F.arrays_zip("_own", "_tokens", "_pairs")
-    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_tokens"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), F.size(z["_tokens"]).alias("tokens"), *[_least(z["_pairs"], k) for k in range(FAMILIES)])))
+    """Adds lines: (leaf, sig, tokens, m0...) of the text's distinct masked lines. Each step is a column of its own: lambdas evaluate what they repeat anew."""
+    df = df.withColumn("_own", F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _masked))
+    df = df.withColumn("_own", F.array_remove(F.array_distinct("_own"), ""))
+    df = df.withColumn("_pairs", F.transform("_own", lambda x: F.transform(F.split(x, " "), lambda y: F.xxhash64(y))))
+    df = df.withColumn("_pairs", F.transform("_pairs", _pairs))
 
+    def minima(pairs: Column) -> list[Column]:
+        out = []
+        for turn in TURNS[: FAMILIES // 2]:
+            h = F.transform(pairs, lambda x, t=turn: x.bitwiseXOR(F.lit(t))) if turn else pairs
+            out += [F.array_min(h), F.bitwise_not(F.array_max(h))]
+        return [c.alias(f"m{k}") for k, c in enumerate(out)]
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
+    each = F.arrays_zip("_own", "_pairs")
+    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_own"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), _size(z["_own"]).alias("tokens"), *minima(z["_pairs"]))))
 
 
 def _two_least() -> list[Column]:
@@ -105,8 +99,8 @@ def _families() -> list[Column]:
     return [F.when(own != a, a).otherwise(F.coalesce(b, a)) for a, b, own in both]
 
 
-def _enough(p: LineParams) -> Column:
-    return (F.col("n") >= p.min_docs) | ((F.col("n") >= p.min_docs_long) & (F.col("tokens") >= p.long_tokens))
+def _enough(p: LineParams, n: str = "n") -> Column:
+    return (F.col(n) >= p.min_docs) | ((F.col(n) >= p.min_docs_long) & (F.col("tokens") >= p.long_tokens))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -119,7 +113,8 @@ def _counted(rows: DataFrame) -> DataFrame:
 def _passages(marks: DataFrame, lines: DataFrame, p: LineParams) -> DataFrame:
     """(body, leaf, sig): lines of recurring runs, by the document's body. Copies that have the same lines are one body."""
     own = marks.select("body", F.posexplode("lines").alias("at", "x")).select("body", "at", "x.leaf", "x.sig", "x.tokens")
-    held = own.join(lines.where(F.col("n") >= p.min_docs_long).select("leaf", "sig"), ["leaf", "sig"]).distinct()
+    often = lines.where((F.col("n") >= p.min_docs_long) & F.col("mixed")).select("leaf", "sig")
+    held = common.sieved(own, often, "sig").distinct().join(often, ["leaf", "sig"])
     held = held.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("body").orderBy("at")))
     held = held.withColumn("all", F.sum("tokens").over(Window.partitionBy("body", "run"))).where(F.col("all") >= p.long_tokens)
     near, far = Window.partitionBy("body", "run").orderBy("at"), p.long_tokens - 1  # each line has a token at least
@@ -150,58 +145,75 @@ def _passages(marks: DataFrame, lines: DataFrame, p: LineParams) -> DataFrame:
 
 def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(marks, found, passages): (key, body, lines) of each document with the distinct (leaf, sig, tokens, m0...) of its lines; (leaf, sig) of the lines to drop; (body, leaf, sig) of those to drop from some documents."""
-    marks = _marks(docs.select(common.document_key(id_col, text_col).alias("key"), text_col), text_col, p)
+    marks = _marks(docs.select(common.document_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")), "text", p)
     marks = common.saved(marks.select("key", F.xxhash64(F.col("lines")["sig"]).alias("body"), "lines", *_two_least()), "line-marks")
 
-    each = marks.select(F.explode("lines").alias("x"), *[f"t{k}" for k in range(FAMILIES)]).select("x.leaf", "x.sig", "x.tokens", *[f.alias(f"f{k}") for k, f in enumerate(_families())])
-    ends = [e(f"f{k}") for k in range(FAMILIES) for e in (F.min, F.max)]
-    varied = F.lit(True)  # where a minimum is the same in all documents, they are one family
-    for low, high in zip(ends[::2], ends[1::2], strict=True):
-        varied = varied & (low != high)
-    lines = common.saved(each.groupBy("leaf", "sig").agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"), varied.alias("varied")), "lines")
+    each = marks.select("body", F.explode("lines").alias("x"), *[f"t{k}" for k in range(FAMILIES)])
+    lines = each.groupBy("x.leaf", "x.sig").agg(F.count("*").alias("n"), F.max("x.tokens").alias("tokens"), F.min("body").alias("x"), F.max("body").alias("y"))
+    lines = common.saved(lines.select("leaf", "sig", "n", "tokens", (F.col("x") != F.col("y")).alias("mixed")), "lines")
 
     leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.max("tokens").alias("tokens"))
-    opened = leaves.where((F.col("a") != F.col("b")) & (F.col("docs") >= min(p.min_docs, p.min_docs_long)) & (F.col("tokens") > p.lead)).select("leaf", "docs")
-    shared = _templates(docs, lines, opened, p, text_col)
+    opened = leaves.where((F.col("a") != F.col("b")) & _enough(p, "docs") & (F.col("tokens") > p.lead)).select("leaf", "docs")
+    opened = _varied(each, common.saved(opened, "line-leaves"))
+    shared = _templates(docs.select(F.col(text_col).alias("text")), lines, opened, p)
     whole = shared.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).where(_enough(p)).select("leaf")
-    asked = lines.where(_enough(p) & F.col("varied")).select("leaf", "sig", "tokens", F.xxhash64(F.lit("line"), "leaf", "sig").alias("unit"))
+    asked = lines.where(_enough(p) & F.col("mixed")).select("leaf", "sig", "tokens", F.xxhash64(F.lit("line"), "leaf", "sig").alias("unit"))
     asked = asked.unionByName(shared.join(whole, "leaf").select("leaf", "sig", "tokens", F.xxhash64(F.lit("leaf"), "leaf").alias("unit")))
     asked = common.saved(asked, "line-units")
-    counted = _counted(each.drop("tokens").join(asked, ["leaf", "sig"]))
-    found = asked.join(counted, "unit").where(_enough(p)).select("leaf", "sig").distinct()
-    return marks, common.saved(found, "line-templates"), _passages(marks, lines, p)
-
-
-def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LineParams, text_col: str) -> DataFrame:
-    """The rows of lines that share their leaf's template. opened: (leaf, docs) of the leaves that hold different lines."""
-    text = _split(docs.select(text_col), text_col, True).select(F.explode("_own").alias("line"))
-    text = text.select(leaf(_tokens(F.col("line")), p).alias("leaf"), F.xxhash64("line").alias("sig"), "line").join(opened, "leaf")
-    # First by leaf and sig, so that a line of many documents travels once for each task.
-    text = common.saved(text.groupBy("leaf", "sig").agg(F.first("line").alias("line"), F.first("docs").alias("docs")), "line-texts")
-    spots = text.join(lines.select("leaf", "sig", "n"), ["leaf", "sig"]).select("leaf", "sig", "n", "docs", F.posexplode(_tokens(F.col("line"))).alias("place", "token")).where(F.col("place") >= p.lead)
+    held = common.sieved(each.withColumn("sig", F.col("x.sig")), asked, "sig").select("x.leaf", "sig", *[f.alias(f"f{k}") for k, f in enumerate(_families())])
+    counted = _counted(held.join(asked, ["leaf", "sig"]))
+    found = common.saved(asked.join(counted, "unit").where(_enough(p)).select("leaf", "sig").distinct(), "line-templates")
+    common.forget(asked)
+    return marks, found, _passages(marks, lines, p)
+
+
+def _varied(each: DataFrame, opened: DataFrame) -> DataFrame:
+    """The rows of opened whose lines aren't all of one family by a minimum that all documents share."""
+    held = common.sieved(each.withColumn("leaf", F.col("x.leaf")), opened, "leaf").select("leaf", *[f.alias(f"f{k}") for k, f in enumerate(_families())])
+    ends = [e(f"f{k}").alias(f"{n}{k}") for k in range(FAMILIES) for n, e in (("a", F.min), ("b", F.max))]
+    differ = " and ".join(f"a{k} <> b{k}" for k in range(FAMILIES))
+    return common.saved(opened.join(held.groupBy("leaf").agg(*ends).where(differ).select("leaf"), "leaf"), "line-leaves")
+
+
+def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LineParams) -> DataFrame:
+    """The rows of lines that share their leaf's template. docs: (text). opened: (leaf, docs) of the leaves that hold different lines."""
+    text = docs.select(F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line")).select(_masked(F.col("line")).alias("line")).where("line <> ''")
+    text = common.sieved(text.withColumn("leaf", leaf(F.col("line"), p)), opened, "leaf")
+    # First by leaf and sig, so that a line of many documents travels once for each task, and a leaf of many lines is spread.
+    text = text.groupBy("leaf", F.xxhash64("line").alias("sig")).agg(F.first("line").alias("line"))
+    text = text.join(lines.select("leaf", "sig", "n", "tokens"), ["leaf", "sig"])
+    text = common.saved(text.join(opened, "leaf"), "line-texts")
+    spots = text.select("leaf", "sig", "n", "docs", F.posexplode(F.split("line", " ")).alias("place", "token")).where(F.col("place") >= p.lead)
     often = spots.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"), F.first("docs").alias("docs"))
-    constant = often.where("2 * n >= docs").groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
-    agree = spots.join(constant, ["leaf", "place", "token"]).groupBy("leaf", "sig").agg(F.count("*").alias("agree"))
-    kept = agree.join(lines, ["leaf", "sig"]).where(F.col("agree") >= p.min_constant * (F.col("tokens") - p.lead))
-    return common.saved(kept.select("leaf", "sig", "tokens", "n"), "line-shared")
+    top = often.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("t"), F.first("docs").alias("docs"))
+    top = top.select("leaf", "place", F.when(2 * F.col("t.n") >= F.col("docs"), F.col("t.token")).alias("token"))
+    constant = top.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token")))["token"].alias("constant"))  # the places of a line
+    rest = F.slice(F.split("line", " "), p.lead + 1, F.col("tokens") - p.lead)
+    agree = F.size(F.filter(F.zip_with(rest, "constant", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+    kept = text.join(constant, "leaf").where(agree >= p.min_constant * (F.col("tokens") - p.lead))
+    out = common.saved(kept.select("leaf", "sig", "tokens", "n"), "line-shared")
+    common.forget(text, opened)
+    return out
 
 
 def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines of recurring templates dropped from text_col, and n_lines and n_dropped."""
     marks, found, passages = recurring(docs, p, id_col, text_col)
-    hits = marks.select("key", F.explode("lines").alias("x")).select("key", "x.leaf", "x.sig").join(found, ["leaf", "sig"]).select("key", "leaf", "sig")
+    each = marks.select("key", F.explode("lines").alias("x")).select("key", "x.leaf", "x.sig")
+    hits = common.sieved(each, found, "sig").join(found, ["leaf", "sig"]).select("key", "leaf", "sig")
     hits = hits.unionByName(marks.select("key", "body").distinct().join(passages, "body").select("key", "leaf", "sig"))
-    gone = hits.groupBy("key").agg(F.collect_set(F.struct("leaf", "sig")).alias("_gone"))  # the lines of one document
-    text = F.col(text_col)
-    clashing = [c for c in docs.columns if c in ("n_lines", "n_dropped", "_gone", "_key", "_cut", "_plain", "_own", "_tokens", "_marks", "_left")]
-    out = docs.drop(*clashing).withColumn("_key", common.document_key(id_col, text_col)).join(gone.withColumnRenamed("key", "_key"), "_key", "left")
-    out = _split(out.withColumn("_cut", F.when(F.col("_gone").isNotNull(), text)), "_cut", False)
-    out = out.withColumn("_marks", F.transform(F.arrays_zip("_own", "_tokens"), lambda z: F.struct(leaf(z["_tokens"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"))))
+    gone = common.saved(hits.groupBy("key").agg(F.collect_set("sig").alias("gone")), "line-hits")  # the lines of one document
+    common.forget(marks, found, passages)
+
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select(common.document_key(id_col, text_col).alias("key"), F.struct(*kept).alias("row")).join(gone, "key", "left")
+    text = F.when(F.col("gone").isNotNull(), F.col("row")[text_col])
+    rows = rows.withColumn("text", text).withColumn("mark", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_masked(x))))
     # Lines and marks go into one array first: a column that only a lambda reads would be evaluated for each element.
-    both = F.arrays_zip(_lines(F.col("_cut")).alias("line"), F.col("_marks").alias("mark"))
-    kept = F.filter(both, lambda z: ~F.array_contains(F.col("_gone"), z["mark"]))
-    left = F.when(F.col("_gone").isNotNull(), F.transform(kept, lambda z: z["line"]))
-    lines = F.size(_lines(text))
-    out = out.withColumn("_left", left).withColumn("n_lines", F.when(text.isNull() | (text == ""), 0).otherwise(lines).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(lines - F.size("_left"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_gone").isNotNull(), F.array_join("_left", "\n")).otherwise(text)).drop("_key", "_gone", "_left", "_cut", "_own", "_tokens", "_marks")
+    rows = rows.withColumn("both", F.arrays_zip(F.split("text", "\n").alias("line"), "mark"))
+    rows = rows.withColumn("left", F.transform(F.filter("both", lambda z: ~F.array_contains("gone", z["mark"])), lambda z: z["line"]))
+    own, whole = F.col("row")[text_col], F.size(F.split(F.col("row")[text_col], "\n"))
+    new = F.when(F.col("gone").isNotNull(), F.array_join("left", "\n")).otherwise(own)
+    n_lines = F.when(own.isNull() | (own == ""), 0).otherwise(whole).cast("long").alias("n_lines")
+    n_dropped = F.coalesce(whole - F.size("left"), F.lit(0)).cast("long").alias("n_dropped")
+    return rows.select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept], n_lines, n_dropped)
