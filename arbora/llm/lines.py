@@ -31,9 +31,9 @@ from . import common
 from .minhash import star_components
 
 #: Even: each hash gives the least and the greatest value.
-FAMILIES = 6
+FAMILIES = 4
 #: Added to a pair's hash by exclusive or, one for each two minima.
-TURNS = (0, 0x5555555555555555, 0x3333333333333333)
+TURNS = (0, 0x5555555555555555)
 
 
 @dataclass(frozen=True)
@@ -86,11 +86,9 @@ def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
 
 def _two_least() -> list[Column]:
     """For each hash function the two least of the minima of a document's lines."""
-
-    def least(k: int) -> Column:
-        return F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda y: y[f"m{k}"]))), 1, 2).alias(f"t{k}")
-
-    return [least(k) for k in range(FAMILIES)]
+    own = [F.array_distinct(F.col("lines")[f"m{k}"]) for k in range(FAMILIES)]
+    least = [(F.array_min(a), F.array_min(F.array_remove(a, F.array_min(a)))) for a in own]
+    return [F.array(*x).alias(f"t{k}") for k, x in enumerate(least)]
 
 
 def _families() -> list[Column]:
@@ -114,7 +112,8 @@ def _passages(marks: DataFrame, lines: DataFrame, p: LineParams) -> DataFrame:
     """(body, leaf, sig): lines of recurring runs, by the document's body. Copies that have the same lines are one body."""
     own = marks.select("body", F.posexplode("lines").alias("at", "x")).select("body", "at", "x.leaf", "x.sig", "x.tokens")
     often = lines.where((F.col("n") >= p.min_docs_long) & F.col("mixed")).select("leaf", "sig")
-    held = common.sieved(own, often, "sig").distinct().join(often, ["leaf", "sig"])
+    lone = common.saved(common.sieved(own, often, "sig").distinct().join(often, ["leaf", "sig"]), "line-held")  # copies are one body
+    held = lone
     held = held.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("body").orderBy("at")))
     held = held.withColumn("all", F.sum("tokens").over(Window.partitionBy("body", "run"))).where(F.col("all") >= p.long_tokens)
     near, far = Window.partitionBy("body", "run").orderBy("at"), p.long_tokens - 1  # each line has a token at least
@@ -140,7 +139,9 @@ def _passages(marks: DataFrame, lines: DataFrame, p: LineParams) -> DataFrame:
     rows = rows.withColumn("rest", F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.col("lines")))
     rows = rows.select("unit", *[F.array_min(F.col("rest")[f"m{k}"]).alias(f"f{k}") for k in range(FAMILIES)])
     found = wanted.join(_counted(rows).where(F.col("n") >= p.min_docs_long), "unit").select("body", F.explode(F.sequence("a", "b")).alias("at")).distinct()
-    return common.saved(found.join(own, ["body", "at"]).select("body", "leaf", "sig"), "line-passages")
+    out = common.saved(found.join(lone, ["body", "at"]).select("body", "leaf", "sig").distinct(), "line-passages")
+    common.forget(lone, runs, wanted)
+    return out
 
 
 def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,7 +178,7 @@ def _varied(each: DataFrame, opened: DataFrame) -> DataFrame:
 
 def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LineParams) -> DataFrame:
     """The rows of lines that share their leaf's template. docs: (text). opened: (leaf, docs) of the leaves that hold different lines."""
-    text = docs.select(F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line")).select(_masked(F.col("line")).alias("line")).where("line <> ''")
+    text = docs.select(F.explode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _masked)).alias("line")).where("line <> ''")
     text = common.sieved(text.withColumn("leaf", leaf(F.col("line"), p)), opened, "leaf")
     # First by leaf and sig, so that a line of many documents travels once for each task, and a leaf of many lines is spread.
     text = text.groupBy("leaf", F.xxhash64("line").alias("sig")).agg(F.first("line").alias("line"))
