@@ -5,8 +5,9 @@ samples, sample to chunk, sample sizes, chunk offsets of 32 or 64 bits): codec,
 frames come from the boxes alone and no payload byte is decoded. `store` writes the samples of one track as a container
 and `payload` reads them back by the tables.
 
-Defined cases: null media have no tracks; a container that is cut short or whose tables contradict each other gives one
-row with `error` set and nulls elsewhere; unknown boxes are passed over; a box of size 0 reaches to its parent's end; a
+Defined cases: null media have no tracks, and null digests, as have containers without a track or that can't be read; in
+`tracks`, a container that is cut short or whose tables contradict each other gives one row with `error` set and nulls
+elsewhere; unknown boxes are passed over; a box of size 0 reaches to its parent's end; a
 track without a sync table has only key frames. Ids may repeat or be null: each row is walked.
 """
 
@@ -19,9 +20,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -132,6 +133,8 @@ def _track(data: bytes, trak: dict) -> Track:
     codec = next((kind.decode("latin-1") for kind, _, _ in boxes(data, a + 8, b)), "")
     a, b = _one(stbl, b"stsz")
     fixed, count = struct.unpack_from(">II", data, a + 4)
+    if count * fixed > len(data):
+        raise BadMedia("samples are larger than the container")
     sizes = np.full(count, fixed, np.int64) if fixed else _numbers(data, a + 12, b, count, ">u4")
     chunks = _table(data, stbl[b"stco"][0], 1)[:, 0] if b"stco" in stbl else _table(data, _one(stbl, b"co64"), 1, ">u8")[:, 0]
     runs = _table(data, _one(stbl, b"stsc"), 3)
@@ -156,8 +159,10 @@ def _track(data: bytes, trak: dict) -> Track:
 def parse(data: bytes) -> list[Track]:
     try:
         return [_track(data, t) for moov in tree(data, 0, len(data)).get(b"moov", []) for t in moov.get(b"trak", [])]
-    except struct.error as e:
+    except (struct.error, IndexError) as e:
         raise BadMedia("a box is cut short") from e
+    except RecursionError as e:
+        raise BadMedia("boxes are nested too deep") from e
 
 
 def payload(data: bytes, track: Track) -> bytes:
@@ -226,35 +231,26 @@ TRACKS = "track_id long, handler string, codec string, timescale long, duration
 
 def tracks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """A row for each track of each container: id_col and the columns of TRACKS."""
-    common.short_batches(media.sparkSession)
-    names = ["track_id", "handler", "codec", "timescale", "duration", "seconds", "n_samples", "key_frames", "error"]
-
-    def rows(data: bytes) -> list[tuple]:
+    def rows(data: bytes | None) -> list[tuple]:
+        if data is None:
+            return []
         try:
             return [(t.track_id, t.handler, t.codec, t.timescale, t.duration, t.duration / t.timescale if t.timescale else None, len(t.sizes), [dict(zip(("sample", "time", "first", "bytes"), k, strict=True)) for k in t.key_ranges()], None) for t in parse(data)]
         except BadMedia as e:
             return [(None,) * 8 + (str(e),)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(i, *r) for i, data in zip(pdf["id"], pdf["media"], strict=True) if data is not None for r in rows(bytes(data))]
-            yield pd.DataFrame(out, columns=["id", *names], dtype=object)
-
-    kind = media.schema[id_col].dataType.simpleString()
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInPandas(run, f"id {kind}, {TRACKS}").withColumnRenamed("id", id_col)
+    names = StructType.fromDDL(TRACKS).names
+    found = common.map_texts(media, lambda: lambda values: [([dict(zip(names, r, strict=True)) for r in rows(v)],) for v in values], f"t array<struct<{TRACKS}>>", id_col, media_col)
+    return found.select(id_col, F.explode("t").alias("t")).select(id_col, "t.*")
 
 
 def to_media(docs: DataFrame, layout: Layout = Layout(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, media): each text's UTF-8, filled with bytes 255 to whole frames, as a container."""
-    common.short_batches(docs.sparkSession)
+    def row(text: str | None) -> tuple:
+        raw = (text or "").encode("utf-8", "replace")
+        return len(raw), store(filled(raw, layout.sample_bytes), layout)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw = [t.encode("utf-8", "replace") for t in pdf["text"].fillna("")]
-            yield pd.DataFrame({"id": pdf["id"], "n_bytes": [len(r) for r in raw], "media": [store(filled(r, layout.sample_bytes), layout) for r in raw]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return common.map_texts(docs, lambda: lambda texts: [row(t) for t in texts], "n_bytes long, media binary", id_col, text_col)
 
 
 def filled(raw: bytes, unit: int) -> bytes:
@@ -266,23 +262,18 @@ DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byte
 
 def digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
     """(id_col, keep..., columns of DIGEST): what reading the first track back gives. feature: codec, time scale, duration, samples, key frames and a CRC of their byte ranges."""
-    common.short_batches(media.sparkSession)
-
-    def row(data: bytes) -> tuple:
-        t = parse(data)[0]
+    def row(data: bytes | None) -> tuple:
+        try:
+            found = parse(data) if data is not None else []
+        except BadMedia:
+            found = []
+        if not found:
+            return (None,) * 6
+        t = found[0]
         read = payload(data, t)
         k = t.keys
         ranges = zlib.crc32(np.stack([t.times[k], t.offsets[k], t.sizes[k]]).astype(">i8").tobytes())
         feature = f"codec={t.codec.strip()};timescale={t.timescale};duration={t.duration};samples={len(t.sizes)};keys={len(k)};ranges={ranges:08x}"
         return len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pd.DataFrame([row(bytes(m)) for m in pdf["media"]], columns=names)
-            yield pd.concat([pdf[["id", *keep]].reset_index(drop=True), out], axis=1)
-
-    kept = "".join(f"{c} {media.schema[c].dataType.simpleString()}, " for c in keep)
-    kind = media.schema[id_col].dataType.simpleString()
-    return media.select(F.col(id_col).alias("id"), *keep, F.col(media_col).alias("media")).mapInPandas(run, f"id {kind}, {kept}{DIGEST}").withColumnRenamed("id", id_col)
+    return common.map_texts(media, lambda: lambda values: [row(v) for v in values], DIGEST, id_col, media_col, keep)

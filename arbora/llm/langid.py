@@ -4,8 +4,8 @@ A word is a run of letters. Its features are hashed character n-grams with the w
 touch a border are its affixes) and its place in a lexicon of words that many training documents share. Label weights
 and label-to-label transitions are learned together by maximising the conditional likelihood of chains, which are put
 together from runs of words of documents with different known languages. Words get posterior label shares by
-forward-backward; a document's language is the one with the largest sum of shares. A chain holds `span` words at most:
-longer texts are several chains, so no text is cut off.
+forward-backward; a document's language is the one with the largest sum of shares. A text is one chain, however long:
+numpy works on spans of `span` words, and what a span passes to its neighbours goes through the spans' transfer matrices.
 
 Defined cases: null texts and texts without letters are `und` with score 0; without any labelled document every text
 with letters is `und` too. Ties go to the smaller label. Ids may repeat or be null: each row is labelled.
@@ -18,8 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,9 +34,8 @@ class LangParams:
     #: Words join the lexicon from so many training documents on.
     lexicon_docs: int = 5
     lexicon_size: int = 4096
-    #: Bounds of the labelled sample: documents of each language, languages (most frequent first), characters of a document.
+    #: Bounds of the labelled sample: documents of each language, characters of a document.
     sample_rows: int = 300
-    sample_languages: int = 200
     sample_row_chars: int = 20_000
     #: Training chains, the mean run of words before a switch of language, words of a chain.
     chains: int = 3000
@@ -111,7 +109,7 @@ class LangModel:
         """Label shares of each word."""
         e = self.emissions(w)
         grid, used = chain_grid(w.cuts, self.params.span)
-        return forward_backward(e, grid, used, self.transitions)[0]
+        return forward_backward(e, grid, used, self.transitions, chain=np.searchsorted(w.cuts, grid[:, 0], side="right") - 1 if len(grid) else None)[0]
 
 
 def lexicon_places(lexicon: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -122,7 +120,7 @@ def lexicon_places(lexicon: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def chain_grid(cuts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of each chain, a chain in a row; used: where there is a word."""
+    """Word numbers of each span of a chain, a span in a row and those of a chain in order; used: where there is a word."""
     sizes = np.diff(cuts)
     chains = -(-sizes // span)
     owner = np.repeat(np.arange(len(sizes)), chains)
@@ -133,8 +131,37 @@ def chain_grid(cuts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return grid, grid < cuts[owner + 1][:, None]
 
 
-def forward_backward(e: np.ndarray, grid: np.ndarray, used: np.ndarray, transitions: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior label shares of words; with counts also the expected transition counts. Arrays are (place, label, chain)."""
+def _passed(x: np.ndarray, on: np.ndarray, t: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each span gets from the spans before it (label shares of the word before; zeros at a chain's start) and from
+    those after it (backward messages at its last word; ones at a chain's end)."""
+    width, k, n = x.shape
+    before, after = np.zeros((n, k)), np.ones((n, k))
+    at = np.arange(n) - np.searchsorted(chain, chain)
+    size = np.bincount(chain, minlength=chain.max(initial=-1) + 1)[chain]
+    long = np.flatnonzero(size > 1)
+    if not len(long):
+        return before, after
+    m = np.broadcast_to(np.eye(k), (len(long), k, k)).copy()  # from the label before a span to that of its last word
+    for i in range(width):
+        step = (m @ t if i else np.where((at[long] > 0)[:, None, None], t, np.eye(k))) * x[i, :, long][:, None, :]
+        step /= step.max((1, 2), keepdims=True)
+        m = np.where(on[i, long][:, None, None], step, m)
+    whole = np.zeros((n, k, k))
+    whole[long] = m
+    for d in range(1, int(size.max())):
+        own = np.flatnonzero((at == d) & (size > d))
+        got = np.einsum("nk,nkl->nl", before[own - 1] if d > 1 else np.ones((len(own), k)), whole[own - 1])
+        before[own] = got / got.sum(1, keepdims=True)
+    for d in range(1, int(size.max())):
+        own = np.flatnonzero(size - 1 - at == d)
+        got = np.einsum("nkl,nl->nk", whole[own + 1], after[own + 1])
+        after[own] = got / got.max(1, keepdims=True)
+    return before, after
+
+
+def forward_backward(e: np.ndarray, grid: np.ndarray, used: np.ndarray, transitions: np.ndarray, counts: bool = False, chain: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior label shares of words; with counts also the expected transition counts within spans. chain: the chain of
+    each span, ascending; without it each span is a chain. Arrays are (place, label, span)."""
     n, width, k = *grid.shape, e.shape[1]
     post, expected = np.zeros(e.shape), np.zeros((k, k))
     if not n or not width:
@@ -143,16 +170,19 @@ def forward_backward(e: np.ndarray, grid: np.ndarray, used: np.ndarray, transiti
     lone = np.exp(e - e.max(1, keepdims=True))
     x = np.ascontiguousarray(lone[np.where(used, grid, 0).T].transpose(0, 2, 1))
     on = used.T
-    alpha, beta, scale = np.empty_like(x), np.ones_like(x), np.empty((width, 1, n), x.dtype)
+    before, after = _passed(x, on, t, np.arange(n) if chain is None else chain)
+    before, after = before.T, after.T
+    alpha, beta, scale = np.empty_like(x), np.empty_like(x), np.empty((width, 1, n), x.dtype)
     for i in range(width):
-        alpha[i] = (t.T @ alpha[i - 1]) * x[i] if i else x[0]
+        alpha[i] = (t.T @ alpha[i - 1]) * x[i] if i else x[0] * np.where(before.any(0), t.T @ before, 1)
         scale[i] = alpha[i].sum(0)
         alpha[i] /= scale[i]
+    beta[-1] = after
     for i in range(width - 2, -1, -1):
         pull = x[i + 1] * beta[i + 1] / scale[i + 1]
         if counts:
             expected += (alpha[i] * on[i + 1]) @ pull.T * t
-        beta[i] = np.where(on[i + 1], t @ pull, 1.0)
+        beta[i] = np.where(on[i + 1], t @ pull, after)
     alpha *= beta
     alpha /= alpha.sum(1, keepdims=True)
     post[grid.T[on]] = alpha.transpose(0, 2, 1)[on]
@@ -199,7 +229,7 @@ def fit(texts: list[str], langs: list[str], p: LangParams = LangParams()) -> Lan
     gold = np.concatenate([np.repeat([a for a, _ in own], [n for _, n in own]) for own in runs])
     if len(gold) != len(w.starts):
         raise ValueError("the words of the training chains don't match their labels")
-    grid, used = chain_grid(w.cuts, p.span)
+    grid, used = chain_grid(w.cuts, p.chain_words)
     owner = np.searchsorted(w.starts, np.arange(len(w.grams[0]) if w.grams else 0) + 1, side="right") - 1
     places = [(g[ok], np.maximum(owner[: len(g)][ok], 0)) for g in w.grams for ok in [g < size]]
     lex = lexicon_places(lexicon, w.hashes)
@@ -234,27 +264,29 @@ def fit(texts: list[str], langs: list[str], p: LangParams = LangParams()) -> Lan
 def train(docs: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """docs: the rows that may be learned from; those with a null language or id aren't."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(f"lang is not null and id is not null and length(text) between 1 and {p.sample_row_chars}")
-    langs = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.sample_languages).collect()]
-    parts = [common.hash_sample(own.where(F.col("lang") == x), "id", p.sample_rows, p.seed).toPandas() for x in langs]
-    pdf = pd.concat(parts).sort_values(["lang", "id", "text"], kind="stable") if parts else pd.DataFrame({"text": [], "lang": []})
+    order = F.xxhash64(F.col("id").cast("string"), F.lit(p.seed))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))  # Spark keeps sample_rows rows of a language in each task
+    ids = common.saved(own.select("id", "lang", order.alias("h")).withColumn("rank", rank).where(F.col("rank") <= p.sample_rows).select("id", "lang", "h").distinct(), "sample")
+    texts = common.sieved(own.withColumn("h", order), ids, "h").join(ids, ["id", "lang", "h"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    pdf = texts.select("lang", F.col("id").cast("string").alias("id"), "text").toPandas().sort_values(["lang", "id"], kind="stable")
     return fit(pdf["text"].tolist(), pdf["lang"].tolist(), p)
 
 
 def predict(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, n_letter_words, n_switches) for each row; other columns of docs aren't read."""
-    common.short_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # (2**bits + lexicon_size) x sample_languages weights at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits + lexicon_size weights for each language
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = held.value
-        for pdf in batches:
-            texts = pdf["text"].fillna("").tolist()
-            rows = [r for a, b in common.steps(texts, 1 << 18) for r in verdicts(m, texts[a:b])]
-            yield pd.DataFrame({"id": pdf["id"], **{n: [r[i] for r in rows] for i, n in enumerate(("lang_pred", "score", "n_letter_words", "n_switches"))}})
+        return lambda texts: [r for part in _parts(texts) for r in verdicts(m, part)]
+
+    return common.map_texts(docs, make, "lang_pred string, score double, n_letter_words long, n_switches long", id_col, text_col)
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, lang_pred string, score double, n_letter_words long, n_switches long")
-    return out.withColumnRenamed("id", id_col)
+def _parts(texts: list[str | None]) -> Iterator[list[str]]:
+    texts = [t or "" for t in texts]
+    for a, b in common.steps(texts, 1 << 18):
+        yield texts[a:b]
 
 
 def verdicts(m: LangModel, texts: list[str]) -> list[tuple[str, float, int, int]]:
@@ -273,7 +305,6 @@ def verdicts(m: LangModel, texts: list[str]) -> list[tuple[str, float, int, int]
 
 def label_words(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, spans): for each row the runs of words of one label as (first, last + 1, lang, score), places in code points of the lower-cased text."""
-    common.short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def spans(m: LangModel, text: str) -> list[dict]:
@@ -286,11 +317,8 @@ def label_words(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_
         stop = np.append(turn[1:], len(best))
         return [{"first": int(w.starts[a]) - 1, "last": int(w.ends[b - 1]) - 1, "lang": m.labels[best[a]], "score": float(post[a:b, best[a]].mean())} for a, b in zip(turn, stop, strict=True)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         m = held.value
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "spans": [spans(m, t or "") for t in pdf["text"].where(pdf["text"].notna(), None)]})
+        return lambda texts: [(spans(m, t or ""),) for t in texts]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, spans array<struct<first: long, last: long, lang: string, score: double>>")
-    return out.withColumnRenamed("id", id_col)
+    return common.map_texts(docs, make, "spans array<struct<first: long, last: long, lang: string, score: double>>", id_col, text_col)

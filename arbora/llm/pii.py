@@ -1,12 +1,16 @@
 """PII: bootstrapped contextual extraction.
 
-1. Seeds: fixed patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers in whole texts. Other
-   identifier-like tokens (four digits or more, an at sign, or one spelt out) are candidates.
-2. Each mention of a seed or candidate has lexical patterns: the word before it, the two words before it, the word
-   after it. Counts of (pattern, instance) form a bipartite graph, which Spark builds and scores.
+1. Seeds: fixed patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers in whole texts, and
+   secrets: hex strings of a digest's length with letters and digits. Other identifier-like tokens (four digits or more,
+   also in groups with spaces between, an at sign, or one spelt out) are candidates.
+2. Each mention of a seed or candidate has lexical patterns: the word before it, the two words before it, the word that
+   it is assigned to (with = or : between), the word after it. Words are whole, however long. Pairs of (pattern,
+   instance) form a bipartite graph, which Spark builds and scores; a pair counts once, however often it is mentioned.
 3. In rounds, a pattern's confidence for a kind is the share of that kind among its instances (weighted by their
-   scores, smoothed); an instance's score is 1 - product(1 - confidence) over its confident patterns.
-4. Candidates whose score reaches the bound are unseen identifiers; all of their mentions are reported as `found`.
+   scores, smoothed); an instance's score is 1 - product(1 - confidence) over its confident patterns. Rounds go on until
+   no score changes.
+4. Candidates whose score reaches the bound, and that look like their kind, are unseen identifiers; all of their mentions
+   are reported as `found`, beside the secrets among the seeds.
 
 Defined cases: null texts are empty; matches that fail a check (ranges, Luhn, digit counts) are dropped without another
 try; candidates never overlap seeds; places are in code points, ends exclusive. Each row is read by itself, so ids may
@@ -16,28 +20,32 @@ repeat or be null; other columns aren't read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
+#: What instances of a kind look like, as lower-cased text.
+LOOKS = {
+    "email": r"@|\(at\)|\[at\]",
+    "ip": r"^[0-9]+([.][0-9]+){3}$",
+    "card": r"^([ -]?[0-9]){12,19}$",
+    "phone": r"^[0-9 ()+./-]{7,24}$",
+    SECRET: r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9+/_=-]{12,}$",
+}
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    rounds: int = 3
-    #: Added to a pattern's count of mentions: a pattern seen a few times isn't confident yet.
+    #: Added to a pattern's count of instances: a pattern seen a few times isn't confident yet.
     smoothing: float = 2.0
     min_support: int = 3
     min_confidence: float = 0.7
     min_score: float = 0.7
-    #: Characters beside a mention in which context words are looked for.
-    reach: int = 80
 
 
 # --- seeds -----------------------------------------------------------------------------------
@@ -48,6 +56,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])")
+_GROUPS = re.compile(r"(?: [0-9()./-]*[0-9][0-9()./-]*(?![^\s.,;:!?\"']))+")
+_NUMBER = re.compile(r"[0-9()+./-]+")
+_WORD = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"[0-9]")
 _HINT = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _TOKEN_END = re.compile(r"\S*")
@@ -91,8 +103,14 @@ def seeds(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secrets(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Hex strings of a digest's length that hold letters and digits, outside of the spans taken."""
+    found = [m.span() for m in _SECRET.finditer(text) if not m[0].isdigit() and not m[0].isalpha()]
+    return [(SECRET, a, b) for a, b in found if not any(x < b and y > a for _, x, y in taken)] if found else []
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside of the seeds; what stands before the last = or : of a token is its context."""
+    """Identifier-like tokens outside of the spans taken; what stands before the last = or : of a token is its context."""
     out, free = [], 0
     spans = sorted((a, b) for _, a, b in taken)
     k = 0
@@ -105,8 +123,10 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         b = free = _TOKEN_END.match(text, m.start()).end()
         cut = max(text.rfind("=", a, b - 1), text.rfind(":", a, b - 1))
         a = max(a, cut + 1)
-        while a < b and text[a] in _STRIP:
+        while a < b and text[a] in _STRIP and text[a] != "(":
             a += 1
+        if _NUMBER.fullmatch(text, a, b) and (more := _GROUPS.match(text, b)):
+            b = free = more.end()
         while b > a and text[b - 1] in _STRIP:
             b -= 1
         own = text[a:b]
@@ -114,19 +134,38 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
             continue
         while k < len(spans) and spans[k][1] <= a:
             k += 1
-        if a < b and not any(x < b and y > a for x, y in spans[k : k + 8]):
+        if a < b and not (k < len(spans) and spans[k][0] < b):  # the first span that ends behind a decides
             out.append((a, b))
     return out
 
 
-def context(text: str, a: int, b: int, reach: int) -> list[str]:
+def _words_before(text: str, at: int) -> list[re.Match]:
+    """The two words before a place, whole: what is looked at grows until they stand in it."""
+    reach = 64
+    while True:
+        first = max(0, at - reach)
+        found = [m for m in _WORD.finditer(text, first, at) if m.start() > first or not first]
+        if len(found) >= 2 or not first:
+            return found[-2:]
+        reach *= 4
+
+
+def _word_after(text: str, at: int) -> str | None:
+    m = _WORD.search(text, at)
+    return m[0].lower() if m else None
+
+
+def context(text: str, a: int, b: int) -> list[str]:
     """The lexical patterns of text[a:b]."""
-    before = [w for w in (x.strip(_STRIP) or x for x in re.split(r"[\s=:]+", text[max(0, a - reach) : a].lower())) if w][-2:]
-    after = [w for w in (x.strip(_STRIP) or x for x in text[b : b + reach].lower().split()) if w][:1]
-    out = ["L " + before[-1]] if before else []
-    if len(before) == 2:
-        out.append("LL " + " ".join(before))
-    return out + ["R " + w for w in after]
+    before = _words_before(text, a)
+    words = [m[0].lower() for m in before]
+    out = ["L " + words[-1]] if words else []
+    if len(words) == 2:
+        out.append("LL " + " ".join(words))
+    if words and re.fullmatch(r"\s*[=:][\s\"'(\[]*", text[before[-1].end() : a][:64]):
+        out.append("A " + words[-1])
+    after = _word_after(text, b)
+    return out + (["R " + after] if after else [])
 
 
 # --- Spark -----------------------------------------------------------------------------------
@@ -134,50 +173,53 @@ def context(text: str, a: int, b: int, reach: int) -> list[str]:
 _SCAN = "base array<struct<kind: string, first: long, end: long>>, mentions array<struct<kind: string, first: long, end: long, value: string, patterns: array<string>>>"
 
 
-def scan(docs: DataFrame, p: PiiParams, id_col: str, text_col: str) -> DataFrame:
-    """(id, base, mentions) for each row; mentions: seeds, and candidates with a null kind, with their values and patterns."""
-    common.short_batches(docs.sparkSession)
+def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, base, mentions) for each row; mentions: base seeds, secrets, and candidates with a null kind, with their values and patterns."""
 
-    def rows(text: str) -> tuple[list, list]:
+    def row(text: str | None) -> tuple[list, list]:
+        text = text or ""
         base = seeds(text)
-        every = base + [(None, a, b) for a, b in candidates(text, base)]
-        return [dict(zip(("kind", "first", "end"), s, strict=True)) for s in base], [{"kind": k, "first": a, "end": b, "value": text[a:b].lower(), "patterns": context(text, a, b, p.reach)} for k, a, b in every]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [rows(t) for t in pdf["text"].fillna("")]
-            yield pd.DataFrame({"id": pdf["id"], "base": [g[0] for g in got], "mentions": [g[1] for g in got]})
+        known = base + secrets(text, base)
+        every = known + [(None, a, b) for a, b in candidates(text, known)]
+        return [dict(zip(("kind", "first", "end"), s, strict=True)) for s in base], [{"kind": k, "first": a, "end": b, "value": text[a:b].lower(), "patterns": context(text, a, b)} for k, a, b in every]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, {_SCAN}")
+    return common.map_texts(docs, lambda: lambda texts: [row(t) for t in texts], _SCAN, id_col, text_col).withColumnRenamed(id_col, "id")
 
 
 def bootstrap(mentions: DataFrame, p: PiiParams) -> tuple[DataFrame, DataFrame]:
     """mentions: (kind, value, patterns). Returns the discovered instances (value, kind, score) and the patterns (pattern, kind, confidence)."""
-    graph = common.saved(mentions.select(F.explode("patterns").alias("pattern"), "value").groupBy("pattern", "value").agg(F.count("*").alias("n")), "pii-graph")
+    graph = common.saved(mentions.select(F.explode("patterns").alias("pattern"), "value").distinct(), "pii-graph")
     known = common.saved(mentions.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
-    totals = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
-    found = known.limit(0)
-    for _ in range(p.rounds):
-        held = graph.join(known.unionByName(found), "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("s"), F.count("*").alias("support")).where(F.col("support") >= p.min_support)
-        confident = held.join(totals, "pattern").select("pattern", "kind", F.round(F.col("s") / (F.col("total") + p.smoothing), 9).alias("confidence")).where(F.col("confidence") >= p.min_confidence)
+    totals = graph.groupBy("pattern").agg(F.count("*").alias("total"))
+    looks = F.lit(False)
+    for kind, look in LOOKS.items():
+        looks = looks | ((F.col("kind") == kind) & F.col("value").rlike(look))
+    found, was = known.limit(0), None
+    while True:
+        held = graph.join(known.unionByName(found), "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("support")).where(F.col("support") >= p.min_support)
+        confident = held.join(totals, "pattern").select("pattern", "kind", F.round(F.col("s") / (F.col("total") + p.smoothing), 6).alias("confidence")).where(F.col("confidence") >= p.min_confidence)
         confident = common.saved(confident, "pii-patterns")
         miss = F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence"))))
-        # What is spelt like an address can only be one, and nothing else can.
-        alike = F.col("value").rlike(r"@|\(at\)|\[at\]") == (F.col("kind") == "email")
-        scored = graph.join(confident, "pattern").where(alike).groupBy("value", "kind").agg(F.round(1 - F.exp(miss), 9).alias("score")).where(F.col("score") >= p.min_score)
+        scored = graph.join(confident, "pattern").where(looks).groupBy("value", "kind").agg(F.round(1 - F.exp(miss), 6).alias("score")).where(F.col("score") >= p.min_score)
         best = scored.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
         found = common.saved(best.join(known.select("value").distinct(), "value", "left_anti"), "pii-found")
-    return found, confident
+        now = tuple(found.agg(F.count("*"), F.round(F.sum("score"), 4)).first())
+        if now == was or not now[0]:
+            return found, confident
+        was = now
 
 
 def extract(docs: DataFrame, p: PiiParams = PiiParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, base, found) for each row: arrays of (kind, first, end), base by kind and place, found by place."""
-    scanned = common.saved(scan(docs, p, id_col, text_col).withColumn("row", F.expr("uuid()")), "pii")  # written: the uuids stay
+    """(id_col, base, found) for each row: arrays of (kind, first, end). base: by kind and place. found: the added spans
+    by kind and place, secrets and discovered identifiers; seed tells the former."""
+    scanned = common.saved(scan(docs, id_col, text_col).withColumn("row", F.expr("uuid()")), "pii")  # written: the uuids stay
     each = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     found, _ = bootstrap(each.select("kind", "value", "patterns"), p)
-    fresh = each.where("kind is null").drop("kind", "patterns").join(found.select("value", "kind"), "value")
-    fresh = fresh.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "end", "kind"))).alias("f"))  # the mentions of one text
+    fresh = each.where("kind is null").drop("kind", "patterns").join(found.select("value", "kind"), "value").withColumn("seed", F.lit(False))
+    fresh = fresh.select("row", "kind", "first", "end", "seed").unionByName(each.where(F.col("kind") == SECRET).select("row", "kind", "first", "end", F.lit(True).alias("seed")))
+    order = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, SECRET)]), F.col("kind"))
+    fresh = fresh.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "first", "end", "kind", "seed"))).alias("f"))  # the mentions of one text
     out = scanned.select("row", "id", "base").join(fresh, "row", "left")
-    spans = F.transform(F.coalesce("f", F.array().cast("array<struct<first: bigint, end: bigint, kind: string>>")), lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["end"].alias("end")))
-    return out.select(F.col("id").alias(id_col), "base", spans.alias("found"))
+    spans = F.transform("f", lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["end"].alias("end"), x["seed"].alias("seed")))
+    none = F.array().cast("array<struct<kind: string, first: bigint, end: bigint, seed: boolean>>")
+    return out.select(F.col("id").alias(id_col), "base", F.coalesce(spans, none).alias("found"))

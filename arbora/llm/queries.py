@@ -53,16 +53,18 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents"))
 
-    def text(x, kind):
-        return F.concat_ws(":", kind, x["first"].cast("string"), x["end"].cast("string"))
+    def text(x):
+        return F.concat_ws(":", x["kind"], x["first"].cast("string"), x["end"].cast("string"))
 
-    base = F.transform("base", lambda x: text(x, x["kind"]))
-    fresh = F.transform("found", lambda x: text(x, F.concat(F.lit("found-"), x["kind"])))
+    kinds = F.array(*[F.lit(k) for k in (*pii.KINDS, pii.SECRET)])
+    every = F.concat(*[F.transform(c, lambda x: F.struct(F.array_position(kinds, x["kind"]).alias("o"), x["first"].alias("first"), x["end"].alias("end"), x["kind"].alias("kind"))) for c in ("base", "found")])
 
     def count(kind):
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, fresh), ",").alias("spans"))
+    found = found.withColumn("every", F.sort_array(every))
+    digest = F.sha2(F.array_join(F.transform("base", text), ","), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, pii.KINDS), digest, F.array_join(F.transform("every", text), ",").alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

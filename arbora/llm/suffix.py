@@ -2,12 +2,14 @@
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` with A-Z lower-cased. Each shard (some consecutive documents of a
 partition) gets a suffix array over its words: the places whose words can begin a match, in lexicographic order of what
-follows up to the document's end. Every suffix of every benchmark item is binary-searched in each shard's array, which
-gives its longest verbatim match, the places of all matches that are as long as a window, and so the words to remove.
+follows up to the document's end. Every suffix of every benchmark item that is as long as a window is binary-searched in
+each shard's array, which gives its longest verbatim matches as intervals of the array. Intervals are merged before they
+become places: each place gets the longest match that begins there, each document the items that occur in it.
 
 A place is indexed if its first words begin some test suffix (a filter on rolling hashes of 1 to `lead` words); no
 match of a window can begin elsewhere, so nothing is lost. The test items are held by each task in blocks of at most
-`block_words` words; with more than one block the corpus is read once for each and the findings are merged.
+`block_words` words; with more than one block the corpus is read once for each and the findings are merged. The driver
+holds one block at a time, and its broadcast ends with its pass.
 
 Defined cases: null and empty texts have no words and no hits; items without words can't occur; an item of fewer words
 than a window is one window; repeated items each count; a null item id reads as an empty string. Ids of documents may
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ class TestItems:
             rows.append(np.stack([first + at, np.full(last, first + len(w)), np.full(last, i), np.full(last, need)]))
             first += len(w)
             if last:
-                n = min(p.lead, len(w))
+                n = min(p.lead, need)
                 bits = self.filters.setdefault(n, np.zeros(1 << p.filter_bits, bool))
                 bits[(lead_hashes(w, n)[:last] >> np.uint64(64 - p.filter_bits)).astype(np.int64)] = True
         self.start, self.stop, self.item, self.need = np.concatenate(rows, axis=1)
@@ -81,6 +83,9 @@ class TestItems:
 class Shard:
     """A suffix array over the words of some documents; only places that pass the items' filter are in it."""
 
+    #: Places that agree in so many words are sorted by doubling.
+    WORDWISE = 32
+
     def __init__(self, docs: list[np.ndarray], items: TestItems) -> None:
         p = items.params
         self.first = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
@@ -102,6 +107,8 @@ class Shard:
         group = np.zeros(len(place), np.int64)
         k = 0
         while k < depth and len(order):
+            if k == self.WORDWISE:
+                return self._doubled(place, depth)
             at = order + k
             inside = at < self.stop[order]
             word = np.where(inside, self.words[np.minimum(at, len(self.words) - 1)], np.uint64(0))
@@ -114,6 +121,16 @@ class Shard:
             k += 1
         return order
 
+    def _doubled(self, place: np.ndarray, depth: int) -> np.ndarray:
+        """As _sorted, by ranks of all places over 1, 2, 4... words: for texts that repeat themselves."""
+        rank, n, k = np.unique(self.words, return_inverse=True)[1].astype(np.int64), len(self.words), 1
+        while k < depth:
+            after = np.arange(n) + k
+            follow = np.where(after < self.stop, rank[np.minimum(after, n - 1)] + 1, 0)
+            rank = np.unique(rank * (n + 2) + follow, return_inverse=True)[1].astype(np.int64)
+            k *= 2
+        return place[np.argsort(rank[place], kind="stable")]
+
     def _bound(self, lo: np.ndarray, hi: np.ndarray, k: int, word: np.ndarray, after: bool) -> np.ndarray:
         """Binary searches, all at once: the first row of each array[lo:hi] (equal in k words) whose word k isn't below, or is above, the given one."""
         lo, hi = lo.copy(), hi.copy()
@@ -127,11 +144,11 @@ class Shard:
             hi = np.where(open_ & ~below, m, hi)
         return lo
 
-    def findings(self, items: TestItems) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(suffix of the items, place in the shard, words matched): the longest matches of all suffixes with all places, from a window on."""
+    def findings(self, items: TestItems) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first row, last + 1, suffix of the items, words): the intervals of the array whose places match a suffix in so many words and no more, from a window on."""
         live = np.arange(len(items.start)) if len(self.array) else np.zeros(0, np.int64)
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.array))
-        found, k = [], 0
+        found, k = [np.zeros((4, 0), np.int64)], 0
         while len(live):
             at = items.start[live] + k
             more = at < items.stop[live]
@@ -140,12 +157,43 @@ class Shard:
             b = np.where(more, self._bound(a, np.where(more, hi, a), k, word, True), a)
             done = k >= items.need[live]  # rows that match no further end here
             for x, y in ((lo, np.where(a < b, a, hi)), (np.where(a < b, b, hi), hi)):
-                size = np.where(done, y - x, 0)
-                rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(x, size)
-                found.append(np.stack([np.repeat(live, size), self.array[rows], np.full(len(rows), k)]))
+                on = done & (x < y)
+                found.append(np.stack([x[on], y[on], live[on], np.full(on.sum(), k)]))
             on = a < b
             live, lo, hi, k = live[on], a[on], b[on], k + 1
-        return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(found, axis=1))
+
+    def longest(self, items: TestItems) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set]]:
+        """(place, words, suffix) of the longest match that begins at each place (the first suffix that reaches it), and for each document the items that occur in it."""
+        first, last, suffix, words = self.findings(items)
+        n, names = len(self.array), [set() for _ in range(len(self.first) - 1)]
+        if not len(first):
+            return first, words, suffix, names
+        value = words * (len(items.start) + 1) + len(items.start) - suffix
+        # The largest value over each row: an interval is two overlapping runs of 2**level rows, and levels go down.
+        level = np.frexp(last - first)[1] - 1
+        best = np.zeros(n, np.int64)  # at a row: of the run of 2**v rows that begins there
+        for v in range(int(level.max()), -1, -1):
+            own, half = level == v, 1 << v
+            np.maximum.at(best, first[own], value[own])
+            np.maximum.at(best, last[own] - half, value[own])
+            if v:
+                best[half // 2 :] = np.maximum(best[half // 2 :], best[: n - half // 2])
+        held = np.flatnonzero(best)
+        got, s = best[held] // (len(items.start) + 1), len(items.start) - best[held] % (len(items.start) + 1)
+        # Documents of each item: the item's intervals, merged, then cut into steps of bounded size.
+        doc, item = self.document(self.array), items.item[suffix]
+        order = np.lexsort((first, item))
+        x, y, i = first[order], last[order], item[order]
+        reach = np.maximum.accumulate(y + i * (n + 1)) - i * (n + 1)
+        new = np.concatenate(([True], (i[1:] != i[:-1]) | (x[1:] > reach[:-1])))
+        x, y, i = x[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)], i[new]
+        for a, b in common.steps([range(k) for k in (y - x).tolist()], 1 << 18):
+            m = y[a:b] - x[a:b]
+            rows = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(x[a:b], m)
+            for d, k in np.unique(np.stack([doc[rows], np.repeat(i[a:b], m)]), axis=1).T.tolist():
+                names[d].add(k)
+        return self.array[held], got, s, names
 
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, place, side="right") - 1
@@ -169,7 +217,8 @@ def blocks(benchmark: DataFrame, p: SuffixParams, id_col: str, text_col: str) ->
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, p: SuffixParams = SuffixParams(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id_col, item, item_place, length, place): the longest verbatim match of each item suffix at each place of a document, from a window's length on; in words."""
+    """(id_col, place, length, item, item_place): the longest verbatim match with the benchmark that begins at each place
+    of a document, from a window's length on, and one item that has it; in words. With several blocks of items, one row for each block."""
     return _over_blocks(docs, benchmark, p, id_col, text_col, item_col, item_text_col, False)
 
 
@@ -186,57 +235,60 @@ def hit_spans(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
 
 def _over_blocks(docs: DataFrame, benchmark: DataFrame, p: SuffixParams, id_col: str, text_col: str, item_col: str, item_text_col: str, summed: bool) -> DataFrame:
     spark = docs.sparkSession
-    common.short_batches(spark)
-    kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = list(blocks(benchmark, p, item_col, item_text_col))
-    many = len(parts) > 1
+    parts = blocks(benchmark, p, item_col, item_text_col)
+    part, following = next(parts), next(parts, None)
+    many = following is not None
     if many:  # rows need a name that the passes share
         texts = common.saved(texts.withColumn("row", F.expr("uuid()")), "decontaminate")
+    row_type = "n_words long, spans array<long>, items array<string>" if summed else "m array<struct<place: long, length: long, item: string, item_place: long>>"
     out = []
-    for part in parts:
+    while part is not None:
         held = spark.sparkContext.broadcast(part)  # block_words words at most, or one item
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def make(held=held):
             items = held.value
-            for pdf in batches:
-                words = common.word_hashes(pdf["text"].where(pdf["text"].notna(), None).tolist(), "alnum")
+
+            def rows(texts: list[str | None]) -> list[tuple]:
+                words, got = common.word_hashes(texts, "alnum"), []
                 for a, b in common.steps(words, p.shard_words):
                     shard = Shard(words[a:b], items)
-                    suffix, place, length = shard.findings(items)
-                    doc = shard.document(place)
-                    if not summed:
-                        own = items.item[suffix]
-                        yield pd.DataFrame({"id": pdf["id"].to_numpy()[a + doc], "item": [items.names[i] for i in own], "item_place": items.start[suffix] - items.item_first[own], "length": length, "place": place - shard.first[doc]})
+                    place, length, suffix, names = shard.longest(items)
+                    if summed:
+                        hit = hit_spans(place, place + length, len(shard.words))
+                        got += [(len(words[a + d]), np.stack(common.runs(hit[shard.first[d] : shard.first[d + 1]]), 1).ravel() if names[d] else np.zeros(0, np.int64), sorted(items.names[i] for i in names[d])) for d in range(b - a)]
                         continue
-                    hit = hit_spans(place, place + length, len(shard.words))
-                    names: dict[int, set] = {}
-                    for d, i in np.unique(np.stack([doc, items.item[suffix]]), axis=1).T.tolist():
-                        names.setdefault(d, set()).add(i)
-                    frame = pd.DataFrame({"id": pdf["id"].iloc[a:b], **({"row": pdf["row"].iloc[a:b]} if many else {})})
-                    frame["n_words"] = [len(w) for w in words[a:b]]
-                    frame["spans"] = [np.stack(common.runs(hit[shard.first[d] : shard.first[d + 1]]), 1).ravel().tolist() if d in names else [] for d in range(b - a)]
-                    frame["items"] = [sorted(items.names[i] for i in names.get(d, ())) for d in range(b - a)]
-                    yield frame
-
-        row = ", row string" if many and summed else ""
-        schema = f"id {kind}{row}, n_words long, spans array<long>, items array<string>" if summed else f"id {kind}, item string, item_place long, length long, place long"
-        out.append(texts.mapInPandas(run, schema))
+                    doc, own = shard.document(place), items.item[suffix]
+                    frame = [[] for _ in range(b - a)]
+                    for d, *r in zip(doc.tolist(), (place - shard.first[doc]).tolist(), length.tolist(), own.tolist(), (items.start[suffix] - items.item_first[own]).tolist(), strict=True):
+                        frame[d].append({"place": r[0], "length": r[1], "item": items.names[r[2]], "item_place": r[3]})
+                    got += [(x,) for x in frame]
+                return got
+
+            return rows
+
+        found = common.map_texts(texts, make, row_type, "id", "text", ("row",) if many else ())
+        if many:
+            found = common.saved(found, "findings")
+            held.destroy()
+        out.append(found)
+        part, following = following, next(parts, None)
     got = out[0]
     for x in out[1:]:
         got = got.unionByName(x)
     if not summed:
-        return got.withColumnRenamed("id", id_col)
+        return got.select(F.col("id").alias(id_col), F.explode("m").alias("m")).select(id_col, "m.*")
     if many:
         got = got.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"))
 
-        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                both = [np.concatenate([np.reshape(y, (-1, 2)) for y in s]).astype(np.int64) for s in pdf["s"]]
-                spans = [np.stack(common.runs(hit_spans(x[:, 0], x[:, 1], n)), 1).ravel().tolist() for x, n in zip(both, pdf["n_words"], strict=True)]
-                yield pd.DataFrame({"id": pdf["id"], "n_words": pdf["n_words"], "spans": spans, "items": pdf["items"]})
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = [np.array([v for y in s for v in y], np.int64).reshape(-1, 2) for s in batch.column(2).to_pylist()]
+                spans = [np.stack(common.runs(hit_spans(x[:, 0], x[:, 1], n)), 1).ravel() for x, n in zip(both, batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), batch.column(3)], ["id", "n_words", "spans", "items"])
 
-        got = got.mapInPandas(merge, f"id {kind}, n_words long, spans array<long>, items array<string>")
+        kind = docs.schema[id_col].dataType.simpleString()
+        got = got.select("id", "n_words", "s", "items").mapInArrow(merge, f"id {kind}, n_words long, spans array<long>, items array<string>")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)  # the end of the last span less its first, and so on
     got = got.select("id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
     return got.withColumn("contaminated", F.expr(f"n_hit > 0 and {p.part} * n_hit >= n_words")).withColumnRenamed("id", id_col)

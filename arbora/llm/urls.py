@@ -2,7 +2,7 @@
 
 Rules (host, path) allow or block a URL outright: a rule fits its host and all subdomains if the URL's path starts with
 the rule's path, and the longest rule wins. The URLs that rules fit are also the labels from which the tree learns to
-judge the others. For each host, paths are cut into segments and go down a tree of at most `depth` levels:
+judge the others. For each host, paths are cut into segments and go down a tree, level by level until all have ended:
 
 * A segment of digits, or of hex digits of a hash's length, is a wildcard from the start, by its shape; digits within a
   segment are one. Children that are seen fewer than `min_child` times become one wildcard branch `*`.
@@ -14,12 +14,12 @@ judge the others. For each host, paths are cut into segments and go down a tree
 What travels is one row for each distinct generalised path of a host, whatever the number of its URLs.
 
 Defined cases: null URLs and those without `://` have an empty host and path, fit no rule and are judged as the empty
-host; without any labels the purity is 0, so all is allowed; segments below `depth` levels don't count; rows may repeat
-and ids may be null: each row is judged.
+host; without any labels the purity is 0, so all is allowed; rows may repeat and ids may be null: each row is judged.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +49,6 @@ CHI2 = 3.841458820694124
 
 @dataclass(frozen=True)
 class UrlParams:
-    depth: int = 4
     min_child: int = 5
     smoothing: float = 4.0
     reject: float = 0.5
@@ -96,19 +95,26 @@ def templates(paths: DataFrame, p: UrlParams) -> DataFrame:
     top = blocked / labelled if labelled else 0.0
     rows = _stats(paths, ["host"], ("_n", "L", "B")).drop("_n")
     rows = rows.withColumn("purity", (F.col("B") + F.lit(p.smoothing) * F.lit(top)) / (F.col("L") + p.smoothing)).withColumn("template", F.col("host"))
-    for k in range(p.depth):
-        rows = rows.withColumn("seg", F.coalesce(F.get("segs", F.lit(k)), F.lit("")))
+    rows, ended, k = common.saved(rows, "paths"), [], 0
+    while True:
+        ended.append(rows.where(F.size("segs") <= k).select("host", "segs", "template", "purity"))
+        if len(ended) == 8:  # deep tables: keep the plan short
+            ended = [common.saved(functools.reduce(DataFrame.unionByName, ended), "paths")]
+        rows = rows.where(F.size("segs") > k)
+        if rows.isEmpty():
+            return functools.reduce(DataFrame.unionByName, ended)
+        rows = rows.withColumn("seg", F.get("segs", F.lit(k)))
         rows = _stats(rows, ["template", "seg"], ("cn", "_l", "_b")).drop("_l", "_b")
-        rows = rows.withColumn("seg", F.when((F.col("seg") != "") & (F.col("cn") < p.min_child), "*").otherwise(F.col("seg"))).drop("cn")
+        rows = rows.withColumn("seg", F.when(F.col("cn") < p.min_child, "*").otherwise(F.col("seg"))).drop("cn")
         rows = _stats(rows, ["template", "seg"], ("_n", "cl", "cb")).drop("_n")
         # (observed - expected)**2 < CHI2 * variance, multiplied out by L**2
         d = F.col("cb") * F.col("L") - F.col("cl") * F.col("B")
         alike = d * d <= CHI2 * (F.col("cl") * F.col("B") * (F.col("L") - F.col("B")))
-        rows = rows.withColumn("seg", F.when((F.col("seg") != "") & alike, "~").otherwise(F.col("seg"))).drop("cl", "cb")
+        rows = rows.withColumn("seg", F.when(alike, "~").otherwise(F.col("seg"))).drop("cl", "cb")
         rows = _stats(rows.drop("L", "B"), ["template", "seg"], ("_n", "L", "B")).drop("_n")
-        rows = rows.withColumn("purity", F.when(F.col("seg") != "", (F.col("B") + p.smoothing * F.col("purity")) / (F.col("L") + p.smoothing)).otherwise(F.col("purity")))
-        rows = rows.withColumn("template", F.when(F.col("seg") != "", F.concat("template", F.lit("/"), "seg")).otherwise(F.concat("template", F.lit("/.")))).drop("seg")
-    return rows.select("host", "segs", F.regexp_replace("template", r"(/\.)+$", "").alias("template"), "purity")
+        rows = rows.withColumn("purity", (F.col("B") + p.smoothing * F.col("purity")) / (F.col("L") + p.smoothing))
+        rows = common.saved(rows.withColumn("template", F.concat("template", F.lit("/"), "seg")).drop("seg"), "paths")
+        k += 1
 
 
 def judged(pages: DataFrame, p: UrlParams = UrlParams(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -136,18 +142,14 @@ def sql(p: UrlParams = UrlParams()) -> str:
         f"hp AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
         f"r AS (SELECT page_id, host, path, CASE {cases[0]} END AS rule, CASE {cases[1]} END AS ruled, [CASE {shape} ELSE regexp_replace(s, '[0-9]+', '#', 'g') END FOR s IN string_split(path, '/') IF s <> ''] AS segs FROM hp)",
         "g AS (SELECT host, segs, count(*) AS n, count(ruled) AS l, count(*) FILTER (ruled = 'block') AS b FROM r GROUP BY host, segs)",
-        f"t0 AS (SELECT *, sum(l) OVER h AS pl, sum(b) OVER h AS pb, host AS template, (sum(b) OVER h + {p.smoothing} * CASE WHEN sum(l) OVER () > 0 THEN sum(b) OVER () / sum(l) OVER () ELSE 0 END) / (sum(l) OVER h + {p.smoothing}) AS purity FROM g WINDOW h AS (PARTITION BY host))",
+        f"t AS (SELECT 0 AS k, *, sum(l) OVER h AS pl, sum(b) OVER h AS pb, host AS template, (sum(b) OVER h + {p.smoothing} * CASE WHEN sum(l) OVER () > 0 THEN sum(b) OVER () / sum(l) OVER () ELSE 0 END) / (sum(l) OVER h + {p.smoothing}) AS purity FROM g WINDOW h AS (PARTITION BY host) UNION ALL ("
+        f"SELECT k + 1, host, segs, n, l, b, sum(l) OVER w, sum(b) OVER w, template || '/' || seg, (sum(b) OVER w + {p.smoothing} * purity) / (sum(l) OVER w + {p.smoothing}) FROM ("
+        f"SELECT * REPLACE (CASE WHEN CAST((cb * pl - cl * pb) * (cb * pl - cl * pb) AS DOUBLE) <= {CHI2!r} * CAST(cl * pb * (pl - pb) AS DOUBLE) THEN '~' ELSE seg END AS seg) FROM ("
+        f"SELECT *, sum(l) OVER w AS cl, sum(b) OVER w AS cb FROM ("
+        f"SELECT *, CASE WHEN sum(n) OVER (PARTITION BY template, segs[k + 1]) < {p.min_child} THEN '*' ELSE segs[k + 1] END AS seg FROM t WHERE len(segs) > k"
+        ") WINDOW w AS (PARTITION BY template, seg))) WINDOW w AS (PARTITION BY template, seg)))",
     ]
-    for k in range(p.depth):
-        parts += [
-            f"a{k} AS (SELECT *, coalesce(segs[{k + 1}], '') AS seg FROM t{k})",
-            f"b{k} AS (SELECT * REPLACE (CASE WHEN seg <> '' AND sum(n) OVER (PARTITION BY template, seg) < {p.min_child} THEN '*' ELSE seg END AS seg) FROM a{k})",
-            f"c{k} AS (SELECT *, sum(l) OVER w AS cl, sum(b) OVER w AS cb FROM b{k} WINDOW w AS (PARTITION BY template, seg))",
-            f"d{k} AS (SELECT * REPLACE (CASE WHEN seg <> '' AND CAST((cb * pl - cl * pb) * (cb * pl - cl * pb) AS DOUBLE) <= {CHI2!r} * CAST(cl * pb * (pl - pb) AS DOUBLE) THEN '~' ELSE seg END AS seg) FROM c{k})",
-            f"e{k} AS (SELECT * REPLACE (sum(l) OVER w AS pl, sum(b) OVER w AS pb) FROM d{k} WINDOW w AS (PARTITION BY template, seg))",
-            f"t{k + 1} AS (SELECT host, segs, n, l, b, pl, pb, CASE WHEN seg <> '' THEN template || '/' || seg ELSE template || '/.' END AS template, CASE WHEN seg <> '' THEN (pb + {p.smoothing} * purity) / (pl + {p.smoothing}) ELSE purity END AS purity FROM e{k})",
-        ]
     return (
-        "WITH " + ",\n".join(parts) + f"\nSELECT page_id, r.host AS host, path, rule, coalesce(ruled, CASE WHEN purity >= {p.reject} THEN 'block' ELSE 'allow' END) AS verdict, "
-        f"regexp_replace(template, '(/\\.)+$', '') AS template, round(purity, 9) AS purity FROM r JOIN t{p.depth} t ON r.host = t.host AND r.segs = t.segs"
+        "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT page_id, r.host AS host, path, rule, coalesce(ruled, CASE WHEN purity >= {p.reject} THEN 'block' ELSE 'allow' END) AS verdict, "
+        f"template, round(purity, 9) AS purity FROM r JOIN t ON r.host = t.host AND r.segs = t.segs AND t.k = len(t.segs)"
     )

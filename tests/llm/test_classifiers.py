@@ -177,6 +177,17 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(post, want) and np.allclose(expected, pairs)
 
 
+def test_long_chains_are_not_cut():
+    """A chain of 200 code-switched words in spans of 64 against one uncut forward-backward."""
+    rng = np.random.default_rng(1)
+    e = np.repeat(rng.normal(size=(10, 4)), 20, axis=0) + rng.normal(size=(200, 4))
+    e, t, cuts = np.vstack([e, rng.normal(size=(130, 4))]), rng.normal(size=(4, 4)), np.array([0, 200, 200, 264, 330])
+    grid, used = langid.chain_grid(cuts, 64)
+    got = langid.forward_backward(e, grid, used, t, chain=np.searchsorted(cuts, grid[:, 0], side="right") - 1)[0]
+    want = langid.forward_backward(e, *langid.chain_grid(cuts, 1000), t)[0]
+    assert np.allclose(got, want)
+
+
 def test_language_odd(spark, odd_docs, no_docs, model):
     got = [(r.doc_id, r.lang_pred, r.score) for r in langid.predict(odd_docs, model).collect()]
     assert {(i, p) for i, p, _ in got if p == "und"} == {(1, "und"), (2, "und"), (3, "und"), (7, "und")}

@@ -170,6 +170,7 @@ def test_mix_odd(spark, odd_docs, no_docs):
 def test_urls_against_sql(spark, rng):
     hosts = ["a.example.org", "example.org", "News.example.com", "shop.example.com", "x.example.net", "org", "norg", "com"]
     rows = [(i, f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'fr', 'es', 'en/1'])}/{rng.choice(['item', 'tag', 'p' + str(i % 7)])}/{rng.randrange(10**6)}{rng.choice(['', '?q=1', '#top', '.html', '/'])}") for i in range(600)]
+    rows += [(2000 + i, f"http://deep.example.com/{'fr' if i % 2 else 'de'}/a/b/c/d/{'e' if i % 3 else 'f'}/g{i % 2}/h") for i in range(60)]
     rows += [(1000, None), (1001, ""), (1002, "no scheme/here"), (1003, "http://"), (1004, "http://example.org?x=/es/"), (1005, "ftp://EXAMPLE.org/es/A"), (1005, "ftp://EXAMPLE.org/es/A"), (None, "http://a.com/de/1://b")]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in rows], "page_id long, url string, host string, rule string")
     got = urls.judged(pages)
@@ -194,6 +195,14 @@ def test_tree_learns(spark):
     assert got["/shop/b7"] == "block" and got["/news/b7"] == "allow"
 
 
+def test_deep_templates(spark):
+    """Rules that tell URLs apart from the sixth segment on judge unruled ones of the same templates."""
+    rules = tuple(("com", f"/a/b/c/d/e/{k}/x", v) for k, v in (("shop", "block"), ("news", "allow")))
+    pages = spark.createDataFrame(list(enumerate(f"http://x.com/a/b/c/d/e/{k}/{s}{i}" for k in ("shop", "news") for s in "xy" for i in range(40))), "page_id long, url string")
+    got = {r.path: r.verdict for r in urls.judged(pages, urls.UrlParams(rules=rules)).collect()}
+    assert got["/a/b/c/d/e/shop/y7"] == "block" and got["/a/b/c/d/e/news/y7"] == "allow"
+
+
 def test_urls_empty(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).collect() == []
 

@@ -71,6 +71,22 @@ def test_media_foreign(spark):
     assert isomedia.payload(data, t) == b"AAABBBBCCCCC"
 
 
+def test_media_hostile(spark):
+    """Empty boxes, deep nesting, sample counts beyond the container: an error row, null digests, never a crash."""
+    box, full = isomedia._box, isomedia._full
+    pack = __import__("struct").pack
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    stbl = box(b"stbl", full(b"stsd", pack(">I", 0)), full(b"stsz", pack(">II", 8, 2**32 - 1)), full(b"stco", pack(">I", 0)), full(b"stsc", pack(">I", 0)), full(b"stts", pack(">I", 0)))
+    mdia = box(b"mdia", full(b"mdhd", bytes(20)), full(b"hdlr", bytes(12)), box(b"minf", stbl))
+    vast = box(b"moov", box(b"trak", full(b"tkhd", bytes(80)), mdia))
+    media = spark.createDataFrame([(1, bytearray(box(b"moov", box(b"trak", box(b"tkhd"))))), (2, bytearray(deep)), (3, bytearray(vast)), (4, None), (5, bytearray(box(b"free", b"x"))), (9007199254740993, None)], "doc_id long, media binary")
+    assert sorted(r.doc_id for r in isomedia.tracks(media).where("error is not null").collect()) == [1, 2, 3]
+    got = isomedia.digests(media, keep=()).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5, 9007199254740993] and all(r.payload_sha256 is None for r in got)
+
+
 def test_media_query_columns(spark, odd_docs, no_docs):
     rows = isomedia.digests(isomedia.to_media(odd_docs)).collect()
     texts = {(r.doc_id, r.text) for r in odd_docs.collect()}
@@ -128,7 +144,50 @@ def test_contamination_against_brute_force(spark, rng):
         assert got == want
     assert {r.doc_id for r in suffix.clean(d, b).collect()} == {x[0] for x in want if not x[5]}
     found = suffix.matches(d, b).where("item = '1'").collect()
-    assert found and all(r.length >= 13 for r in found)
+    words = {i: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (t or "").translate(LOWER)) for i, t in docs}
+    item = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", items[1][1].translate(LOWER))
+    assert found and all(r.length >= 13 and words[r.doc_id][r.place : r.place + r.length] == item[r.item_place : r.item_place + r.length] for r in found)
+
+
+@given(st.integers(0, 10**6))
+@settings(deadline=None, max_examples=60)
+def test_longest_matches_against_brute_force(seed):
+    """Texts of few different words, so that matches overlap and repeat: lengths, suffixes and items of each place."""
+    r = np.random.default_rng(seed)
+    kinds, p = int(r.integers(1, 4)), suffix.SuffixParams(window=int(r.integers(2, 6)), lead=int(r.integers(1, 4)))
+    docs = [common.mix64(r.integers(1, kinds + 1, r.integers(0, 40)).astype(np.uint64)) for _ in range(4)]
+    items = suffix.TestItems(p, ["a", "b", "c"], [common.mix64(r.integers(1, kinds + 1, r.integers(1, 25)).astype(np.uint64)) for _ in range(3)])
+
+    class Early(suffix.Shard):
+        WORDWISE = 2
+
+    for shard in (suffix.Shard(docs, items), Early(docs, items)):
+        want, names = {}, [set() for _ in docs]
+        for d, doc in enumerate(docs):
+            for a in range(len(doc)):
+                best = []
+                for j in range(len(items.start)):
+                    x, y, n = doc[a:], items.flat[items.start[j] : items.stop[j]], 0
+                    while n < min(len(x), len(y)) and x[n] == y[n]:
+                        n += 1
+                    best.append(n if n >= items.need[j] else 0)
+                    if best[-1]:
+                        names[d].add(int(items.item[j]))
+                if any(best):
+                    want[int(shard.first[d]) + a] = (max(best), best.index(max(best)))
+        place, length, own, got = shard.longest(items)
+        assert {a: (n, j) for a, n, j in zip(place.tolist(), length.tolist(), own.tolist(), strict=True)} == want and got == names
+
+
+def test_repetitive_text_needs_little_memory():
+    import tracemalloc
+
+    one = common.mix64(np.ones(60_000, np.uint64))
+    items = suffix.TestItems(suffix.SuffixParams(), ["x"], [one[:400]])
+    tracemalloc.start()
+    place, length, _, names = suffix.Shard([one], items).longest(items)
+    assert len(place) == 60_000 - 12 and length.max() == 400 and names == [{0}] and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
 
 
 def test_contamination_odd(spark, odd_docs, no_docs):
@@ -173,6 +232,55 @@ def test_bootstrapping_finds_unseen_identifiers(spark, rng):
     assert got[22].found == []
 
 
+def test_secrets_and_contexts(spark, rng):
+    """Seeds of one shape teach the word that values are assigned to; values of other shapes follow, other numbers don't."""
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'{prose(rng)} token = "{key(i)}" {prose(rng, "de", 5)}') for i in range(10)]
+    rows += [(20, f'{prose(rng)} token = "zz-9911-{"q" * 20}", {prose(rng)}'), (21, "token = 12345"), (22, f"order {'9' * 20} of the day"), (23, "ring 030 12 34 56 78 now")]
+    got = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(10):
+        (f,) = got[i].found
+        assert f.kind == "secret" and f.seed and rows[i][1][f.first : f.end] == key(i)
+    (f,) = got[20].found
+    assert f.kind == "secret" and not f.seed and rows[10][1][f.first : f.end] == "zz-9911-" + "q" * 20
+    assert got[21].found == got[22].found == got[23].found == []
+    text = rows[-1][1]
+    assert [text[a:b] for a, b in pii.candidates(text, [])] == ["030 12 34 56 78"]
+
+
+def test_context_words_are_whole():
+    long = "w" * 5000
+    text = f"{long} {long}x 1234 {long}y"
+    a = text.index("1234")
+    assert pii.context(text, a, a + 4) == [f"L {long}x", f"LL {long} {long}x", f"R {long}y"]
+
+
+def test_bootstrap_against_brute_force(spark, rng):
+    """Rounds of confidences and scores against dictionaries."""
+    words = ["call", "mail", "id", "at", "to"]
+    mentions = [(k, f"{v:07d}", [f"L {rng.choice(words)}", f"R {rng.choice(words)}"]) for v in range(60) for k in [rng.choice(["phone", None, None])] for _ in range(2)]
+    p = pii.PiiParams(min_confidence=0.3, min_score=0.4)
+    found, _ = pii.bootstrap(spark.createDataFrame(mentions, "kind string, value string, patterns array<string>"), p)
+    graph = {(x, v) for _, v, ps in mentions for x in ps}
+    known = {v for k, v, _ in mentions if k}
+    score, was = dict.fromkeys(known, 1.0), None
+    while score != was:
+        was, conf = score, {}
+        for x in {x for x, _ in graph}:
+            own = [v for y, v in graph if y == x]
+            s = [score[v] for v in own if v in score]
+            if len(s) >= p.min_support and round(sum(s) / (len(own) + p.smoothing), 6) >= p.min_confidence:
+                conf[x] = round(sum(s) / (len(own) + p.smoothing), 6)
+        score = dict.fromkeys(known, 1.0)
+        for v in {v for _, v in graph} - known:
+            miss = np.prod([1 - conf[x] for x, y in graph if y == v and x in conf])
+            if round(1 - miss, 6) >= p.min_score:
+                score[v] = round(1 - miss, 6)
+    want = {v: s for v, s in score.items() if v not in known}
+    got = {r.value: r.score for r in found.collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-3 for v in want)
+
+
 def test_pii_odd(spark, odd_docs, no_docs):
     rows = pii.extract(odd_docs).collect()
     assert len(rows) == 10 and all(r.base == [] and r.found == [] for r in rows)
