@@ -1,6 +1,7 @@
 """Benchmark reports: runner logs to timings, means and deviations over runs, filters and throughputs.
 
-A log is lines: `%%% key: value` headers open a case and `algo: phase: x ms.` lines give its timings.
+A log is cases: `%%% problem: File: name` (or `%%% file: name`) opens one and a blank line ends it, `%%% key: value` lines before and after
+the timings are its headers, and `algo: phase: x ms.` lines are its timings.
 """
 
 from __future__ import annotations
@@ -17,25 +18,35 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_timings(lines: DataFrame) -> DataFrame:
-    """lines: (run, line_no, line). (run, case_no, headers, algo, phase, value): a row for each timing; headers: a map of its case's headers.
+    """lines: (run, line_no, line). (run, case_no, headers, algo, phase, value): a row for each timing; headers: a map of
+    its case's headers, with `problem` and `File` from the line that opens it, wherever in the case they stand.
 
     One log is one window: logs are what one runner printed.
     """
-    head = F.regexp_extract("line", r"^%%%\s*([^:]+?)\s*:\s*(.*?)\s*$", 1)
-    value = F.regexp_extract("line", r"^%%%\s*([^:]+?)\s*:\s*(.*?)\s*$", 2)
-    rows = lines.withColumn("_k", head).withColumn("_v", value)
     by = Window.partitionBy("run").orderBy("line_no")
-    rows = rows.withColumn("_open", ((F.col("_k") != "") & (F.coalesce(F.lag("_k").over(by), F.lit("")) == "")).cast("int"))
-    rows = rows.withColumn("case_no", F.sum("_open").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    headers = rows.where("_k <> ''").groupBy("run", "case_no").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("_k", "_v")))).alias("headers"))
+    turn = (F.trim("line") == "") | F.col("line").rlike(r"^%%%\s*(?:[^:]+:\s*)?[Ff]ile\s*:")
+    rows = lines.withColumn("case_no", F.sum(turn.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).where(F.trim("line") != "")
+    opening, header = r"^%%%\s*([^:]+?)\s*:\s*File\s*:\s*(.*?)\s*$", r"^%%%\s*([^:]+?)\s*:\s*(.*?)\s*$"
+
+    def pair(key, value):
+        return F.struct(key.alias("k"), value.alias("v"))
+
+    def part(pattern, at):
+        return F.regexp_extract("line", pattern, at)
+
+    own = F.when(F.col("line").rlike(opening), F.array(pair(F.lit("problem"), part(opening, 1)), pair(F.lit("File"), part(opening, 2))))
+    own = own.when(F.col("line").rlike(header), F.array(pair(part(header, 1), part(header, 2))))
+    heads = rows.select("run", "case_no", "line_no", F.explode(own).alias("h")).groupBy("run", "case_no", "h.k").agg(F.max(F.struct("line_no", "h.v"))["v"].alias("v"))
+    headers = heads.groupBy("run", "case_no").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("headers"))
     timing = r"^\s*([^:%]+?)\s*:\s*([^:]+?)\s*:\s*([0-9.eE+-]+)\s*(?:ms)?\.?\s*$"
-    found = rows.where(F.col("line").rlike(timing) & (F.col("_k") == ""))
-    return found.select("run", "case_no", *[F.regexp_extract("line", timing, i).alias(n) for i, n in ((1, "algo"), (2, "phase"))], F.rtrim(F.regexp_extract("line", timing, 3), F.lit(".")).cast("double").alias("value")).join(headers, ["run", "case_no"], "left")
+    found = rows.where(F.col("line").rlike(timing) & ~F.col("line").startswith("%%%"))
+    return found.select("run", "case_no", part(timing, 1).alias("algo"), part(timing, 2).alias("phase"), F.rtrim(part(timing, 3), F.lit(".")).cast("double").alias("value")).join(headers, ["run", "case_no"], "left")
 
 
-def lca_file_fields(name: str):
-    """n, numQ, grasp and batch columns from a test file's name: fields are joined by # and their name is set off by $."""
-    return [F.regexp_extract(name, rf"(?:^|#){k}\$(-?[0-9]+)", 1).cast("long").alias(k) for k in ("n", "numQ", "grasp", "batch")]
+def name_fields(name: str, fields: tuple[str, ...] = ("V", "Q", "grasp", "batch")):
+    """Columns of the numbers in a test file's name: `key_value` parts joined by # behind a $; null where there's none."""
+    found = [F.regexp_extract(name, rf"\$(?:.*#)?{k}_(-?[0-9]+)(?:[#.]|$)", 1) for k in fields]
+    return [F.when(x != "", x).cast("long").alias(k) for x, k in zip(found, fields, strict=True)]
 
 
 def wide(timings: DataFrame, keys: list[str], phases: list[str] | None = None) -> DataFrame:

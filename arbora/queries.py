@@ -360,6 +360,25 @@ def q_report_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("file", "algo", "numQ", F.round("Queries", 6).alias("ms"), F.round("queries_per_s", 6).alias("queries_per_s"))
 
 
+LOGGED = "SELECT o_orderkey AS k, o_custkey AS c FROM orders"
+
+
+@query(
+    "q_report_logs",
+    f"WITH t AS ({LOGGED}) SELECT 'V' || k || '$V_' || k || '#Q_' || c || '#grasp_-1' AS file, k AS V, c AS Q, -1::BIGINT AS grasp, CAST(NULL AS BIGINT) AS batch, CAST(c % 7 AS BIGINT) AS found, algo, 'Overall' AS phase, CAST(k * 1.5 + a AS DOUBLE) AS ms FROM t, (VALUES ('inlabel', 0.25), ('naive', 0.5)) x(algo, a)",
+)
+def q_report_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs as a runner prints them, a case for each order (headers, timings, a count behind them, a blank line), read back."""
+    own = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    name = F.concat(F.lit("V"), F.col("k"), F.lit("$V_"), F.col("k"), F.lit("#Q_"), F.col("c"), F.lit("#grasp_-1"))
+    timings = [F.concat(F.lit(f"{a}: Overall: "), (F.col("k") * 1.5 + x).cast("string"), F.lit(" ms.")) for a, x in (("inlabel", 0.25), ("naive", 0.5))]
+    printed = [F.concat(F.lit("%%% Lca: File: "), name), F.concat(F.lit("%%% N: "), F.col("k")), *timings, F.concat(F.lit("%%% # Found: "), F.col("c") % 7), F.lit("")]
+    lines = own.select(F.concat(F.lit("log"), F.col("k") % 32).alias("run"), "k", F.posexplode(F.array(*printed)).alias("at", "line"))
+    rows = report.parse_timings(lines.select("run", (F.col("k") * len(printed) + F.col("at")).alias("line_no"), "line"))
+    rows = rows.select(F.col("headers")["File"].alias("file"), F.col("headers")["# Found"].cast("long").alias("found"), "algo", "phase", F.col("value").alias("ms"))
+    return rows.select("*", *report.name_fields("file"))
+
+
 # --- the same operators over whole tables ----------------------------------------------------
 
 #: The SQL of these two goes from each node to all others, and counts on a tree.

@@ -85,3 +85,13 @@ def test_report(spark, tmp_path):
     got = {r.phase: (r.mean, r["std"]) for r in report.combined(runs, ["file", "algo"]).collect()}
     assert got == {"Overall": (2.0, 1.0), "List rank": (2.0, None)}
     assert [r.algo for r in report.ordered(spark.createDataFrame([("x",), ("b",), ("a",)], "algo string"), "algo", ["b", "a"]).collect()] == ["b", "a", "x"]
+
+
+def test_report_of_runner_logs(spark, tmp_path):
+    """Headers stand before and behind the timings, and blank lines end cases; a file's name holds the test's fields."""
+    log = "%%% Bridges: File: a.mtx\n%%% N: 4\n%%% M: 8\ntarjan: Overall: 4 ms.\n%%% # Bridges: 2\n\n%%% Lca: File: dir/t$V_10#Q_20#grasp_-1\ninlabel: Queries: 1e-3 ms.\n%%% MaxHeight: 7\n"
+    rows = report.parse_timings(report.read_logs(spark, put(tmp_path / "log", log))).collect()
+    got = {r.algo: (r.headers, r.value) for r in rows}
+    assert got == {"tarjan": ({"problem": "Bridges", "File": "a.mtx", "N": "4", "M": "8", "# Bridges": "2"}, 4.0), "inlabel": ({"problem": "Lca", "File": "dir/t$V_10#Q_20#grasp_-1", "MaxHeight": "7"}, 0.001)}
+    names = spark.createDataFrame([("t$V_10#Q_20#grasp_-1",), ("plain.mtx",), ("x$grasp_3.bin",)], "file string")
+    assert [tuple(r) for r in names.select(report.name_fields("file")).collect()] == [(10, 20, -1, None), (None,) * 4, (None, None, 3, None)]
