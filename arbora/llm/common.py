@@ -56,10 +56,30 @@ SIEVE_BITS = 24
 def sieved(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key (a 64-bit hash) may be among keys: none that is gets lost, and few others stay while keys are
     much fewer than the sieve's bits. It spares the shuffle of rows that a following join drops."""
-    word, bit = f"shiftrightunsigned({key}, {64 - SIEVE_BITS + 6})", f"cast(shiftrightunsigned({key}, {64 - SIEVE_BITS}) & 63 as int)"
-    sieve = keys.groupBy(F.expr(word).alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("_bits"))
-    held = rows.join(F.broadcast(sieve), F.expr(word) == F.col("_word"))  # at most 2**SIEVE_BITS / 64 rows
-    return held.where(f"getbit(_bits, {bit}) = 1").drop("_word", "_bits")
+    return _held(rows, _sieve(keys, key), key, "inner").where(f"getbit(_bits, {_bit(key)}) = 1").drop("_word", "_bits")
+
+
+def parted(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(what sieved gives, all other rows): a left join with keys needs to shuffle the first part alone. The key isn't null."""
+    sieve = saved(_sieve(keys, key), "sieve")
+    rest = _held(rows, sieve, key, "left").where(f"coalesce(getbit(_bits, {_bit(key)}), 0) = 0")
+    return tuple(part.drop("_word", "_bits") for part in (_held(rows, sieve, key, "inner").where(f"getbit(_bits, {_bit(key)}) = 1"), rest))
+
+
+def _word(key: str) -> str:
+    return f"shiftrightunsigned({key}, {64 - SIEVE_BITS + 6})"
+
+
+def _bit(key: str) -> str:
+    return f"cast(shiftrightunsigned({key}, {64 - SIEVE_BITS}) & 63 as int)"
+
+
+def _sieve(keys: DataFrame, key: str) -> DataFrame:
+    return keys.groupBy(F.expr(_word(key)).alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, {_bit(key)}))").alias("_bits"))
+
+
+def _held(rows: DataFrame, sieve: DataFrame, key: str, how: str) -> DataFrame:
+    return rows.join(F.broadcast(sieve), F.expr(_word(key)) == F.col("_word"), how)  # at most 2**SIEVE_BITS / 64 rows
 
 
 # --- folds -----------------------------------------------------------------------------------

@@ -207,7 +207,9 @@ def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "d
     common.forget(marks, found, passages)
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(common.document_key(id_col, text_col).alias("key"), F.struct(*kept).alias("row")).join(gone, "key", "left")
+    rows = docs.select(common.document_key(id_col, text_col).alias("key"), F.struct(*kept).alias("row"))
+    rows, others = common.parted(rows, gone, "key")  # documents without such a line aren't shuffled
+    rows = rows.join(gone, "key", "left").unionByName(others.withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType)))
     text = F.when(F.col("gone").isNotNull(), F.col("row")[text_col])
     rows = rows.withColumn("text", text).withColumn("mark", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_masked(x))))
     # Lines and marks go into one array first: a column that only a lambda reads would be evaluated for each element.
