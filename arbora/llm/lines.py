@@ -56,8 +56,8 @@ def _size(line: Column) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def leaf(line: Column, p: LineParams) -> Column:
-    return F.xxhash64(_size(line), F.substring_index(line, " ", p.lead))
+def leaf(line: Column, size: Column, p: LineParams) -> Column:
+    return F.xxhash64(size, F.substring_index(line, " ", p.lead))
 
 
 def _pairs(hashes: Column) -> Column:
@@ -70,8 +70,8 @@ def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
     """Adds lines: (leaf, sig, tokens, m0...) of the text's distinct masked lines. Each step is a column of its own: lambdas evaluate what they repeat anew."""
     df = df.withColumn("_own", F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _masked))
     df = df.withColumn("_own", F.array_remove(F.array_distinct("_own"), ""))
-    df = df.withColumn("_pairs", F.transform("_own", lambda x: F.transform(F.split(x, " "), lambda y: F.xxhash64(y))))
-    df = df.withColumn("_pairs", F.transform("_pairs", _pairs))
+    df = df.withColumn("_hashes", F.transform("_own", lambda x: F.transform(F.split(x, " "), lambda y: F.xxhash64(y))))
+    df = df.withColumn("_sizes", F.transform("_hashes", F.size)).withColumn("_pairs", F.transform("_hashes", _pairs))
 
     def minima(pairs: Column) -> list[Column]:
         out = []
@@ -80,8 +80,8 @@ def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
             out += [F.array_min(h), F.bitwise_not(F.array_max(h))]
         return [c.alias(f"m{k}") for k, c in enumerate(out)]
 
-    each = F.arrays_zip("_own", "_pairs")
-    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_own"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), _size(z["_own"]).alias("tokens"), *minima(z["_pairs"]))))
+    each = F.arrays_zip("_own", "_sizes", "_pairs")
+    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_own"], z["_sizes"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), z["_sizes"].alias("tokens"), *minima(z["_pairs"]))))
 
 
 def _two_least() -> list[Column]:
@@ -179,7 +179,7 @@ def _varied(each: DataFrame, opened: DataFrame) -> DataFrame:
 def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LineParams) -> DataFrame:
     """The rows of lines that share their leaf's template. docs: (text). opened: (leaf, docs) of the leaves that hold different lines."""
     text = docs.select(F.explode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _masked)).alias("line")).where("line <> ''")
-    text = common.sieved(text.withColumn("leaf", leaf(F.col("line"), p)), opened, "leaf")
+    text = common.sieved(text.withColumn("leaf", leaf(F.col("line"), _size(F.col("line")), p)), opened, "leaf")
     # First by leaf and sig, so that a line of many documents travels once for each task, and a leaf of many lines is spread.
     text = text.groupBy("leaf", F.xxhash64("line").alias("sig")).agg(F.first("line").alias("line"))
     text = text.join(lines.select("leaf", "sig", "n", "tokens"), ["leaf", "sig"])
@@ -215,7 +215,8 @@ def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "d
     # Lines and marks go into one array first: a column that only a lambda reads would be evaluated for each element.
     rows = rows.withColumn("both", F.arrays_zip(F.split("text", "\n").alias("line"), "mark"))
     rows = rows.withColumn("left", F.transform(F.filter("both", lambda z: ~F.array_contains("gone", z["mark"])), lambda z: z["line"]))
-    own, whole = F.col("row")[text_col], F.size(F.split(F.col("row")[text_col], "\n"))
+    own = F.col("row")[text_col]
+    whole = F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n"), F.lit(""))) + 1
     new = F.when(F.col("gone").isNotNull(), F.array_join("left", "\n")).otherwise(own)
     n_lines = F.when(own.isNull() | (own == ""), 0).otherwise(whole).cast("long").alias("n_lines")
     n_dropped = F.coalesce(whole - F.size("left"), F.lit(0)).cast("long").alias("n_dropped")
