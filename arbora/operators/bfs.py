@@ -46,16 +46,16 @@ def bfs(arcs: DataFrame, start: int | DataFrame, max_levels: int | None = None,
     return out
 
 
-def _levels(arcs: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    """bfs() of a graph that one task holds."""
-    ids, ends = np.unique(np.concatenate([arcs["src"], arcs["dst"], starts["node"]]), return_inverse=True)
-    src, dst, first = np.split(ends, [len(arcs), 2 * len(arcs)])
+def _offsets(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours by node, and where each node's begin."""
     order = np.lexsort((dst, src))
-    src, dst = src[order], dst[order]
-    at = np.searchsorted(src, np.arange(len(ids) + 1))
-    distance, parent = np.full(len(ids), -1), np.full(len(ids), -1)
-    front, level = np.unique(first), 0
-    distance[front] = 0
+    return dst[order], np.searchsorted(src[order], np.arange(n + 1))
+
+
+def _search(dst: np.ndarray, at: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and parents (-1: none) from an ascending front."""
+    distance, parent = np.full(len(at) - 1, -1), np.full(len(at) - 1, -1)
+    distance[front], level = 0, 0
     while len(front):
         level += 1
         size = at[front + 1] - at[front]
@@ -65,12 +65,77 @@ def _levels(arcs: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         to, up = to[new], up[new]
         front, best = np.unique(to, return_index=True)  # front is ascending, so the first is the smallest parent
         distance[front], parent[front] = level, up[best]
+    return distance, parent
+
+
+def _levels(arcs: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """bfs() of a graph that one task holds."""
+    ids, ends = np.unique(np.concatenate([arcs["src"], arcs["dst"], starts["node"]]), return_inverse=True)
+    src, dst, first = np.split(ends, [len(arcs), 2 * len(arcs)])
+    distance, parent = _search(*_offsets(src, dst, len(ids)), np.unique(first))
     seen = distance >= 0
     up = pd.array(ids[np.maximum(parent, 0)], dtype="Int64")
     up[parent < 0] = pd.NA
     return pd.DataFrame({"node": ids[seen], "distance": distance[seen], "parent": up[seen]})
 
 
+#: Tasks that each hold a graph of at most LOCAL_ROWS arcs while they search from their share of the starts.
+SEARCH_TASKS = 32
+#: Starts whose searches a larger graph carries side by side: what a level holds is at most so many times the nodes.
+TOGETHER = 16
+
+
+def eccentricities(arcs: DataFrame, starts: DataFrame, enough: int | None = None, limit: int | None = None) -> DataFrame:
+    """(node, ecc): the largest distance from each distinct start (node), 0 for one without arcs. arcs: symmetric.
+
+    Graphs that fit a task are searched there, with the starts dealt over up to SEARCH_TASKS tasks; larger ones by joins
+    on (start, node), TOGETHER starts at a time, until a start has `enough` or all are done (later starts are then left out).
+    """
+    arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct(), "arcs")
+    starts = starts.select(F.col("node").cast("long").alias("node")).distinct()
+    if fits(arcs, limit):
+        tasks = min(SEARCH_TASKS, arcs.sparkSession.sparkContext.defaultParallelism)
+        copies = arcs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+        return copies.groupBy("_part").cogroup(starts.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(tasks)).cast("int")).groupBy("_part")).applyInPandas(_far_from, "node long, ecc long")
+    order, done, last = starts.orderBy("node"), [], None
+    while True:
+        batch = saved((order if last is None else order.where(F.col("node") > last)).limit(TOGETHER), "starts")
+        last = batch.agg(F.max("node")).first()[0]
+        if last is None:
+            break
+        done.append(_side_by_side(arcs, batch))
+        if enough is not None and done[-1].agg(F.max("ecc")).first()[0] >= enough:
+            break
+    out = starts.select("node", F.lit(0).cast("long").alias("ecc")).limit(0)
+    for x in done:
+        out = out.unionByName(x)
+    return out
+
+
+def _far_from(arcs: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    ids, ends = np.unique(np.concatenate([arcs["src"], arcs["dst"], starts["node"]]), return_inverse=True)
+    src, dst, first = np.split(ends, [len(arcs), 2 * len(arcs)])
+    graph = _offsets(src, dst, len(ids))
+    return pd.DataFrame({"node": starts["node"], "ecc": [int(_search(*graph, first[i : i + 1])[0].max()) for i in range(len(first))]})
+
+
+def _side_by_side(arcs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, ecc) of a few starts, by one frontier of (start, node) for all of them."""
+    front = saved(starts.select(F.col("node").alias("start"), "node"), "search")
+    before, level, ecc = None, 0, starts.select("node", F.lit(0).cast("long").alias("ecc"))
+    while True:
+        level += 1
+        step = front.select("start", F.col("node").alias("src")).join(arcs, "src").select("start", F.col("dst").alias("node")).distinct()
+        near = front if before is None else front.unionByName(before)
+        new = saved(step.join(near, ["start", "node"], "left_anti"), "search")
+        reached = saved(new.select(F.col("start").alias("node")).distinct(), "search")
+        if reached.isEmpty():
+            return ecc
+        ecc = saved(ecc.join(reached.withColumn("_on", F.lit(True)), "node", "left").select("node", F.when(F.col("_on"), F.lit(level).cast("long")).otherwise(F.col("ecc")).alias("ecc")), "search")
+        forget(reached, *([] if before is None else [before]))
+        before, front = front, new
+
+
 def with_unreached(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """found with all nodes (node); distance is null where start doesn't reach."""
     return nodes.join(found, "node", "left")
@@ -103,7 +168,8 @@ def diameter_bounds(arcs: DataFrame, max_searches: int = 1000) -> tuple[int, int
     """(lower, upper) bound of the diameter of the component of the node of highest degree.
 
     Two double sweeps give a central node; then the eccentricities of the nodes farthest from it close the gap, level
-    by level. Equal bounds are exact. The budget counts searches.
+    by level, all nodes of a level side by side. Equal bounds are exact. The budget counts searches; the level on which
+    it ends still raises the lower bound.
     """
     start = top_degree(arcs)
     if start is None:
@@ -120,14 +186,14 @@ def diameter_bounds(arcs: DataFrame, max_searches: int = 1000) -> tuple[int, int
     for level in range(ecc, 0, -1):
         if lower >= upper:
             break
-        best = 0
-        for r in found.where(F.col("distance") == level).orderBy("node").toLocalIterator():
-            if used >= max_searches:
-                return lower, upper
-            best, used = max(best, _far(arcs, r["node"])[1]), used + 1
-            if best >= upper:
-                break
-        lower = max(lower, best)
+        fringe = found.where(F.col("distance") == level).select("node")
+        left, size = max_searches - used, fringe.count()
+        if left <= 0:
+            return lower, upper
+        best = eccentricities(arcs, fringe.orderBy("node").limit(left), upper).agg(F.max("ecc")).first()[0]
+        lower, used = max(lower, best), used + min(left, size)
+        if size > left:
+            return lower, upper
         if lower > 2 * (level - 1):
             return lower, lower
         upper = 2 * (level - 1)

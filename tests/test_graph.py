@@ -112,6 +112,25 @@ def test_search(spark):
     assert tuple(search.eccentricity(found).first()) == (3, 4)
 
 
+def test_eccentricities(spark):
+    edges = CASES["two cycles and an edge"] + [(20 + i, 21 + i) for i in range(5)]
+    starts = sorted({v for e in edges for v in e}) + [90]
+    want = {v: max(brute.distances(edges, v).values()) for v in starts[:-1]} | {90: 0}
+    nodes = spark.createDataFrame([(v,) for v in starts + starts[:2]], "node long")
+    for limit in (0, None):
+        assert sorted(map(tuple, search.eccentricities(arcs_of(spark, edges), nodes, limit=limit).collect())) == sorted(want.items())
+        assert search.eccentricities(arcs_of(spark, edges), nodes.limit(0), limit=limit).count() == 0
+    assert search.eccentricities(arcs_of(spark, [(0, 0)]), nodes, limit=0).agg({"ecc": "max"}).first()[0] == 0
+
+
+def test_diameter_budget(spark):
+    """A budget that ends inside a level leaves right bounds; a larger one closes them."""
+    edges = [(i, (i + 1) % 9) for i in range(9)]
+    low, high = search.diameter_bounds(arcs_of(spark, edges), max_searches=5)
+    assert low <= 4 <= high
+    assert search.diameter_bounds(arcs_of(spark, edges)) == (4, 4)
+
+
 @pytest.mark.parametrize("name", ["path", "star", "cycle", "two cycles and an edge"])
 def test_diameter_and_stats(spark, name):
     edges = CASES[name]
