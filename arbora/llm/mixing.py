@@ -8,11 +8,12 @@ source's target over its size. Which documents are taken once more is a balanced
 * Flight: inclusion probabilities move along a vector in the null space of the balancing constraints (numbers of words
   and of documents), at random to one of the two ends where a probability becomes 0 or 1, so that each step settles a
   document and keeps both totals. Blocks of `block` documents do this side by side; of each block at most two
-  documents remain, which form the blocks of the next level.
-* Landing: the last two documents or so of a source take the outcome that comes closest to the word total.
+  documents remain, which form the blocks of the next level. `reserve` documents of each source wait for its last block.
+* Landing: the last two documents or so of a source take the outcome that comes closest to the word total. What that
+  misses (such documents are mostly long) is made good by turning settled documents of the last block, one after another.
 
-Sizes are numbers of `[^\\x20\\x09-\\x0D]+` in the text. Draws depend on `seed`, sources, sizes and ids alone, so reruns
-agree. Defined cases: null texts have size 0; documents of size 0 are taken 0 words; a null source is a source of its
+Sizes are numbers of `[^\\x20\\x09-\\x0D]+` in the text. Draws depend on `seed`, sources, sizes and ids (null ids: the row's
+place) alone, so reruns agree. Defined cases: null texts have size 0; documents of size 0 are taken 0 words; a null source is a source of its
 own; a source of size 0 has target 0; repeated rows are documents of their own; without any words all targets are 0.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,13 +36,15 @@ class MixParams:
     budget: float = 1.5
     most: int = 2
     block: int = 4096
+    reserve: int = 256
     seed: int = 41
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size) of each row."""
+    """(id, source, size, deal) of each row. deal: the id's hash; rows with a null id are spread by their place."""
     words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.cast("long").alias("size"))
+    deal = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"))).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.cast("long").alias("size"), deal.alias("deal"))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -113,36 +116,53 @@ def landing(size: list[int], prob: list[float]) -> list[float]:
     return out
 
 
+def repaired(size: list[int], settled: list[float], missed: float) -> list[float]:
+    """Turns settled units while that brings the missed words (those taken less those expected) closer to 0."""
+    out, sizes = np.array(settled), np.array(size, float)
+    for _ in size:
+        after = missed + np.where(out == 0, sizes, -sizes)
+        best = int(np.abs(after).argmin()) if len(after) else -1
+        if best < 0 or abs(after[best]) >= abs(missed) - 1e-6:
+            break
+        missed, out[best] = after[best], 1 - out[best]
+    return out.tolist()
+
+
 def _settle(units: DataFrame, p: MixParams, level: int) -> DataFrame:
-    """units: (rank, id, size, prob, block, blocks). Probabilities after a flight in each block; a source's only block lands too."""
-    kind = units.schema["id"].dataType.simpleString()
+    """units: (rank, id, deal, size, prob, held, block, blocks). Probabilities after a flight in each block; a source's only block lands too. Ids stay in Arrow."""
+    names = ["rank", "id", "deal", "size", "prob", "held"]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rank, block = (int(x) for x in key)
-        pdf = pdf.sort_values(["size", "order", "id"], ascending=[False, True, True], kind="stable")
-        size = [int(x) for x in pdf["size"]]
-        prob = flight(size, pdf["prob"].tolist(), np.random.default_rng([p.seed, level, rank, block]))
-        done = int(pdf["blocks"].iloc[0]) == 1
-        pdf["prob"] = [float(round(x)) if min(x, 1 - x) < 1e-9 else x for x in (landing(size, prob) if done else prob)]
-        return pdf[["rank", "id", "size", "prob"]]
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rank, block = (x.as_py() for x in key)
+        table = table.sort_by([("size", "descending"), ("deal", "ascending"), ("prob", "ascending")])
+        size, given = table.column("size").to_pylist(), table.column("prob").to_pylist()
+        prob = flight(size, given, np.random.default_rng([p.seed, level, rank, block]))
+        if table.column("blocks")[0].as_py() == 1:
+            prob = landing(size, prob)
+            prob = repaired(size, prob, sum(s * (x - y) for s, x, y in zip(size, prob, given, strict=True)))
+        prob = pa.array([float(round(x)) if min(x, 1 - x) < 1e-9 else x for x in prob])
+        return table.select(names).set_column(4, "prob", prob)
 
-    ordered = units.withColumn("order", F.xxhash64(F.col("id").cast("string"), F.lit(p.seed)))
-    return ordered.groupBy("rank", "block").applyInPandas(run, f"rank long, id {kind}, size long, prob double")
+    return units.groupBy("rank", "block").applyInArrow(run, units.select(names).schema)
 
 
 def balanced(units: DataFrame, p: MixParams) -> DataFrame:
-    """units: (rank, id, size, prob), settled to probabilities 0 and 1."""
-    done, level = units.where("prob <= 0 or prob >= 1"), 0
+    """units: (rank, id, deal, size, prob), settled to probabilities 0 and 1. deal: what tells them apart."""
+    done, level = units.where("prob <= 0 or prob >= 1").withColumn("held", F.lit(False)), 0
+    place = F.row_number().over(Window.partitionBy("rank").orderBy(F.xxhash64("deal", F.lit(p.seed)), "deal"))
     units = units.where("prob > 0 and prob < 1")
+    last = units.select("rank", "deal", place.alias("place")).where(F.col("place") <= p.reserve).select("rank", "deal", F.lit(True).alias("held")).distinct()
+    units = common.saved(units.join(last, ["rank", "deal"], "left").select("rank", "id", "deal", "size", "prob", F.coalesce("held", F.lit(False)).alias("held")), "mix")
     while True:
-        n = units.groupBy("rank").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
-        dealt = units.join(n, "rank").withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(p.seed + 7 * level + 1)), F.col("blocks")).cast("int"))
-        settled = common.saved(_settle(dealt, p, level), "mix")
+        n = units.groupBy("rank").agg(F.greatest(F.lit(1), F.ceil(F.sum(1 - F.col("held").cast("int")) / p.block)).cast("int").alias("blocks"))
+        dealt = units.join(n, "rank").withColumn("block", F.pmod(F.xxhash64("deal", F.lit(p.seed + 7 * level + 1)), "blocks").cast("int"))
+        settled = _settle(dealt.where("blocks = 1 or not held"), p, level)
+        settled = common.saved(settled.unionByName(dealt.where("blocks > 1 and held").select(settled.columns)), "mix")
         done = done.unionByName(settled.where("prob = 0 or prob = 1"))
         units = settled.where("prob > 0 and prob < 1")
         level += 1
         if units.isEmpty():
-            return done
+            return done.drop("held")
 
 
 def mix(docs: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -152,7 +172,7 @@ def mix(docs: DataFrame, p: MixParams = MixParams(), id_col: str = "doc_id", tex
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = own.join(sources.select(F.col("source").alias("s"), "rank", ratio.alias("ratio")), F.col("source").eqNullSafe(F.col("s")))
     prob = F.when(F.col("size") > 0, F.col("ratio") - F.floor("ratio")).otherwise(0.0)
-    out = balanced(rows.select("rank", "id", "size", prob.alias("prob")), p)
+    out = balanced(rows.select("rank", "id", "deal", "size", prob.alias("prob")), p)
     out = out.join(sources.withColumn("whole", F.floor(ratio)), "rank")
     taken = F.col("size") * (F.col("whole") + F.round("prob").cast("long"))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -61,6 +61,13 @@ def _hashes(words: np.ndarray, k: int, lang: str) -> np.ndarray:
     return total
 
 
+def _word_hashes(names: pa.StringArray) -> np.ndarray:
+    """Hashes of a dictionary's words: those of its texts have them too, and it is much shorter."""
+    _, at, text = names.buffers()
+    at = np.frombuffer(at, np.int32, len(names) + 1, 4 * names.offset)
+    return common.run_hashes(np.frombuffer(text, np.uint8) if text else np.empty(0, np.uint8), at[:-1], at[1:])
+
+
 def _bit(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes >> _U(64 - SIEVE_BITS)
     return (sieve[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
@@ -85,7 +92,7 @@ def counted(lang: str, raw: bytes, k: int, sieve: np.ndarray | None) -> tuple[pa
     if k == 1:
         return pa.concat_arrays([names, pa.array([""])]), np.append(np.bincount(word), n)
     piece = np.cumsum(_BREAK[codes], dtype=np.int32)[starts]
-    known = _bit(sieve, _hashes(common.run_hashes(codes, starts, ends), k - 1, lang))
+    known = _bit(sieve, _hashes(_word_hashes(names)[word], k - 1, lang))
     first = np.flatnonzero((piece[: n - k + 1] == piece[k - 1 :]) & known[:-1] & known[1:])
     spots = [word[first + j] for j in range(k)]
     while len(spots) > 1:
@@ -149,7 +156,7 @@ def _sieve(frequent: DataFrame, k: int) -> np.ndarray:
             words, bits = [], []
             for lang, phrases in batch.to_pandas().groupby("lang")["phrase"]:
                 codes = np.frombuffer("\n".join(phrases).encode() + b" ", np.uint8)
-                hashes = _hashes(common.run_hashes(codes, *common.runs(_WORD[codes])), k, lang)[::k]
+                hashes = _hashes(common.run_hashes(codes, *common.runs(_WORD[codes])), k, lang)[::k]  # each phrase has k words
                 at = hashes >> _U(64 - SIEVE_BITS)
                 words.append((at >> _U(6)).astype(np.int64))
                 bits.append((_U(1) << (at & _U(63))).view(np.int64))

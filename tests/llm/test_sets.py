@@ -1,5 +1,6 @@
 import itertools
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -157,6 +158,31 @@ def test_flight_keeps_totals(rng):
     assert abs(mean - 0.3).max() < 0.07  # inclusion probabilities hold
 
 
+def test_mix_keeps_ids_at_fractional_targets(spark):
+    """Ids beyond 2**53 beside null ones, in sources that aren't taken a whole number of times."""
+    big = 9007199254740993
+    rows = [(None if k % 7 == 0 else big + 2 * k, "w " * (1 + k % 40), s) for k in range(300) for s in ("a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert {(r.target / r.source_size) % 1 > 0 for r in got} >= {True}
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+
+
+def test_landing_makes_up_for_long_documents(spark):
+    """One document of a third of all words is taken or not; the rest is turned until the total is near."""
+    rows = [(k, "w " * (20 + k % 13), s) for s, first in (("a", 0), ("b", 5000), ("c", 10000)) for k in range(first, first + 1500)] + [(99_999, "w " * 15_000, "a"), (99_998, "w " * 9_000, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for p in (mixing.MixParams(), mixing.MixParams(block=256, reserve=1000, seed=4)):
+        got = mixing.mix(docs, p).collect()
+        for s in "abc":
+            own = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) < 0.001 * own[0].target
+            assert all(r.taken <= 2 * r.size for r in own)
+
+
 def test_mix_odd(spark, odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
     assert len(rows) == 10 and all(0 <= r.taken <= 2 * r["size"] for r in rows)
