@@ -1,141 +1,119 @@
-"""Breadth-first search: one task for graphs that fit it, else a join of the frontier with the arcs for each level."""
+"""Breadth-first search by joins of the frontier with the arcs, level by level.
+
+A level goes down or up. Down: the frontier's arcs, less what the last two levels hold. Up: the arcs that lead to nodes
+seen so far are dropped first, once and for all, and what is left (arcs into unvisited nodes) is asked for the frontier.
+Up pays where the frontier has many arcs, so levels switch by their number against that of the arcs that are left.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.plans.pointer import fits, one_group
+from arbora.plans.scan import indexed
 from arbora.plans.shared import forget, saved
 
 from .graph import top_degree
 
+#: A level goes up if the frontier has at least one in so many of the arcs that are left.
+ALPHA = 14
+
 
-def bfs(arcs: DataFrame, start: int | DataFrame, max_levels: int | None = None, limit: int | None = None) -> DataFrame:
+def bfs(arcs: DataFrame, start: int | DataFrame, max_levels: int | None = None, alpha: int = ALPHA, trace: list[str] | None = None) -> DataFrame:
     """(node, distance, parent) of the nodes that start (a node, or a DataFrame of nodes of different components) reaches.
 
-    parent is the smallest neighbour one level up, null at the start. arcs: symmetric.
+    parent is the smallest neighbour one level up, null at the start. arcs: symmetric. trace: gets "down" or "up" for each level.
     """
-    starts = arcs.sparkSession.range(1).select(F.lit(start).cast("long").alias("node")) if isinstance(start, int) else start
-    arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct(), "arcs")
-    if max_levels is None and fits(arcs, limit) and fits(starts, limit):
-        return one_group(arcs).cogroup(one_group(starts.select(F.col("node").cast("long")))).applyInPandas(_levels, "node long, distance long, parent long")
-    seen = saved(starts.select(F.col("node").cast("long").alias("node"), F.lit(0).cast("long").alias("distance"), F.lit(None).cast("long").alias("parent")), "bfs")
-    front, level, parts = seen, 0, [seen]
+    starts = arcs.sparkSession.range(1).select(F.lit(start).cast("long").alias("node")) if isinstance(start, int) else start.select(F.col("node").cast("long"))
+    arcs = arcs.select("src", "dst").where("src <> dst").distinct()
+    degree = arcs.groupBy("dst").agg(F.count("*").alias("degree"))
+    live = saved(arcs.join(degree, "dst").select("src", "dst", "degree"), "arcs")
+    left, level = live.count(), 0
+    known = live.groupBy(F.col("dst").alias("node")).agg(F.max("degree").alias("degree"))
+    front = saved(starts.join(known, "node", "left").select("node", F.lit(0).cast("long").alias("distance"), F.lit(None).cast("long").alias("parent"), F.coalesce("degree", F.lit(0)).alias("degree")), "bfs")
+    parts, fresh = [front], [front]  # fresh: levels whose arcs haven't been dropped
     while max_levels is None or level < max_levels:
-        # A level's neighbours lie at most one level away, so only the last two levels can hold them.
-        near = parts[-1].select("node") if len(parts) < 2 else parts[-1].select("node").unionByName(parts[-2].select("node"))
-        level += 1
-        step = front.select(F.col("node").alias("src")).join(arcs, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        front = saved(step.join(near, "node", "left_anti").select("node", F.lit(level).cast("long").alias("distance"), "parent"), "bfs")
-        if front.isEmpty():
+        n, going = front.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0))).first()
+        if not n:
             break
+        level += 1
+        up = going * alpha >= left
+        if trace is not None:
+            trace.append("up" if up else "down")
+        if up:
+            seen = _all(fresh).select(F.col("node").alias("dst"))
+            new = saved(live.join(seen, "dst", "left_anti"), "arcs")
+            forget(live)
+            live, left, fresh = new, new.count(), []
+        step = live.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.max("degree").alias("degree"))
+        if not up:  # a level's neighbours lie at most one level away, so only the last two levels can hold them
+            step = step.join(_all(parts[-2:]).select("node"), "node", "left_anti")
+        front = saved(step.select("node", F.lit(level).cast("long").alias("distance"), "parent", "degree"), "bfs")
         parts.append(front)
+        fresh.append(front)
         if len(parts) >= 16:  # keeps the plan short; the last two levels stay apart
-            first = parts[0]
-            for x in parts[1:-2]:
-                first = first.unionByName(x)
-            merged = saved(first, "bfs")
-            forget(*parts[:-2])
+            merged = saved(_all(parts[:-2]), "bfs")
+            fresh = [merged, *parts[-2:]] if len(fresh) > 2 else fresh
             parts = [merged, *parts[-2:]]
+    return _all(parts).select("node", "distance", "parent")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
 
 
-def _offsets(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbours by node, and where each node's begin."""
-    order = np.lexsort((dst, src))
-    return dst[order], np.searchsorted(src[order], np.arange(n + 1))
+#: Searches in a mask, and masks that are carried at once.
+BITS, MASKS = 64, 64
 
 
-def _search(dst: np.ndarray, at: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and parents (-1: none) from an ascending front."""
-    distance, parent = np.full(len(at) - 1, -1), np.full(len(at) - 1, -1)
-    distance[front], level = 0, 0
-    while len(front):
-        level += 1
-        size = at[front + 1] - at[front]
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[front], size)
-        to, up = dst[place], np.repeat(front, size)
-        new = distance[to] < 0
-        to, up = to[new], up[new]
-        front, best = np.unique(to, return_index=True)  # front is ascending, so the first is the smallest parent
-        distance[front], parent[front] = level, up[best]
-    return distance, parent
-
-
-def _levels(arcs: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    """bfs() of a graph that one task holds."""
-    ids, ends = np.unique(np.concatenate([arcs["src"], arcs["dst"], starts["node"]]), return_inverse=True)
-    src, dst, first = np.split(ends, [len(arcs), 2 * len(arcs)])
-    distance, parent = _search(*_offsets(src, dst, len(ids)), np.unique(first))
-    seen = distance >= 0
-    up = pd.array(ids[np.maximum(parent, 0)], dtype="Int64")
-    up[parent < 0] = pd.NA
-    return pd.DataFrame({"node": ids[seen], "distance": distance[seen], "parent": up[seen]})
-
-
-#: Tasks that each hold a graph of at most LOCAL_ROWS arcs while they search from their share of the starts.
-SEARCH_TASKS = 32
-#: Starts whose searches a larger graph carries side by side: what a level holds is at most so many times the nodes.
-TOGETHER = 16
-
-
-def eccentricities(arcs: DataFrame, starts: DataFrame, enough: int | None = None, limit: int | None = None) -> DataFrame:
+def eccentricities(arcs: DataFrame, starts: DataFrame, enough: int | None = None) -> DataFrame:
     """(node, ecc): the largest distance from each distinct start (node), 0 for one without arcs. arcs: symmetric.
 
-    Graphs that fit a task are searched there, with the starts dealt over up to SEARCH_TASKS tasks; larger ones by joins
-    on (start, node), TOGETHER starts at a time, until a start has `enough` or all are done (later starts are then left out).
+    BITS searches are one BIGINT for each node that some of them reach on a level, joined by bit_or; MASKS of these, a row
+    each, go side by side, until a start has `enough` or all are done (later starts are then left out).
     """
+    spark = arcs.sparkSession
     arcs = saved(arcs.select("src", "dst").where("src <> dst").distinct(), "arcs")
-    starts = starts.select(F.col("node").cast("long").alias("node")).distinct()
-    if fits(arcs, limit):
-        tasks = min(SEARCH_TASKS, arcs.sparkSession.sparkContext.defaultParallelism)
-        copies = arcs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-        return copies.groupBy("_part").cogroup(starts.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(tasks)).cast("int")).groupBy("_part")).applyInPandas(_far_from, "node long, ecc long")
-    order, done, last = starts.orderBy("node"), [], None
-    while True:
-        batch = saved((order if last is None else order.where(F.col("node") > last)).limit(TOGETHER), "starts")
-        last = batch.agg(F.max("node")).first()[0]
-        if last is None:
-            break
-        done.append(_side_by_side(arcs, batch))
-        if enough is not None and done[-1].agg(F.max("ecc")).first()[0] >= enough:
+    starts = indexed(starts.select(F.col("node").cast("long").alias("node")).distinct(), ["node"], "i")
+    starts = saved(starts.select("node", F.expr(f"i div {BITS}").alias("mask"), F.expr(f"shiftleft(1L, cast(i % {BITS} as int))").alias("bits")), "starts")
+    masks = (starts.agg(F.max("mask")).first()[0] or 0) + 1
+    done = []
+    for first in range(0, masks, MASKS):
+        batch = starts.where((F.col("mask") >= first) & (F.col("mask") < first + MASKS))
+        done.append(saved(_ended(batch, _last_levels(arcs, batch)), "ended"))
+        if enough is not None and (done[-1].agg(F.max("ecc")).first()[0] or 0) >= enough:
             break
-    out = starts.select("node", F.lit(0).cast("long").alias("ecc")).limit(0)
-    for x in done:
-        out = out.unionByName(x)
-    return out
+    return _all(done) if done else spark.createDataFrame([], "node long, ecc long")
 
 
-def _far_from(arcs: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    ids, ends = np.unique(np.concatenate([arcs["src"], arcs["dst"], starts["node"]]), return_inverse=True)
-    src, dst, first = np.split(ends, [len(arcs), 2 * len(arcs)])
-    graph = _offsets(src, dst, len(ids))
-    return pd.DataFrame({"node": starts["node"], "ecc": [int(_search(*graph, first[i : i + 1])[0].max()) for i in range(len(first))]})
-
-
-def _side_by_side(arcs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(node, ecc) of a few starts, by one frontier of (start, node) for all of them."""
-    front = saved(starts.select(F.col("node").alias("start"), "node"), "search")
-    before, level, ecc = None, 0, starts.select("node", F.lit(0).cast("long").alias("ecc"))
+def _last_levels(arcs: DataFrame, batch: DataFrame) -> list[tuple[int, int, int]]:
+    """(mask, bits, level): the searches that reached some node on each level."""
+    front, before, level, out = batch, None, 0, []
     while True:
         level += 1
-        step = front.select("start", F.col("node").alias("src")).join(arcs, "src").select("start", F.col("dst").alias("node")).distinct()
-        near = front if before is None else front.unionByName(before)
-        new = saved(step.join(near, ["start", "node"], "left_anti"), "search")
-        reached = saved(new.select(F.col("start").alias("node")).distinct(), "search")
-        if reached.isEmpty():
-            return ecc
-        ecc = saved(ecc.join(reached.withColumn("_on", F.lit(True)), "node", "left").select("node", F.when(F.col("_on"), F.lit(level).cast("long")).otherwise(F.col("ecc")).alias("ecc")), "search")
-        forget(reached, *([] if before is None else [before]))
+        step = front.withColumnRenamed("node", "src").join(arcs, "src").groupBy(F.col("dst").alias("node"), "mask").agg(F.bit_or("bits").alias("bits"))
+        near = front if before is None else front.unionByName(before).groupBy("node", "mask").agg(F.bit_or("bits").alias("bits"))  # neighbours lie at most one level away
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        new = saved(step.join(near.withColumnRenamed("bits", "old"), ["node", "mask"], "left").select("node", "mask", fresh.alias("bits")).where("bits <> 0"), "search")
+        reached = new.groupBy("mask").agg(F.bit_or("bits").alias("bits")).collect()  # at most MASKS rows
+        if not reached:
+            return out
+        out += [(r["mask"], r["bits"], level) for r in reached]
+        if before is not None and level > 2:
+            forget(before)
         before, front = front, new
 
 
+def _ended(batch: DataFrame, reached: list[tuple[int, int, int]]) -> DataFrame:
+    """(node, ecc) of a batch: the last level on which each search reached a node."""
+    last = F.broadcast(batch.sparkSession.createDataFrame(reached, "mask long, got long, level long"))  # MASKS rows for each level
+    hits = batch.join(last, (batch["mask"] == last["mask"]) & (F.col("bits").bitwiseAND(F.col("got")) != 0), "left")
+    return hits.groupBy("node").agg(F.coalesce(F.max("level"), F.lit(0)).alias("ecc"))
+
+
 def with_unreached(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """found with all nodes (node); distance is null where start doesn't reach."""
     return nodes.join(found, "node", "left")
@@ -158,43 +136,38 @@ def _far(arcs: DataFrame, start: int) -> tuple[DataFrame, int, int]:
 
 
 def middle(found: DataFrame, node: int, hops: int) -> int:
-    """The node `hops` parents above: a look-up for each hop."""
-    for _ in range(hops):
-        node = found.where(F.col("node") == node).first()["parent"]
+    """The node `hops` parents above, by tables of 2**k-th ancestors."""
+    up = found.select("node", "parent")
+    while hops:
+        if hops & 1:
+            node = up.where(F.col("node") == node).first()["parent"]
+        hops >>= 1
+        if hops:
+            up = saved(up.join(up.toDF("parent", "far"), "parent").select("node", F.col("far").alias("parent")), "ancestors")
     return node
 
 
-def diameter_bounds(arcs: DataFrame, max_searches: int = 1000) -> tuple[int, int]:
-    """(lower, upper) bound of the diameter of the component of the node of highest degree.
+def diameter_bounds(arcs: DataFrame) -> tuple[int, int]:
+    """(lower, upper) bound of the diameter of the component of the node of highest degree; they are equal.
 
     Two double sweeps give a central node; then the eccentricities of the nodes farthest from it close the gap, level
-    by level, all nodes of a level side by side. Equal bounds are exact. The budget counts searches; the level on which
-    it ends still raises the lower bound.
+    by level, all nodes of a level side by side.
     """
     start = top_degree(arcs)
     if start is None:
         return 0, 0
     arcs = saved(arcs.select("src", "dst"), "arcs")
-    used, lower = 0, 0
+    lower = 0
     for _ in range(2):
         _, _, a = _far(arcs, start)
         found, ecc, b = _far(arcs, a)
-        lower, used = max(lower, ecc), used + 2
-        start = middle(found, b, ecc // 2)
+        lower, start = max(lower, ecc), middle(found, b, ecc // 2)
     found, ecc, _ = _far(arcs, start)
-    lower, upper, used = max(lower, ecc), 2 * ecc, used + 1
+    lower, upper = max(lower, ecc), 2 * ecc
     for level in range(ecc, 0, -1):
         if lower >= upper:
             break
-        fringe = found.where(F.col("distance") == level).select("node")
-        left, size = max_searches - used, fringe.count()
-        if left <= 0:
-            return lower, upper
-        best = eccentricities(arcs, fringe.orderBy("node").limit(left), upper).agg(F.max("ecc")).first()[0]
-        lower, used = max(lower, best), used + min(left, size)
-        if size > left:
-            return lower, upper
-        if lower > 2 * (level - 1):
-            return lower, lower
-        upper = 2 * (level - 1)
-    return lower, max(lower, upper)
+        best = eccentricities(arcs, found.where(F.col("distance") == level).select("node"), upper).agg(F.max("ecc")).first()[0]
+        lower = max(lower, best)
+        upper = max(lower, 2 * (level - 1))  # nodes nearer to the centre are at most so far apart
+    return lower, upper

@@ -10,14 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.plans.pointer import LOCAL_ROWS, fits
 from arbora.plans.scan import prefix_sum
 from arbora.plans.shared import saved
 
 from .bfs import bfs
-from .components import components, spanning_forest
+from .components import components, components_and_forest
 from .euler import euler_tour, numbering
-from .lca import ancestor_closure, by_inlabel, index_of
+from .lca import by_inlabel, index_of
 from .rmq import interval_minmax
 
 #: The parent of all component roots in numberings; no node has this id.
@@ -25,31 +24,31 @@ TOP = -(1 << 62)
 
 STRATEGIES = ("tv", "ck", "hybrid", "crossing", "local")
 
+#: Arcs of a component that a task of the local strategy may hold: about 1 GB in Python.
+LOCAL_ARCS = 2_000_000
+
 
 class Disconnected(ValueError):
     pass
 
 
-def bridges(arcs: DataFrame, strategy: str = "auto", connected: bool = False, limit: int | None = None) -> DataFrame:
-    """arcs with is_bridge. strategy: one of STRATEGIES, or auto (local while the graph fits one task, else tv). connected: raises unless there is one component."""
+def bridges(arcs: DataFrame, strategy: str = "auto", connected: bool = False) -> DataFrame:
+    """arcs with is_bridge. strategy: one of STRATEGIES, or auto (tv). connected: raises unless there is one component."""
     arcs = saved(arcs, "graph")
     simple = saved(arcs.select("src", "dst").where("src <> dst").distinct(), "simple")
-    if connected and components(simple.unionByName(arcs.select("src", "dst").where("src = dst").distinct()), limit).select("component").distinct().limit(2).count() > 1:
+    if connected and components(simple.unionByName(arcs.select("src", "dst").where("src = dst").distinct())).select("component").distinct().limit(2).count() > 1:
         raise Disconnected("the graph has several components")
-    if strategy == "auto":
-        strategy = "local" if fits(simple, limit) else "tv"
-    ends = {"tv": _tarjan_vishkin, "ck": _search_and_mark, "hybrid": _tour_and_mark, "crossing": _crossing, "local": _local}[strategy](simple, limit)
+    ends = {"auto": _tarjan_vishkin, "tv": _tarjan_vishkin, "ck": _search_and_mark, "hybrid": _tour_and_mark, "crossing": _crossing, "local": _local}[strategy](simple)
     flags = ends.select(F.least("node", "parent").alias("_a"), F.greatest("node", "parent").alias("_b"), F.lit(True).alias("_f"))
     out = arcs.withColumn("_a", F.least("src", "dst")).withColumn("_b", F.greatest("src", "dst")).join(flags, ["_a", "_b"], "left")
     return out.withColumn("is_bridge", F.coalesce("_f", F.lit(False))).drop("_a", "_b", "_f")
 
 
-def forest_numbers(simple: DataFrame, limit: int | None) -> DataFrame:
+def forest_numbers(simple: DataFrame) -> DataFrame:
     """(node, parent, level, pre, size) of a spanning forest: roots are the smallest nodes, pre is from 0 over all trees."""
-    comp = saved(components(simple, limit), "components")
-    edges = spanning_forest(simple, limit)
+    comp, edges = components_and_forest(simple)
     tops = comp.where("node = component").select(F.lit(TOP).alias("src"), F.col("node").alias("dst"))
-    nodes = numbering(euler_tour(edges.unionByName(tops), TOP, limit), TOP).where(F.col("node") != TOP)
+    nodes = numbering(euler_tour(edges.unionByName(tops), TOP), TOP).where(F.col("node") != TOP)
     return saved(nodes.select("node", F.when(F.col("parent") != TOP, F.col("parent")).alias("parent"), (F.col("level") - 1).alias("level"), (F.col("pre") - 2).alias("pre"), "size"), "forest")
 
 
@@ -62,46 +61,75 @@ def neighbour_minmax(simple: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "pre").join(seen, "node", "left").crossJoin(F.broadcast(n)).select("node", "pre", F.coalesce("lo", F.col("n") + 1).alias("lo"), F.coalesce("hi", F.lit(-1).cast("long")).alias("hi"))
 
 
-def subtree_minmax(simple: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+def subtree_minmax(simple: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, lo, hi): the least lo and greatest hi of neighbour_minmax over each subtree."""
     values = neighbour_minmax(simple, nodes).select(F.col("pre").alias("pos"), "lo", "hi")
     asked = nodes.select(F.col("node").alias("key"), F.col("pre").alias("first"), (F.col("pre") + F.col("size") - 1).alias("last"))
-    return interval_minmax(values, asked, limit).withColumnRenamed("key", "node")
+    return interval_minmax(values, asked).withColumnRenamed("key", "node")
 
 
-def _tarjan_vishkin(simple: DataFrame, limit: int | None) -> DataFrame:
-    nodes = forest_numbers(simple, limit)
-    spans = subtree_minmax(simple, nodes, limit).join(nodes, "node")
+def _tarjan_vishkin(simple: DataFrame) -> DataFrame:
+    nodes = forest_numbers(simple)
+    spans = subtree_minmax(simple, nodes).join(nodes, "node")
     return spans.where("parent is not null and lo >= pre and hi <= pre + size - 1").select("node", "parent")
 
 
-def marked(simple: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node): those below which some non-tree edge has exactly one end. nodes: (node, parent)."""
-    tree = nodes.where("parent is not null").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
-    rest = simple.where("src < dst").join(tree, ["src", "dst"], "left_anti")
-    closure = ancestor_closure(nodes).select("node", "anc")
-    ends = rest.join(closure.toDF("src", "anc"), "src").unionByName(rest.join(closure.toDF("dst", "anc"), "dst").select("src", "dst", "anc"))
-    return ends.groupBy("src", "dst", "anc").agg(F.count("*").alias("k")).where("k = 1").select(F.col("anc").alias("node")).distinct()
-
-
-def _unmarked(simple: DataFrame, nodes: DataFrame) -> DataFrame:
-    return nodes.where("parent is not null").select("node", "parent").join(marked(simple, nodes), "node", "left_anti")
-
-
-def _search_and_mark(simple: DataFrame, limit: int | None) -> DataFrame:
-    starts = components(simple, limit).select(F.col("component").alias("node")).distinct()
-    return _unmarked(simple, saved(bfs(simple, starts), "search"))
+def marked(simple: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(node): those below which some non-tree edge has exactly one end. numbered: of a tree whose top is TOP.
 
-
-def _tour_and_mark(simple: DataFrame, limit: int | None) -> DataFrame:
-    return _unmarked(simple, forest_numbers(simple, limit))
+    Both ends of a non-tree edge climb to their lowest common ancestor, a path of the inlabel decomposition at a time:
+    an interval of levels on each, of which there are at most log n. Intervals are marked by differences at their ends,
+    whose sums along the paths are above 0 on marked nodes.
+    """
+    tree = numbered.where("parent is not null").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
+    rest = saved(simple.where("src < dst").join(tree, ["src", "dst"], "left_anti").withColumn("qid", F.monotonically_increasing_id()), "rest")
+    nodes, paths = index_of(numbered)
+    meet = by_inlabel(rest.select("qid", F.col("src").alias("x"), F.col("dst").alias("y")), nodes, paths)
+    own = nodes.select("node", "inlabel", "level")
+    ends = meet.select(F.explode(F.array("x", "y")).alias("node"), "lca").where("node <> lca").distinct()  # a node climbs once to each ancestor
+    now = saved(ends.join(own, "node").join(own.toDF("lca", "to", "stop"), "lca").select("inlabel", "level", "to", "stop"), "climbing")
+    tops = paths.select("inlabel", F.col("parent_level"), F.col("parent_inlabel"))
+    spans = []
+    while not now.isEmpty():
+        now = now.join(tops, "inlabel").withColumn("on", F.col("inlabel") == F.col("to"))
+        step = saved(now.groupBy("inlabel", "level", "to", "stop", "on", "parent_level", "parent_inlabel").agg(F.count("*").alias("n")), "climbing")  # those that meet go on as one
+        spans.append(step.select("inlabel", F.when(F.col("on"), F.col("stop")).otherwise(F.coalesce("parent_level", F.lit(-1))).alias("above"), "level", "n"))
+        now = step.where("not on and not (parent_inlabel = to and parent_level = stop)").select(F.col("parent_inlabel").alias("inlabel"), F.col("parent_level").alias("level"), "to", "stop")
+    if not spans:
+        return numbered.select("node").limit(0)
+    spans = [x.select("inlabel", F.explode(F.array(F.struct(F.col("level").alias("level"), F.col("n").alias("w")), F.struct(F.col("above").alias("level"), (-F.col("n")).alias("w")))).alias("x")) for x in spans]
+    every = spans[0]
+    for x in spans[1:]:
+        every = every.unionByName(x)
+    w = every.select("inlabel", "x.level", "x.w").groupBy("inlabel", "level").agg(F.sum("w").alias("w"))
+    # Sums run from the deep end of each path up; the rows above a path's first level close its sum, so paths don't mix.
+    points = own.select("inlabel", "level", "node").join(w, ["inlabel", "level"], "full").select("inlabel", "level", "node", F.coalesce("w", F.lit(0)).alias("w"))
+    return prefix_sum(points.withColumn("down", -F.col("level")), ["inlabel", "down"], "w", "on").where("on > 0 and node is not null").select("node")
+
+
+def _unmarked(simple: DataFrame, numbered: DataFrame) -> DataFrame:
+    nodes = numbered.where(F.col("parent") != TOP).select("node", "parent")
+    return nodes.join(marked(simple, numbered).distinct(), "node", "left_anti")
+
+
+def _search_and_mark(simple: DataFrame) -> DataFrame:
+    starts = saved(components(simple).select(F.col("component").alias("node")).distinct(), "starts")
+    found = saved(bfs(simple, starts), "search")
+    edges = found.select(F.coalesce("parent", F.lit(TOP)).alias("src"), F.col("node").alias("dst"))
+    return _unmarked(simple, saved(numbering(euler_tour(edges, TOP), TOP), "numbers"))
+
+
+def _tour_and_mark(simple: DataFrame) -> DataFrame:
+    comp, edges = components_and_forest(simple)
+    tops = comp.where("node = component").select(F.lit(TOP).alias("src"), F.col("node").alias("dst"))
+    return _unmarked(simple, saved(numbering(euler_tour(edges.unionByName(tops), TOP), TOP), "numbers"))
 
 
-def _crossing(simple: DataFrame, limit: int | None) -> DataFrame:
+def _crossing(simple: DataFrame) -> DataFrame:
     """An edge is a bridge if the non-tree ends in the subtree below it, less two for each non-tree edge whose ends meet there, sum to 0."""
-    comp = saved(components(simple, limit), "components")
+    comp, edges = components_and_forest(simple)
     tops = comp.where("node = component").select(F.lit(TOP).alias("src"), F.col("node").alias("dst"))
-    numbered = saved(numbering(euler_tour(spanning_forest(simple, limit).unionByName(tops), TOP, limit), TOP), "numbers")
+    numbered = saved(numbering(euler_tour(edges.unionByName(tops), TOP), TOP), "numbers")
     tree = numbered.where("parent is not null").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
     rest = saved(simple.where("src < dst").join(tree, ["src", "dst"], "left_anti").withColumn("qid", F.xxhash64("src", "dst")), "rest")
     nodes, paths = index_of(numbered)
@@ -114,12 +142,12 @@ def _crossing(simple: DataFrame, limit: int | None) -> DataFrame:
     return inside.where((F.col("parent").isNotNull()) & (F.col("parent") != TOP)).select("node", "parent")
 
 
-def _local(simple: DataFrame, limit: int | None) -> DataFrame:
+def _local(simple: DataFrame) -> DataFrame:
     """Low-link search in one task for each component; components must fit one."""
-    comp = saved(components(simple, limit), "components")
+    comp = saved(components(simple), "components")
     own = simple.join(comp.toDF("src", "component"), "src")
     most = own.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > LOCAL_ROWS:
+    if most > LOCAL_ARCS:
         raise ValueError(f"a component of {most} arcs doesn't fit one task; use another strategy")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

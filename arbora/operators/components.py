@@ -1,107 +1,86 @@
-"""Connected components and spanning forests in a logarithmic number of rounds."""
+"""Connected components and minimum spanning forests, in one pass of hooking and contracting."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.plans.pointer import fits, one_group, roots
+from arbora.plans.pointer import roots
 from arbora.plans.shared import forget, saved
 
 
-def components(arcs: DataFrame, limit: int | None = None) -> DataFrame:
-    """(node, component): the smallest node that each node reaches. arcs: symmetric; self-loops make a node of their own known."""
-    arcs = saved(arcs.select("src", "dst"), "arcs")
-    hooks = saved(_hooks(arcs.where("src > dst"), limit), "hooks")
-    parent = roots(hooks.select(F.col("src").alias("node"), F.col("dst").alias("parent")).unionByName(_tops(arcs, hooks)), limit)
-    return parent.select("node", F.col("root").alias("component"))
-
+def components_and_forest(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((node, component), (src, dst)): the smallest node that each node reaches, and the spanning forest's edges, src < dst.
 
-def _tops(arcs: DataFrame, hooks: DataFrame) -> DataFrame:
-    """Nodes that hook under no other."""
+    arcs: symmetric; self-loops make a node of their own known. Each round every component hooks along its smallest
+    (src, dst) to another: hooks carry their edge, and as edges are totally ordered, only two components that hook along
+    the same edge close a cycle, of which the smaller is the root. Pointers run to the roots, and edges between the same
+    two components shrink to the smallest. Components at least halve in each round; the forest is the minimum one.
+    """
+    arcs = saved(arcs.select("src", "dst"), "arcs")
+    live = saved(arcs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().select(F.col("src").alias("ca"), F.col("dst").alias("cb"), "src", "dst"), "live")
+    kept, tops = [], []
+    while not live.isEmpty():
+        ends = live.select("src", "dst", F.col("ca").alias("c"), F.col("cb").alias("to")).unionByName(live.select("src", "dst", F.col("cb").alias("c"), F.col("ca").alias("to")))
+        hooks = ends.groupBy("c").agg(F.min(F.struct("src", "dst", "to")).alias("x"))
+        picks = hooks.groupBy("x.src", "x.dst").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("x.to").alias("to"))
+        picks = saved(picks.select("src", "dst", F.col("b").alias("node"), F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("to")).alias("parent")), "hooks")
+        kept.append(picks.select("src", "dst"))
+        tops.append(roots(picks.select("node", "parent")).select("node", "root"))
+        top = tops[-1]
+        named = live.join(top.toDF("ca", "ra"), "ca", "left").join(top.toDF("cb", "rb"), "cb", "left").select(F.coalesce("ra", "ca").alias("ra"), F.coalesce("rb", "cb").alias("rb"), "src", "dst")
+        new = named.where("ra <> rb").groupBy(F.least("ra", "rb").alias("ca"), F.greatest("ra", "rb").alias("cb")).agg(F.min(F.struct("src", "dst")).alias("e"))
+        new = saved(new.select("ca", "cb", "e.src", "e.dst"), "live")
+        forget(live)
+        live = new
     nodes = arcs.select(F.col("src").alias("node")).distinct()
-    return nodes.join(hooks.select(F.col("src").alias("node")), "node", "left_anti").select("node", F.lit(None).cast("long").alias("parent"))
-
+    if not tops:
+        return nodes.select("node", F.col("node").alias("component")), live.select("src", "dst")
+    forest = kept[0]
+    for x in kept[1:]:
+        forest = forest.unionByName(x)
+    to = tops[-1]
+    for top in reversed(tops[:-1]):  # what hooks later was a root before
+        to = top.join(to.toDF("root", "far"), "root", "left").select("node", F.coalesce("far", "root").alias("root")).unionByName(to)
+    to = saved(nodes.join(to, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    least = to.groupBy("root").agg(F.min("node").alias("component"))
+    return to.join(least, "root").select("node", "component"), forest
 
-def _hooks(edges: DataFrame, limit: int | None) -> DataFrame:
-    """Stars (src, dst), src > dst, that join the same nodes as the edges (src > dst): alternating large and small stars."""
-    edges = saved(edges.distinct(), "stars")
-    if fits(edges, limit):
 
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids, ends = np.unique(pdf[["src", "dst"]].to_numpy(), return_inverse=True)
-            a, b = ends.reshape(-1, 2).T
-            low = np.arange(len(ids))
-            while True:
-                new = low.copy()
-                np.minimum.at(new, low[a], low[b])
-                np.minimum.at(new, low[b], low[a])
-                new = new[new]
-                new = np.minimum(new, new[new])
-                if (new == low).all():
-                    break
-                low = new
-            far = low != np.arange(len(ids))
-            return pd.DataFrame({"src": ids[far], "dst": ids[low[far]]})
+def components(arcs: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node reaches."""
+    return components_and_forest(arcs)[0]
 
-        return one_group(edges).applyInPandas(solve, "src long, dst long")
-    was = _mark(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = saved(both.where("dst > src").join(low, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct(), "stars")
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        new = saved(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct(), "stars")
-        now = _mark(new)
-        forget(edges, large)
-        edges = new
-        if now == was:
-            return edges
-        was = now
 
+def spanning_forest(arcs: DataFrame) -> DataFrame:
+    """(src, dst), src < dst: the forest that takes edges in the order of (src, dst) unless they close a cycle."""
+    return components_and_forest(arcs)[1]
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first())
 
+def violations(arcs: DataFrame, labels: DataFrame, forest: DataFrame) -> DataFrame:
+    """(kind, node): what is wrong with labels (node, component) and a forest of a graph; no rows if they are right.
 
-def spanning_forest(arcs: DataFrame, limit: int | None = None) -> DataFrame:
-    """(src, dst), src < dst: edges of a spanning forest, those with the smallest (src, dst) by components' hooking rounds.
-
-    Each round every component hooks along its smallest edge to another; edges are totally ordered, so only mutual
-    hooks close cycles. Components at least halve in each round.
+    Ends of an arc have one label (`arc`), all nodes have exactly one (`missing`, `repeated`), and a label is the
+    smallest of its nodes (`name`). Forest edges are arcs (`edge`), and each label has one edge fewer than nodes (`count`);
+    together with `arc` that would allow labels of several components, so forest edges must join them up: the components
+    of the forest alone have the same labels (`split`).
     """
-    edges = saved(arcs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
-    if fits(edges, limit):
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            own = pdf.sort_values(["src", "dst"])
-            ids, ends = np.unique(own[["src", "dst"]].to_numpy(), return_inverse=True)
-            up = list(range(len(ids)))
-            keep = []
-            for a, b in ends.reshape(-1, 2).tolist():
-                while up[a] != a:
-                    up[a] = a = up[up[a]]
-                while up[b] != b:
-                    up[b] = b = up[up[b]]
-                keep.append(a != b)
-                up[max(a, b)] = min(a, b)
-            return own.loc[keep, ["src", "dst"]]
-
-        return one_group(edges).applyInPandas(solve, "src long, dst long")
-    live = edges.select(F.col("src").alias("ca"), F.col("dst").alias("cb"), "src", "dst")
-    kept = None
-    while True:
-        live = saved(live.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("src", "dst")).alias("e")), "live")
-        if live.isEmpty():
-            return kept if kept is not None else edges
-        ends = live.select(F.col("ca").alias("c"), F.struct("e", F.col("cb").alias("to")).alias("x")).unionByName(live.select(F.col("cb").alias("c"), F.struct("e", F.col("ca").alias("to")).alias("x")))
-        hooks = saved(ends.groupBy("c").agg(F.min("x").alias("x")).select("c", "x.to", "x.e"), "hooks")
-        taken = saved(hooks.select("e.src", "e.dst").distinct(), "taken")
-        kept = taken if kept is None else saved(kept.unionByName(taken), "forest")
-        back = hooks.select(F.col("c").alias("to"), F.col("to").alias("c2"))
-        up = hooks.join(back, "to").select(F.col("c").alias("node"), F.when((F.col("c2") == F.col("c")) & (F.col("c") < F.col("to")), F.lit(None)).otherwise(F.col("to")).alias("parent"))
-        top = saved(roots(up, limit).select("node", "root"), "tops")
-        live = live.join(top.toDF("ca", "ra"), "ca").join(top.toDF("cb", "rb"), "cb").where("ra <> rb").select(F.col("ra").alias("ca"), F.col("rb").alias("cb"), "e.src", "e.dst")
+    nodes = arcs.select(F.col("src").alias("node")).distinct()
+    a, b = labels.toDF("src", "ca"), labels.toDF("dst", "cb")
+    of = labels.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    edges = forest.join(a, "src").groupBy(F.col("ca").alias("component")).agg(F.count("*").alias("m"))
+    parts = components(forest.unionByName(forest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"))))
+    found = [
+        ("arc", arcs.join(a, "src").join(b, "dst").where("ca <> cb").select(F.col("src").alias("node"))),
+        ("missing", nodes.join(labels, "node", "left_anti")),
+        ("repeated", labels.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")),
+        ("name", of.where("component <> least").select(F.col("component").alias("node"))),
+        ("edge", forest.join(arcs.select("src", "dst"), ["src", "dst"], "left_anti").select(F.col("src").alias("node"))),
+        ("count", of.join(edges, "component", "left").where("n - 1 <> coalesce(m, 0)").select(F.col("component").alias("node"))),
+        ("split", parts.join(labels.toDF("node", "label"), "node").where("component <> label").select("node")),
+    ]
+    out = None
+    for kind, x in found:
+        x = x.select(F.lit(kind).alias("kind"), "node")
+        out = x if out is None else out.unionByName(x)
+    return out

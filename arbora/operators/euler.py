@@ -9,23 +9,21 @@ from arbora.plans.pointer import list_rank
 from arbora.plans.scan import indexed
 from arbora.plans.shared import saved
 
-from .graph import next_around, symmetrise
+from .graph import around, symmetrise
 
 
-def euler_tour(edges: DataFrame, root: int, limit: int | None = None) -> DataFrame:
+def euler_tour(edges: DataFrame, root: int) -> DataFrame:
     """(src, dst, rank) of both arcs of each tree edge (src, dst), in the order of a tour that leaves root for its smallest neighbour.
 
     After a -> b comes the arc from b to the neighbour of b that follows a in ascending cyclic order.
     """
-    around = saved(next_around(symmetrise(edges)), "around")
-    arcs = saved(indexed(around, ["src", "dst"], "id").select(F.col("id").cast("long").alias("id"), "src", "dst", "next"), "tour-arcs")
-    turn = arcs.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("next").alias("to"))  # by the arc that comes in
-    after = arcs.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("id").alias("succ"))
-    links = arcs.select("id", "src", "dst").join(turn, ["src", "dst"]).join(after, ["dst", "to"]).select("id", F.col("succ").alias("next"))
+    own = around(symmetrise(edges))
+    back = own.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("turn").alias("next"))  # where the arc that comes back turns to
+    arcs = saved(own.select("id", "src", "dst").join(back, ["src", "dst"]), "tour-arcs")
     first = arcs.where(F.col("src") == root).agg(F.min(F.struct("dst", "id"))["id"].alias("id")).first()["id"]
     if first is None:  # a tree of one node has no arcs
         return arcs.select("src", "dst", F.col("id").alias("rank"))
-    return arcs.select("id", "src", "dst").join(list_rank(links, head=first, limit=limit), "id").select("src", "dst", "rank")
+    return arcs.select("id", "src", "dst").join(list_rank(arcs.select("id", "next"), head=first), "id").select("src", "dst", "rank")
 
 
 def numbering(tour: DataFrame, root: int) -> DataFrame:
@@ -52,7 +50,7 @@ def tree_edges(tree: DataFrame) -> DataFrame:
     return tree.where("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
 
 
-def numbered_tree(tree: DataFrame, limit: int | None = None) -> DataFrame:
+def numbered_tree(tree: DataFrame) -> DataFrame:
     """tree: (node, parent). Its numbering."""
     root = root_of(tree)
-    return numbering(euler_tour(tree_edges(tree), root, limit), root)
+    return numbering(euler_tour(tree_edges(tree), root), root)

@@ -62,15 +62,14 @@ def largest_component(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, names
 
 
-def next_around(arcs: DataFrame) -> DataFrame:
-    """(src, dst, next): the neighbour of src after dst in ascending cyclic order. arcs: distinct.
+def around(arcs: DataFrame) -> DataFrame:
+    """(id, src, dst, turn): arcs numbered by (src, dst), and the number of the arc after it in the cyclic order around src. arcs: distinct.
 
-    A global order and a join on the following place: no window holds all arcs of a hub.
+    A global order and each source's first and last number: no window holds all arcs of a hub.
     """
-    own = indexed(arcs.select("src", "dst"), ["src", "dst"], "at")
-    after = own.select(F.col("src").alias("s"), F.col("dst").alias("n"), (F.col("at") - 1).alias("at"))
-    first = own.groupBy("src").agg(F.min("dst").alias("first"))
-    return own.join(after, "at", "left").join(first, "src").select("src", "dst", F.when(F.col("s") == F.col("src"), F.col("n")).otherwise(F.col("first")).alias("next"))
+    own = indexed(arcs.select("src", "dst"), ["src", "dst"], "id").select(F.col("id").cast("long").alias("id"), "src", "dst")
+    ends = own.groupBy("src").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    return own.join(ends, "src").select("id", "src", "dst", F.when(F.col("id") < F.col("last"), F.col("id") + 1).otherwise(F.col("first")).alias("turn"))
 
 
 def top_degree(arcs: DataFrame) -> int | None:

@@ -37,10 +37,10 @@ def ascendants(paths: DataFrame) -> DataFrame:
     return now.select("inlabel", "ascendant")
 
 
-def index(tree: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def index(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, heads): what inlabel queries need. nodes: node, parent, level, pre, size, inlabel, ascendant."""
     root = root_of(tree)
-    return index_of(numbering(euler_tour(tree_edges(tree), root, limit), root))
+    return index_of(numbering(euler_tour(tree_edges(tree), root), root))
 
 
 def index_of(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,16 +99,16 @@ def by_climbing(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return at(q, "a", 0).select("qid", "x", "y", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a2")).alias("lca"))
 
 
-def by_range_minimum(queries: DataFrame, tree: DataFrame, limit: int | None = None) -> DataFrame:
+def by_range_minimum(queries: DataFrame, tree: DataFrame) -> DataFrame:
     """(qid, x, y, lca): the node of least preorder number between the first visits of x and y on the Euler path."""
     root = root_of(tree)
-    tour = saved(euler_tour(tree_edges(tree), root, limit), "tour")
+    tour = saved(euler_tour(tree_edges(tree), root), "tour")
     nodes = saved(numbering(tour, root), "numbers")
     path = tour.select((F.col("rank") + 1).alias("pos"), F.col("dst").alias("node")).unionByName(tour.sparkSession.range(1).select(F.lit(0).cast("long").alias("pos"), F.lit(root).cast("long").alias("node")))
     values = path.join(nodes.select("node", "pre"), "node").select("pos", F.col("pre").alias("lo"), F.col("pre").alias("hi"))
     first = nodes.select("node", (F.col("down") + 1).alias("at"))
     q = queries.select("qid", "x", "y").join(first.toDF("x", "ax"), "x").join(first.toDF("y", "ay"), "y")
-    low = interval_minmax(values, q.select(F.col("qid").alias("key"), F.least("ax", "ay").alias("first"), F.greatest("ax", "ay").alias("last")), limit)
+    low = interval_minmax(values, q.select(F.col("qid").alias("key"), F.least("ax", "ay").alias("first"), F.greatest("ax", "ay").alias("last")))
     out = queries.select("qid", "x", "y").join(low.select(F.col("key").alias("qid"), F.col("lo").alias("pre")), "qid").join(nodes.select("pre", F.col("node").alias("lca")), "pre")
     return out.select("qid", "x", "y", "lca")
 
@@ -123,16 +123,3 @@ def batches(queries: DataFrame, nodes: DataFrame, paths: DataFrame, size: int) -
         part = saved(by_inlabel(queries.where((F.col("qid") >= at) & (F.col("qid") < at + size)), nodes, paths), "lca-batch")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def ancestor_closure(nodes: DataFrame) -> DataFrame:
-    """(node, anc, hops) of all nodes with themselves and all of their ancestors, in rounds that double the hops. For shallow trees: the rows are the sum of all levels."""
-    own = nodes.select("node", "parent")
-    closure = saved(own.select("node", F.col("node").alias("anc"), F.lit(0).cast("long").alias("hops")), "closure")
-    jump, reach = saved(own.where("parent is not null").toDF("node", "to"), "jump"), 1
-    while not jump.isEmpty():
-        far = closure.select(F.col("node").alias("to"), "anc", "hops")
-        closure = saved(closure.unionByName(jump.join(far, "to").select("node", "anc", (F.col("hops") + reach).alias("hops"))), "closure")
-        jump = saved(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("to2")), "to").select("node", F.col("to2").alias("to")), "jump")
-        reach *= 2
-    return closure

@@ -1,45 +1,53 @@
-"""Range minima and maxima by a sparse table: intervals become two equi-joins."""
+"""Range minima and maxima over a tree of blocks, in linear space.
+
+Places are stored in rows of `WIDTH` values; a block's least and greatest are a value of the next level, so all levels
+together have n / (WIDTH - 1) rows. An interval takes a slice of the blocks at its two ends and goes on with the whole
+blocks between them one level up: two joins for each level, of which there are log n / log WIDTH.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.functions.bits import msb, shl
-from arbora.plans.pointer import fits, one_group
 from arbora.plans.shared import saved
 
+#: Values in a row.
+WIDTH = 64
+
+
+def blocks(values: DataFrame, width: int = WIDTH) -> DataFrame:
+    """values: (pos, lo, hi). Returns (block, xs): at most `width` values, (pos, lo, hi) in order, for each block."""
+    return values.groupBy(F.expr(f"pos div {width}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("xs"))
+
+
+def levels(values: DataFrame, width: int = WIDTH) -> list[DataFrame]:
+    """The rows of each level, up to one with one block."""
+    out = [saved(blocks(values, width), "rmq-blocks")]
+    while not out[-1].where("block > 0").isEmpty():
+        up = out[-1].select(F.col("block").alias("pos"), F.array_min(F.col("xs")["lo"]).alias("lo"), F.array_max(F.col("xs")["hi"]).alias("hi"))
+        out.append(saved(blocks(up, width), "rmq-blocks"))
+    return out
 
-def interval_minmax(values: DataFrame, asked: DataFrame, limit: int | None = None) -> DataFrame:
+
+def interval_minmax(values: DataFrame, asked: DataFrame, width: int = WIDTH) -> DataFrame:
     """values: (pos, lo, hi) for each place 0..n-1; asked: (key, first, last). Returns (key, lo, hi): least lo and greatest hi of the places first..last."""
-    values, asked = saved(values.select("pos", "lo", "hi"), "rmq-values"), saved(asked.select("key", "first", "last"), "rmq-asked")
-    kind = asked.schema["key"].dataType.simpleString()
-    if fits(values, limit) and fits(asked, limit):
-
-        def solve(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            v = v.sort_values("pos")
-            lows, highs = [v["lo"].to_numpy()], [v["hi"].to_numpy()]
-            a, b = q["first"].to_numpy(), q["last"].to_numpy()
-            k = np.array([int(x).bit_length() - 1 for x in b - a + 1], np.int64)
-            lo, hi = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
-            for j in range(int(k.max(initial=-1)) + 1):
-                if j:
-                    w = 1 << (j - 1)
-                    lows[0], highs[0] = np.minimum(lows[0][:-w], lows[0][w:]), np.maximum(highs[0][:-w], highs[0][w:])
-                at = k == j
-                x, y = a[at], b[at] - (1 << j) + 1
-                lo[at], hi[at] = np.minimum(lows[0][x], lows[0][y]), np.maximum(highs[0][x], highs[0][y])
-            return pd.DataFrame({"key": q["key"], "lo": lo, "hi": hi})
-
-        return one_group(values).cogroup(one_group(asked)).applyInPandas(solve, f"key {kind}, lo long, hi long")
-    asked = saved(asked.withColumn("k", msb(F.col("last") - F.col("first") + 1)), "rmq-asked")
-    deepest = asked.agg(F.max("k")).first()[0]
-    level, table = values, values.withColumn("k", F.lit(0))
-    for k in range(1, (deepest or 0) + 1):
-        far = level.select((F.col("pos") - (1 << (k - 1))).alias("pos"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        level = saved(level.join(far, "pos").select("pos", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi")), "rmq-level")
-        table = table.unionByName(level.withColumn("k", F.lit(k)))
-    ends = asked.select("key", "k", F.col("first").alias("pos")).unionByName(asked.select("key", "k", (F.col("last") + 1 - shl(F.lit(1).cast("long"), F.col("k"))).alias("pos")))
-    return ends.join(table, ["k", "pos"]).groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = asked.select("key", F.col("first").cast("long"), F.col("last").cast("long"))
+    parts = None
+    for level in levels(values.select("pos", "lo", "hi"), width):
+
+        def taken(ends: DataFrame) -> DataFrame:
+            """ends: (key, block, a, b): what the places a to b of a block give."""
+            xs = F.slice("xs", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a") + 1).cast("int"))
+            return ends.join(level, "block").select("key", F.array_min(xs["lo"]).alias("lo"), F.array_max(xs["hi"]).alias("hi"))
+
+        def block(c: str) -> Column:
+            return F.expr(f"{c} div {width}")
+
+        own = asked.where("first <= last").select("key", "first", "last", block("first").alias("x"), block("last").alias("y"))
+        left = own.select("key", F.col("x").alias("block"), F.expr(f"first % {width}").alias("a"), F.when(F.col("x") == F.col("y"), F.expr(f"last % {width}")).otherwise(width - 1).alias("b"))
+        right = own.where("x < y").select("key", F.col("y").alias("block"), F.lit(0).alias("a"), F.expr(f"last % {width}").alias("b"))
+        both = taken(left.unionByName(right))
+        parts = both if parts is None else parts.unionByName(both)
+        asked = own.where("y - x > 1").select("key", (F.col("x") + 1).alias("first"), (F.col("y") - 1).alias("last"))
+    return parts.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

@@ -24,9 +24,9 @@ def max_distance(found: DataFrame) -> DataFrame:
     return found.agg(F.max("distance").alias("max_distance"))
 
 
-def graph_stats(arcs: DataFrame, strategy: str = "auto", max_searches: int = 1000) -> DataFrame:
+def graph_stats(arcs: DataFrame, strategy: str = "auto") -> DataFrame:
     """One row (n, m, bridges, diam_lb, diam_ub): nodes, stored arcs, bridge arcs, bounds of the diameter."""
     arcs = saved(arcs.select("src", "dst"), "graph")
-    lower, upper = diameter_bounds(arcs, max_searches)
+    lower, upper = diameter_bounds(arcs)
     size = arcs.agg(F.count("*").alias("m")).crossJoin(arcs.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.count_distinct("v").alias("n")))
     return size.crossJoin(bridge_count(bridges(arcs, strategy))).select("n", "m", "bridges", F.lit(lower).cast("long").alias("diam_lb"), F.lit(upper).cast("long").alias("diam_ub"))

@@ -1,96 +1,85 @@
-"""Pointer doubling: list ranking and jumps to roots in a logarithmic number of rounds.
+"""Pointer jumping: list ranking and jumps to roots in a logarithmic number of rounds.
 
-Lists and forests of at most `LOCAL_ROWS` rows (counted first) are solved by one task, which takes milliseconds where
-rounds of joins take seconds; larger ones go by self-joins on the node, a round for each power of two.
+A round is three joins with the table of all pointers and takes each pointer that is still under way four times as far;
+those that have arrived aren't written again. Long lists are contracted first: every pointer runs to the next of the
+randomly chosen splitters, one node in `every`, the splitters are ranked as a shorter weighted list, and what stands
+between them takes its place from the splitter that it ran to. All lists together hold about n * every / (every - 1)
+rows, and each is written a few times, where plain jumping writes a list once for each round.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, GroupedData
-from pyspark.sql import functions as F
-
-from .shared import forget, saved
-
-#: Rows that one task may hold: about 100 MB with its working arrays.
-LOCAL_ROWS = 2_000_000
-
-
-def fits(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether df has few enough rows for one task."""
-    return df.limit((LOCAL_ROWS if limit is None else limit) + 1).count() <= (LOCAL_ROWS if limit is None else limit)
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def one_group(df: DataFrame) -> GroupedData:
-    """All rows as one group; for tables that fits() has counted."""
-    return df.withColumn("_all", F.lit(0)).groupBy("_all")
-
+from .shared import saved
+
+#: One node of a list in so many is a splitter.
+EVERY = 8
+#: Shorter lists have so few rounds that contraction would only add some.
+SHORT = 1 << 17
+
+
+def _run(links: DataFrame, stop: Callable[[Column], Column] | None = None) -> DataFrame:
+    """links: (id, to, w), `to` null at ends, stored. Moves each pointer to the first stop on its way, or the end: (id, to, w), w summed up."""
+    arrived = F.col("to").isNull() if stop is None else F.col("to").isNull() | stop(F.col("to"))
+    first = links.select("id", "to", "w", (~arrived).alias("under_way"))
+    done, now = [first.where("not under_way")], first.where("under_way")
+    while not now.isEmpty():
+        table = now
+        for x in done:
+            table = table.unionByName(x)
+        table = table.toDF("at", "to2", "w2", "more")
+        step = now
+        for _ in range(3):
+            key = F.when(F.col("under_way"), F.col("to")).otherwise(F.col("id"))  # those that have arrived match themselves, in vain
+            go = F.col("under_way") & F.col("to2").isNotNull()
+            moved = step.withColumn("at", key).join(table, "at", "left")
+            step = moved.select("id", F.when(go, F.col("to2")).otherwise(F.col("to")).alias("to"), (F.col("w") + F.when(go, F.col("w2")).otherwise(0)).alias("w"), (go & F.col("more")).alias("under_way"))
+        new = saved(step, "pointers")
+        done.append(new.where("not under_way"))
+        now = new.where("under_way")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.select("id", "to", "w")
+
+
+def _left(links: DataFrame, every: int, short: int, level: int = 0) -> DataFrame:
+    """(id, w): the sum of w from each node to the tail, whose w is 0."""
+    n = links.count()
+    if n <= short:
+        return _run(links).select("id", "w")
 
-def jump(next_: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Ends of the chains i -> next_[i] (an end points to itself) and the sums over each chain without its end's entry."""
-    sums = [np.where(next_ == np.arange(len(next_)), 0, s) for s in sums]
-    while True:
-        far = next_[next_]
-        if (far == next_).all():
-            return next_, *sums
-        sums = [s + s[next_] for s in sums]
-        next_ = far
+    tail = links.where("to is null").select("id").first()["id"]
 
+    def splitter(node: Column) -> Column:
+        return (F.pmod(F.xxhash64(node, F.lit(level)), F.lit(every)) == 0) | (node == tail)
 
-def _places(ids: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Where each value of `of` stands in ids."""
-    order = np.argsort(ids)
-    return order[np.searchsorted(ids, of, sorter=order)] if len(ids) else order
+    near = _run(links, splitter)
+    few = saved(near.where(splitter(F.col("id"))), "splitters")
+    if few.count() == n:
+        return _run(links).select("id", "w")
+    after = saved(_left(few, every, short, level + 1), "splitters").toDF("to", "more")
+    return near.join(after, "to", "left").select("id", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
 
 
-def list_rank(links: DataFrame, head: int | None = None, limit: int | None = None) -> DataFrame:
-    """links: (id, next), next null at the tail. Returns (id, rank): hops from the head.
+def list_rank(links: DataFrame, head: int | None = None, every: int = EVERY, short: int = SHORT) -> DataFrame:
+    """links: (id, next), next null at the tail, stored. Returns (id, rank): hops from the head.
 
-    With `head` a circular list is cut before it. Ids that the head doesn't reach are undefined input.
+    With `head` a circular list is cut before it. Ids that the head doesn't reach are undefined input. Lists of more
+    than `short` nodes are contracted.
     """
     links = links.select(F.col("id").cast("long"), F.col("next").cast("long"))
     if head is not None:
         links = links.withColumn("next", F.when(F.col("next") == head, F.lit(None)).otherwise(F.col("next")))
-    links = saved(links, "links")
-    if fits(links, limit):
+    links = links.select("id", F.col("next").alias("to"), F.col("next").isNotNull().cast("long").alias("w"))
+    return _left(links, every, short).select("id", (F.lit(links.count() - 1) - F.col("w")).alias("rank"))
 
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = pdf["id"].to_numpy()
-            to = _places(ids, pdf["next"].to_numpy())
-            left = jump(to, np.ones(len(ids), np.int64))[1]
-            return pd.DataFrame({"id": ids, "rank": len(ids) - 1 - left})
 
-        return one_group(links.withColumn("next", F.coalesce("next", "id"))).applyInPandas(solve, "id long, rank long")
-    now = links.select("id", F.col("next").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("left"))
-    n = links.count()
-    reach = 1
-    while reach < n:
-        far = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
-        new = saved(now.join(far, "to", "left").select("id", F.col("to2").alias("to"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left")), "ranks")
-        if reach > 1:
-            forget(now)
-        now, reach = new, reach * 2
-    return now.select("id", (F.lit(n - 1) - F.col("left")).alias("rank"))
-
-
-def roots(parents: DataFrame, limit: int | None = None) -> DataFrame:
-    """parents: (node, parent), parent null at roots. Returns (node, root, level): level counts hops to the root."""
-    parents = saved(parents.select(F.col("node").cast("long"), F.col("parent").cast("long")), "parents")
-    if fits(parents, limit):
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = pdf["node"].to_numpy()
-            to = _places(ids, pdf["parent"].to_numpy())
-            root, level = jump(to, np.ones(len(ids), np.int64))
-            return pd.DataFrame({"node": ids, "root": ids[root], "level": level})
-
-        return one_group(parents.withColumn("parent", F.coalesce("parent", "node"))).applyInPandas(solve, "node long, root long, level long")
-    now = parents.select("node", F.coalesce("parent", "node").alias("to"), F.col("parent").isNotNull().cast("long").alias("level"))
-    while True:
-        far = now.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("level").alias("level2"))
-        new = saved(now.join(far, "to").select("node", F.col("to2").alias("to"), (F.col("level") + F.col("level2")).alias("level"), (F.col("to") != F.col("to2")).alias("moved")), "roots")
-        moved = not new.where("moved").isEmpty()
-        now = new.drop("moved")
-        if not moved:
-            return now.select("node", F.col("to").alias("root"), "level")
+def roots(parents: DataFrame) -> DataFrame:
+    """parents: (node, parent), parent null at roots (which may also have no row), stored. Returns (node, root, level): level counts hops to the root."""
+    links = parents.select(F.col("node").cast("long").alias("id"), F.col("parent").cast("long").alias("to"), F.col("parent").isNotNull().cast("long").alias("w"))
+    return _run(links).select(F.col("id").alias("node"), F.coalesce("to", "id").alias("root"), F.col("w").alias("level"))

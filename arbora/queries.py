@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from arbora.operators import bfs as search
 from arbora.operators import bridges as cut
 from arbora.operators import euler, generate, graph, lca, report, stats
-from arbora.operators.components import components, spanning_forest
+from arbora.operators.components import components, components_and_forest, spanning_forest, violations
 from arbora.plans import derive as d
 from arbora.plans.pointer import list_rank
 from arbora.plans.shared import saved
@@ -129,6 +129,26 @@ def q_spanning_forest_size(spark: SparkSession, sf: str, least: float = 45) -> D
     return spanning_forest(d.purchase_arcs(spark, sf, "part", least)).agg(F.count("*").alias("edges"))
 
 
+@query("q_spanning_forest")
+def q_spanning_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The minimum forest's edges over all lines. SQL would take a recursion for each round of hooking, too slow for all lines."""
+    return spanning_forest(d.purchase_arcs(spark, sf))
+
+
+@query("q_component_violations", "SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS node WHERE false")
+def q_component_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with the components and the forest of all lines: nothing, so no rows."""
+    arcs = saved(d.purchase_arcs(spark, sf), "arcs")
+    return violations(arcs, *components_and_forest(arcs))
+
+
+@query("q_bfs_direction", f"WITH RECURSIVE {arcs_sql()}, {BFS} SELECT bfs.v AS node, d AS distance, p AS parent FROM bfs LEFT JOIN par ON par.v = bfs.v")
+def q_bfs_direction(spark: SparkSession, sf: str) -> DataFrame:
+    """A search over all lines that goes up on the levels with many arcs."""
+    arcs = saved(d.purchase_arcs(spark, sf), "arcs")
+    return search.bfs(arcs, arcs.agg(F.min("src")).first()[0])
+
+
 def _search(spark: SparkSession, sf: str, least: float = 45) -> tuple[DataFrame, DataFrame]:
     arcs = saved(d.purchase_arcs(spark, sf, "supp", least), "arcs")
     return arcs, search.bfs(arcs, arcs.agg(F.min("src")).first()[0])
@@ -194,12 +214,25 @@ def q_graph_stats(spark: SparkSession, sf: str, least: float = 48) -> DataFrame:
 # --- tours and numberings --------------------------------------------------------------------
 
 
-@query("q_list_rank", "SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS \"rank\", o_orderkey AS id FROM orders")
-def q_list_rank(spark: SparkSession, sf: str) -> DataFrame:
+RANKED = 'SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS "rank", o_orderkey AS id FROM orders'
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
     """Orders chained by customer, then key: each points to the next."""
     own = saved(d.indexed(d.table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], "i"), "chain")
     after = own.select((F.col("i") - 1).alias("i"), F.col("o_orderkey").alias("next"))
-    return list_rank(own.join(after, "i", "left").select(F.col("o_orderkey").alias("id"), "next"))
+    return saved(own.join(after, "i", "left").select(F.col("o_orderkey").alias("id"), "next"), "chain")
+
+
+@query("q_list_rank", RANKED)
+def q_list_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return list_rank(_chain(spark, sf))
+
+
+@query("q_list_rank_split", RANKED)
+def q_list_rank_split(spark: SparkSession, sf: str) -> DataFrame:
+    """By splitters, and splitters of splitters, until 1000 are left."""
+    return list_rank(_chain(spark, sf), short=1000)
 
 
 def _tour(spark: SparkSession, sf: str, least: float = 45) -> tuple[DataFrame, int]:

@@ -17,6 +17,16 @@ def components(edges, nodes=()):
     return {v: top(v) for v in up}
 
 
+def minimum_forest(edges):
+    """Edges (small, large) in ascending order, but for those that close a cycle."""
+    out = []
+    for e in sorted({(min(x), max(x)) for x in edges if x[0] != x[1]}):
+        top = components(out, e)
+        if top[e[0]] != top[e[1]]:
+            out.append(e)
+    return out
+
+
 def bridges(edges):
     """Undirected edges {a, b} without which more components are left; parallel edges count as one."""
     simple = {frozenset(e) for e in edges if e[0] != e[1]}

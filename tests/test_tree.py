@@ -1,9 +1,11 @@
 """Tree operators against plain Python."""
 
+import random
+
 import brute
 import pytest
 from arbora.operators import euler, generate, lca, stats
-from arbora.operators.rmq import interval_minmax
+from arbora.operators.rmq import interval_minmax, levels
 from arbora.plans.pointer import list_rank, roots
 from arbora.plans.scan import indexed, prefix_sum
 from hypothesis import HealthCheck, given, settings
@@ -57,10 +59,9 @@ def test_tour_and_numbers_at_random(spark, parent):
     root = next(v for v, p in parent.items() if p is None)
     edges = [(p, v) for v, p in parent.items() if p is not None]
     tree = tree_of(spark, parent)
-    for limit in (None, 0):
-        if edges:
-            got = {(r.src, r.dst): r.rank for r in euler.euler_tour(euler.tree_edges(tree), root, limit).collect()}
-            assert got == brute.tour(edges, root)
+    if edges:
+        got = {(r.src, r.dst): r.rank for r in euler.euler_tour(euler.tree_edges(tree), root).collect()}
+        assert got == brute.tour(edges, root)
     rows = {r.node: r for r in euler.numbered_tree(tree).collect()}
     assert {v: r.level for v, r in rows.items()} == {v: len(brute.ancestors(parent, v)) - 1 for v in parent}
     assert {v: r.size for v, r in rows.items()} == {v: sum(v in brute.ancestors(parent, w) for w in parent) for v in parent}
@@ -92,14 +93,35 @@ def test_root_is_checked(spark):
         euler.root_of(tree_of(spark, {0: None, 1: None}))
 
 
-def test_list_rank_both_ways(spark):
+def test_list_rank_and_roots(spark):
     links = spark.createDataFrame([(5, 3), (3, 9), (9, 1), (1, None)], "id long, next long")
-    for limit in (None, 0):
-        assert {r.id: r.rank for r in list_rank(links, limit=limit).collect()} == {5: 0, 3: 1, 9: 2, 1: 3}
+    assert {r.id: r.rank for r in list_rank(links).collect()} == {5: 0, 3: 1, 9: 2, 1: 3}
     ring = spark.createDataFrame([(5, 3), (3, 9), (9, 5)], "id long, next long")
-    for limit in (None, 0):
-        assert {r.id: r.rank for r in list_rank(ring, head=9, limit=limit).collect()} == {9: 0, 5: 1, 3: 2}
-        assert {r.node: (r.root, r.level) for r in roots(links.toDF("node", "parent"), limit).collect()} == {5: (1, 3), 3: (1, 2), 9: (1, 1), 1: (1, 0)}
+    assert {r.id: r.rank for r in list_rank(ring, head=9).collect()} == {9: 0, 5: 1, 3: 2}
+    assert {r.node: (r.root, r.level) for r in roots(links.toDF("node", "parent")).collect()} == {5: (1, 3), 3: (1, 2), 9: (1, 1), 1: (1, 0)}
+
+
+def test_splitters_write_less(spark, monkeypatch):
+    """The same ranks with and without contraction; the rows that are written stay within a few times the list."""
+    from arbora.plans import pointer
+
+    n, rows = 4000, []
+    ids = random.Random(2).sample(range(10**9), n)
+    links = pointer.saved(spark.createDataFrame(list(zip(ids, [*ids[1:], None])), "id long, next long"))
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows.append(out.count())
+        return out
+
+    kept = pointer.saved
+    monkeypatch.setattr(pointer, "saved", counted)
+    want = dict(zip(ids, range(n)))
+    assert {r.id: r.rank for r in list_rank(links).collect()} == want
+    plain = sum(rows)
+    rows.clear()
+    assert {r.id: r.rank for r in list_rank(links, short=100).collect()} == want
+    assert sum(rows) < 4 * n < plain
 
 
 def test_scan(spark):
@@ -112,13 +134,19 @@ def test_scan(spark):
         total += r.v
 
 
-def test_interval_minmax_both_ways(spark):
+def test_interval_minmax(spark):
     values = spark.createDataFrame([(i, i * 5 % 11, i * 3 % 7) for i in range(11)], "pos long, lo long, hi long")
     asked = [(10 * a + b, a, b) for a in range(11) for b in range(a, 11)]
     df = spark.createDataFrame(asked, "key long, first long, last long")
     want = {k: (min(i * 5 % 11 for i in range(a, b + 1)), max(i * 3 % 7 for i in range(a, b + 1))) for k, a, b in asked}
-    for limit in (None, 0):
-        assert {r.key: (r.lo, r.hi) for r in interval_minmax(values, df, limit).collect()} == want
+    for width in (2, 3, 64):
+        assert {r.key: (r.lo, r.hi) for r in interval_minmax(values, df, width).collect()} == want
+
+
+def test_range_minima_take_linear_space(spark):
+    values = spark.range(5000).select(F.col("id").alias("pos"), F.col("id").alias("lo"), F.col("id").alias("hi"))
+    sizes = [x.select(F.sum(F.size("xs"))).first()[0] for x in levels(values, 16)]
+    assert sizes == [5000, 313, 20, 2]
 
 
 def test_generators(spark):
