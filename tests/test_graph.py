@@ -10,7 +10,7 @@ from arbora.plans.shared import saved
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-SLOW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+SLOW = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 EDGES = st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), min_size=1, max_size=24)
 
 
