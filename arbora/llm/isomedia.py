@@ -131,11 +131,8 @@ def _track(data: bytes, trak: dict) -> Track:
     stbl = _one(_one(mdia, b"minf"), b"stbl")
     a, b = _one(stbl, b"stsd")
     codec = next((kind.decode("latin-1") for kind, _, _ in boxes(data, a + 8, b)), "")
-    a, b = _one(stbl, b"stsz")
-    fixed, count = struct.unpack_from(">II", data, a + 4)
-    if count * fixed > len(data):
-        raise BadMedia("samples are larger than the container")
-    sizes = np.full(count, fixed, np.int64) if fixed else _numbers(data, a + 12, b, count, ">u4")
+    sizes = _sizes(data, stbl)
+    count = len(sizes)
     chunks = _table(data, stbl[b"stco"][0], 1)[:, 0] if b"stco" in stbl else _table(data, _one(stbl, b"co64"), 1, ">u8")[:, 0]
     runs = _table(data, _one(stbl, b"stsc"), 3)
     if len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > max(len(chunks), 1)):
@@ -151,13 +148,34 @@ def _track(data: bytes, trak: dict) -> Track:
         raise BadMedia("times and sizes disagree about the number of samples")
     length = np.repeat(steps[:, 1], steps[:, 0])
     keys = _table(data, stbl[b"stss"][0], 1)[:, 0] - 1 if b"stss" in stbl else np.arange(count)
-    if len(keys) and (keys.min() < 0 or keys.max() >= count) or count and (offsets + sizes).max() > len(data):
+    if len(keys) and (keys.min() < 0 or keys.max() >= count) or count and (chunks.min() < 0 or offsets.max() > len(data) or (offsets + sizes).max() > len(data)):
         raise BadMedia("a sample lies outside the container")
     return Track(track_id, handler, codec, timescale, duration, sizes, offsets, np.cumsum(length) - length, keys)
 
 
+def _sizes(data: bytes, stbl: dict) -> np.ndarray:
+    """Sizes of the samples: a table of words, one size for all, or a compact table of 4, 8 or 16 bits each."""
+    if b"stsz" not in stbl and b"stz2" in stbl:
+        a, b = _one(stbl, b"stz2")
+        bits, count = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+        if bits not in (4, 8, 16):
+            raise BadMedia(f"sizes of {bits} bits")
+        if bits > 4:
+            return _numbers(data, a + 12, b, count, f">u{bits // 8}")
+        pairs = _numbers(data, a + 12, b, (count + 1) // 2, ">u1")
+        return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:count]
+    a, b = _one(stbl, b"stsz")
+    fixed, count = struct.unpack_from(">II", data, a + 4)
+    if count * fixed > len(data):
+        raise BadMedia("samples are larger than the container")
+    return np.full(count, fixed, np.int64) if fixed else _numbers(data, a + 12, b, count, ">u4")
+
+
 def parse(data: bytes) -> list[Track]:
+    """The tracks of a container. Fragmented files keep samples outside these tables and are an error."""
     try:
+        if any(kind == b"moof" for kind, _, _ in boxes(data, 0, len(data))):
+            raise BadMedia("the file is fragmented")
         return [_track(data, t) for moov in tree(data, 0, len(data)).get(b"moov", []) for t in moov.get(b"trak", [])]
     except (struct.error, IndexError) as e:
         raise BadMedia("a box is cut short") from e

@@ -3,6 +3,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 from arbora.llm import common, isomedia, pii, suffix
 from conftest import prose
 from hypothesis import given, settings
@@ -87,6 +88,38 @@ def test_media_hostile(spark):
     assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5, 9007199254740993] and all(r.payload_sha256 is None for r in got)
 
 
+def _container(sizes_box, offset, samples):
+    """One chunk of `samples` samples whose first is said to lie at offset."""
+    box, full, pack = isomedia._box, isomedia._full, __import__("struct").pack
+    stbl = box(b"stbl", full(b"stsd", pack(">I", 0)), full(b"stts", pack(">III", 1, samples, 1)), full(b"stsc", pack(">IIII", 1, 1, samples, 1)), sizes_box, full(b"co64", pack(">IQ", 1, offset)))
+    mdia = box(b"mdia", full(b"mdhd", bytes(20)), full(b"hdlr", bytes(12)), box(b"minf", stbl))
+    return box(b"mdat", b"abcdefghijklmnop") + box(b"moov", box(b"trak", full(b"tkhd", bytes(80)), mdia))
+
+
+@pytest.mark.parametrize("offset", [2**63, 2**64 - 1, 2**63 - 1, 2**32, 10**6])
+def test_media_offsets_beyond_the_file(offset):
+    sizes = isomedia._full(b"stsz", __import__("struct").pack(">IIIII", 0, 3, 3, 4, 5))
+    (t,) = isomedia.parse(_container(sizes, 8, 3))
+    assert isomedia.payload(_container(sizes, 8, 3), t) == b"abcdefghijkl"
+    with pytest.raises(isomedia.BadMedia):
+        isomedia.parse(_container(sizes, offset, 3))
+
+
+def test_media_compact_sizes_and_fragments(spark):
+    box, full, pack = isomedia._box, isomedia._full, __import__("struct").pack
+    for bits, table in ((4, b"\x34\x50"), (8, b"\3\4\5"), (16, b"\0\3\0\4\0\5")):
+        data = _container(full(b"stz2", bytes(3), bytes([bits]), pack(">I", 3), table), 8, 3)
+        (t,) = isomedia.parse(data)
+        assert t.sizes.tolist() == [3, 4, 5] and isomedia.payload(data, t) == b"abcdefghijkl"
+    with pytest.raises(isomedia.BadMedia):
+        isomedia.parse(_container(full(b"stz2", bytes(3), b"\5", pack(">I", 3), b"\3\4\5"), 8, 3))
+    with pytest.raises(isomedia.BadMedia):
+        isomedia.parse(_container(full(b"stz2", bytes(3), b"\4", pack(">I", 30), b"\3\4\5"), 8, 3))
+    whole = _container(full(b"stsz", pack(">II", 4, 3)), 8, 3)
+    media = spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(whole + box(b"moof", box(b"traf"))))], "doc_id long, media binary")
+    assert {r.doc_id: r.error for r in isomedia.tracks(media).collect()} == {1: None, 2: "the file is fragmented"}
+
+
 def test_media_query_columns(spark, odd_docs, no_docs):
     rows = isomedia.digests(isomedia.to_media(odd_docs)).collect()
     texts = {(r.doc_id, r.text) for r in odd_docs.collect()}
