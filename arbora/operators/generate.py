@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.plans.pointer import roots
 from arbora.plans.scan import indexed
+from arbora.plans.shared import saved
 
 #: Knuth's multiplicative constant.
 KNUTH = 2654435761
@@ -31,22 +32,21 @@ def grasp_tree(order: DataFrame, grasp: int) -> DataFrame:
     return order.select(i.alias("node"), F.when(i > 0, i - 1 - F.pmod(F.col("key") * KNUTH + i, width)).alias("parent"))
 
 
-def scale_free_tree(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """(node, parent): a parent is taken in proportion to its degree.
+def scale_free_tree(order: DataFrame) -> DataFrame:
+    """(node, parent) from numbered keys (i, key), i from 0: a parent is taken in proportion to its degree.
 
-    Edge e (joining node e + 1 to its parent) copies a random end of the edges before it: end 2k is node k + 1 itself,
-    end 2k + 1 is the parent of node k + 1, which is followed by pointer doubling. Edge 0 joins nodes 1 and 0.
+    Edge e (joining node e + 1 to its parent) copies an end of the edges before it, number (key * KNUTH + e) mod 2e of
+    them: end 2k is node k + 1 itself, end 2k + 1 is the parent of node k + 1, which is followed by pointer jumping. Edge
+    0 joins nodes 1 and 0.
     """
-    e = F.col("id")
-    end = below(2 * e, e, F.lit(seed))
-    edges = spark.range(1, n - 1) if n > 2 else spark.range(0)
-    picks = edges.select(e, end.alias("end")).select(F.col("id").alias("node"), F.when(F.col("end") % 2 == 1, F.expr("end div 2")).alias("parent"), F.when(F.col("end") % 2 == 0, F.expr("end div 2 + 1")).alias("own"))
-    first = spark.range(1 if n > 1 else 0).select(F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("own"))
-    picks = picks.unionByName(first)
-    top = roots(picks).select("node", F.col("root").alias("r"))
-    own = picks.select(F.col("node").alias("r"), "own")
-    root = spark.range(min(n, 1)).select(F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"))
-    return top.join(own, "r").select((F.col("node") + 1).alias("node"), F.col("own").alias("parent")).unionByName(root)
+    e = F.col("i") - 1
+    end = F.when(e > 0, F.pmod(F.col("key") * KNUTH + e, 2 * e))
+    picks = order.where("i > 0").select(e.alias("node"), end.alias("end"))
+    own = F.when(F.col("node") == 0, 0).when(F.col("end") % 2 == 0, F.expr("end div 2 + 1")).cast("long")
+    picks = saved(picks.select("node", F.when(F.col("end") % 2 == 1, F.expr("end div 2")).alias("parent"), own.alias("own")), "picks")
+    top = roots(picks.select("node", "parent")).select("node", F.col("root").alias("r"))
+    ends = top.join(picks.select(F.col("node").alias("r"), "own"), "r").select((F.col("node") + 1).alias("node"), F.col("own").alias("parent"))
+    return ends.unionByName(order.where("i = 0").select(F.col("i").alias("node"), F.lit(None).cast("long").alias("parent")))
 
 
 def shuffled(tree: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -36,15 +36,21 @@ def to_csr(arcs: DataFrame, n: int) -> DataFrame:
     return prefix_sum(own, ["src"], "degree", "offset", exclusive=True).select("src", "offset", "degree")
 
 
+#: Neighbours in one row of adjacency lists.
+BLOCK = 1 << 16
+
+
 def from_csr(rows: DataFrame) -> DataFrame:
     """rows: (src, offset, nbrs). Returns (arc_id, src, dst) in stored order."""
     return rows.select("src", "offset", F.posexplode("nbrs").alias("p", "dst")).select((F.col("offset") + F.col("p")).alias("arc_id"), "src", "dst")
 
 
-def neighbour_lists(arcs: DataFrame) -> DataFrame:
-    """(src, offset, degree, nbrs) of the nodes that have arcs. For files and small graphs: a node's neighbours are one array."""
-    lists = arcs.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("nbrs")).withColumn("degree", F.size("nbrs").cast("long"))
-    return prefix_sum(lists, ["src"], "degree", "offset", exclusive=True).select("src", "offset", "degree", "nbrs")
+def neighbour_lists(arcs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(src, offset, degree, nbrs) of the nodes that have arcs. A hub is several rows: arcs are numbered over all nodes, and
+    a row ends where that number passes a multiple of `block`, so none holds more neighbours. degree: the row's own."""
+    own = numbered(arcs).groupBy("src", F.expr(f"arc_id div {block}").alias("block"))
+    lists = own.agg(F.min("arc_id").alias("offset"), F.array_sort(F.collect_list("dst")).alias("nbrs"))
+    return lists.select("src", "offset", F.size("nbrs").cast("long").alias("degree"), "nbrs")
 
 
 def component_sizes(nodes: DataFrame) -> DataFrame:

@@ -351,10 +351,16 @@ def q_tree_generate_grasp(spark: SparkSession, sf: str) -> DataFrame:
     return d.order_tree(spark, sf, 1000)
 
 
-@query("q_tree_scale_free")
+SCALE_FREE = f"""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_custkey AS key FROM orders),
+p AS (SELECT i - 1 AS e, CASE WHEN i > 1 THEN (key * {generate.KNUTH} + i - 1) % (2 * (i - 1)) END AS x FROM o WHERE i > 0),
+c(e, k) AS (SELECT e, e FROM p UNION ALL SELECT c.e, p.x // 2 FROM c JOIN p ON p.e = c.k WHERE p.x % 2 = 1)
+SELECT c.e + 1 AS node, CASE WHEN p.e = 0 THEN 0 ELSE p.x // 2 + 1 END AS parent FROM c JOIN p ON p.e = c.k WHERE p.e = 0 OR p.x % 2 = 0 UNION ALL SELECT 0, NULL WHERE EXISTS (SELECT 1 FROM o)"""
+
+
+@query("q_tree_scale_free", SCALE_FREE)
 def q_tree_scale_free(spark: SparkSession, sf: str) -> DataFrame:
-    """As many nodes as orders. The random numbers are Spark's hash, so there is no SQL."""
-    return generate.scale_free_tree(spark, d.table(spark, sf, "orders").count())
+    """A node for each order, whose customer picks the arc end that it copies."""
+    return generate.scale_free_tree(saved(d.numbered_orders(spark, sf), "orders"))
 
 
 @query("q_tree_generate_simple")

@@ -42,7 +42,7 @@ def read_dimacs(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
     """(n, arcs): arcs (src, dst, weight) from 0, as stored."""
     rows = lines(spark, path)
     top = rows.orderBy("at").first()
-    head = rows.where(F.col("line").rlike(r"^p\s")).collect()
+    head = rows.where(F.col("line").rlike(r"^p\s")).limit(2).collect()
     if top is None or "DIMACS" not in top["line"] or len(head) != 1:
         raise BadFile(f"{path}: not a road network")
     n, m = _fields(rows.where(F.col("line").rlike(r"^p\s")), r"^p\s+sp\s+(\d+)\s+(\d+)\s*$", ["n", "m"]).first()

@@ -138,6 +138,13 @@ def test_csr_round_trip(spark):
     assert [(r.arc_id, r.src, r.dst) for r in back] == [(r.arc_id, r.src, r.dst) for r in arcs.orderBy("arc_id").collect()]
 
 
+def test_hubs_are_several_rows(spark):
+    arcs = graph.symmetrise(arcs_of(spark, [(0, i) for i in range(1, 100)]))
+    rows = graph.neighbour_lists(arcs, block=16)
+    assert max(r.degree for r in rows.collect()) <= 16 and rows.where("src = 0").count() == 7
+    assert sorted(tuple(r) for r in graph.from_csr(rows).collect()) == sorted(tuple(r) for r in graph.numbered(arcs).collect())
+
+
 def test_largest_component(spark):
     arcs, names = graph.largest_component(arcs_of(spark, [(5, 9), (9, 12), (2, 2), (1, 3)]))
     assert {(r.old, r.new) for r in names.collect()} == {(5, 0), (9, 1), (12, 2)}

@@ -153,11 +153,19 @@ def test_generators(spark):
     for tree, grasp in ((generate.simple_tree(spark, 200, 10), 10), (generate.simple_tree(spark, 200), 200)):
         rows = {r.node: r.parent for r in tree.collect()}
         assert rows[0] is None and all(max(0, v - grasp) <= p < v for v, p in rows.items() if v)
-    free = {r.node: r.parent for r in generate.scale_free_tree(spark, 500).collect()}
+    def numbered(n):
+        return spark.range(n).select(F.col("id").alias("i"), F.expr("abs(hash(id)) % 1000").cast("long").alias("key"))
+
+    free = {r.node: r.parent for r in generate.scale_free_tree(numbered(500)).collect()}
     assert len(free) == 500 and free[0] is None and all(p < v for v, p in free.items() if v)
+    ends, want = [], {0: None}
+    for i, key in sorted(tuple(r) for r in numbered(500).collect())[1:]:
+        want[i] = ends[(key * generate.KNUTH + i - 1) % (2 * (i - 1))] if i > 1 else 0
+        ends += [i, want[i]]
+    assert free == want
     assert max(sum(p == v for p in free.values()) for v in free) > 15  # hubs
     new, names = generate.shuffled(tree)
     assert sorted(r.new for r in names.collect()) == list(range(200)) and new.where("parent is null").count() == 1
     assert generate.random_queries(spark, 10, 30).where((F.col("x") >= 10) | (F.col("y") < 0)).isEmpty()
     for n in (0, 1, 2):
-        assert generate.scale_free_tree(spark, n).count() == n
+        assert generate.scale_free_tree(numbered(n)).count() == n
