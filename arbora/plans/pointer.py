@@ -19,7 +19,7 @@ from .shared import saved
 #: One node of a list in so many is a splitter.
 EVERY = 8
 #: Shorter lists have so few rounds that contraction would only add some.
-SHORT = 1 << 17
+SHORT = 1 << 20
 
 
 def _run(links: DataFrame, stop: Callable[[Column], Column] | None = None) -> DataFrame:
