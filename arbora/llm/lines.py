@@ -67,9 +67,9 @@ def _pairs(hashes: Column) -> Column:
 
 
 def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
-    """Adds lines: (leaf, sig, tokens, m0...) of the text's distinct masked lines. Each step is a column of its own: lambdas evaluate what they repeat anew."""
-    df = df.withColumn("_own", F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _masked))
-    df = df.withColumn("_own", F.array_remove(F.array_distinct("_own"), ""))
+    """Adds sigs, the hash of each masked line in order, and lines: (leaf, sig, tokens, m0...) of the distinct ones. Each step is a column of its own: lambdas evaluate what they repeat anew."""
+    df = df.withColumn("_every", F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _masked))
+    df = df.withColumn("sigs", F.transform("_every", lambda x: F.xxhash64(x))).withColumn("_own", F.array_remove(F.array_distinct("_every"), ""))
     df = df.withColumn("_hashes", F.transform("_own", lambda x: F.transform(F.split(x, " "), lambda y: F.xxhash64(y))))
     df = df.withColumn("_sizes", F.transform("_hashes", F.size)).withColumn("_pairs", F.transform("_hashes", _pairs))
 
@@ -105,7 +105,10 @@ def _counted(rows: DataFrame) -> DataFrame:
     """(unit, n): how many families the documents of a unit make. rows: (unit, f0...), one or more for each document."""
     rows = common.saved(rows.select("unit", *[F.xxhash64("unit", F.lit(k), f"f{k}").alias(f"v{k}") for k in range(FAMILIES)]).distinct(), "line-families")
     roots = star_components(rows.select(F.col("v0").alias("a"), F.explode(F.array(*[f"v{k}" for k in range(1, FAMILIES)])).alias("b")))
-    return rows.select("unit", F.col("v0").alias("id")).distinct().join(roots, "id").select("unit", "root").distinct().groupBy("unit").agg(F.count("*").alias("n"))
+    units = rows.select("unit", F.col("v0").alias("id")).distinct().join(roots, "id").select("unit", "root").distinct().groupBy("unit").agg(F.count("*").alias("n"))
+    units = common.saved(units, "line-counts")
+    common.forget(rows, roots)
+    return units
 
 
 def _passages(marks: DataFrame, lines: DataFrame, p: LineParams) -> DataFrame:
@@ -138,16 +141,18 @@ def _passages(marks: DataFrame, lines: DataFrame, p: LineParams) -> DataFrame:
     rows = wanted.join(bodies, "body").withColumn("rest", F.filter("lines", lambda x, i: (i < F.col("a")) | (i > F.col("b"))))
     rows = rows.withColumn("rest", F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.col("lines")))
     rows = rows.select("unit", *[F.array_min(F.col("rest")[f"m{k}"]).alias(f"f{k}") for k in range(FAMILIES)])
-    found = wanted.join(_counted(rows).where(F.col("n") >= p.min_docs_long), "unit").select("body", F.explode(F.sequence("a", "b")).alias("at")).distinct()
+    counted = _counted(rows)
+    found = wanted.join(counted.where(F.col("n") >= p.min_docs_long), "unit").select("body", F.explode(F.sequence("a", "b")).alias("at")).distinct()
     out = common.saved(found.join(lone, ["body", "at"]).select("body", "leaf", "sig").distinct(), "line-passages")
-    common.forget(lone, runs, wanted)
+    common.forget(lone, runs, wanted, counted)
     return out
 
 
 def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marks, found, passages): (key, body, lines) of each document with the distinct (leaf, sig, tokens, m0...) of its lines; (leaf, sig) of the lines to drop; (body, leaf, sig) of those to drop from some documents."""
-    marks = _marks(docs.select(common.document_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")), "text", p)
-    marks = common.saved(marks.select("key", F.xxhash64(F.col("lines")["sig"]).alias("body"), "lines", *_two_least()), "line-marks")
+    """(marks, found, passages): (key, version, body, sigs, lines) of each document with the hashes of all its lines and the distinct (leaf, sig, tokens, m0...); (leaf, sig) of the lines to drop; (body, leaf, sig) of those to drop from some documents."""
+    texts = docs.select(common.document_key(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+    marks = _marks(texts, "text", p).select("key", "version", F.xxhash64(F.col("lines")["sig"]).alias("body"), "sigs", "lines", *_two_least())
+    marks = common.saved(marks, "line-marks")
 
     each = marks.select("body", F.explode("lines").alias("x"), *[f"t{k}" for k in range(FAMILIES)])
     lines = each.groupBy("x.leaf", "x.sig").agg(F.count("*").alias("n"), F.max("x.tokens").alias("tokens"), F.min("body").alias("x"), F.max("body").alias("y"))
@@ -156,16 +161,19 @@ def recurring(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "doc_
     leaves = lines.groupBy("leaf").agg(F.sum("n").alias("docs"), F.min("sig").alias("a"), F.max("sig").alias("b"), F.max("tokens").alias("tokens"))
     opened = leaves.where((F.col("a") != F.col("b")) & _enough(p, "docs") & (F.col("tokens") > p.lead)).select("leaf", "docs")
     opened = _varied(each, common.saved(opened, "line-leaves"))
-    shared = _templates(docs.select(F.col(text_col).alias("text")), lines, opened, p)
+    shared = _templates(texts, marks, lines, opened, p)
     whole = shared.groupBy("leaf").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens")).where(_enough(p)).select("leaf")
     asked = lines.where(_enough(p) & F.col("mixed")).select("leaf", "sig", "tokens", F.xxhash64(F.lit("line"), "leaf", "sig").alias("unit"))
     asked = asked.unionByName(shared.join(whole, "leaf").select("leaf", "sig", "tokens", F.xxhash64(F.lit("leaf"), "leaf").alias("unit")))
     asked = common.saved(asked, "line-units")
+    common.forget(shared)
     held = common.sieved(each.withColumn("sig", F.col("x.sig")), asked, "sig").select("x.leaf", "sig", *[f.alias(f"f{k}") for k, f in enumerate(_families())])
     counted = _counted(held.join(asked, ["leaf", "sig"]))
     found = common.saved(asked.join(counted, "unit").where(_enough(p)).select("leaf", "sig").distinct(), "line-templates")
-    common.forget(asked)
-    return marks, found, _passages(marks, lines, p)
+    common.forget(asked, counted)
+    passages = _passages(marks, lines, p)
+    common.forget(lines)
+    return marks, found, passages
 
 
 def _varied(each: DataFrame, opened: DataFrame) -> DataFrame:
@@ -173,17 +181,32 @@ def _varied(each: DataFrame, opened: DataFrame) -> DataFrame:
     held = common.sieved(each.withColumn("leaf", F.col("x.leaf")), opened, "leaf").select("leaf", *[f.alias(f"f{k}") for k, f in enumerate(_families())])
     ends = [e(f"f{k}").alias(f"{n}{k}") for k in range(FAMILIES) for n, e in (("a", F.min), ("b", F.max))]
     differ = " and ".join(f"a{k} <> b{k}" for k in range(FAMILIES))
-    return common.saved(opened.join(held.groupBy("leaf").agg(*ends).where(differ).select("leaf"), "leaf"), "line-leaves")
+    out = common.saved(opened.join(held.groupBy("leaf").agg(*ends).where(differ).select("leaf"), "leaf"), "line-leaves")
+    common.forget(opened)
+    return out
+
+
+def _flagged(marks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(key, version, flags): for each line of a text whether it is among those chosen of its document, so that nothing is masked anew. chosen: (key, sig)."""
+    chosen = chosen.groupBy("key").agg(F.collect_set("sig").alias("chosen"))  # the lines of one document
+    rows = common.sieved(marks.select("key", "version", "sigs"), chosen, "key").join(chosen, "key")
+    flags = F.transform("sigs", lambda x: F.array_contains("chosen", x))
+    return common.saved(rows.select("key", "version", flags.alias("flags")).dropDuplicates(["key", "version"]), "line-flags")
 
 
-def _templates(docs: DataFrame, lines: DataFrame, opened: DataFrame, p: LineParams) -> DataFrame:
-    """The rows of lines that share their leaf's template. docs: (text). opened: (leaf, docs) of the leaves that hold different lines."""
-    text = docs.select(F.explode(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), _masked)).alias("line")).where("line <> ''")
-    text = common.sieved(text.withColumn("leaf", leaf(F.col("line"), _size(F.col("line")), p)), opened, "leaf")
+def _templates(texts: DataFrame, marks: DataFrame, lines: DataFrame, opened: DataFrame, p: LineParams) -> DataFrame:
+    """The rows of lines that share their leaf's template. texts: (key, version, text). opened: (leaf, docs) of the leaves that hold different lines."""
     # First by leaf and sig, so that a line of many documents travels once for each task, and a leaf of many lines is spread.
-    text = text.groupBy("leaf", F.xxhash64("line").alias("sig")).agg(F.first("line").alias("line"))
-    text = text.join(lines.select("leaf", "sig", "n", "tokens"), ["leaf", "sig"])
-    text = common.saved(text.join(opened, "leaf"), "line-texts")
+    held = common.sieved(marks.select("key", F.explode("lines").alias("x")).select("key", "x.leaf", "x.sig"), opened, "leaf")
+    held = held.groupBy("leaf", "sig").agg(F.min("key").alias("key")).join(lines.select("leaf", "sig", "n", "tokens"), ["leaf", "sig"])
+    held = common.saved(held.join(opened, "leaf"), "line-leaves")
+    # The text of a line is read from one document that has it.
+    flags = _flagged(marks, held.select("key", "sig"))
+    text = common.sieved(texts, flags, "key").join(flags, ["key", "version"]).select(F.arrays_zip(F.split("text", "\n").alias("line"), "flags").alias("both"))
+    text = text.select(F.explode(F.filter("both", lambda z: z["flags"])).alias("z")).select(_masked(F.col("z.line")).alias("line"))
+    text = text.select("line", F.xxhash64("line").alias("sig"), leaf(F.col("line"), _size(F.col("line")), p).alias("leaf")).dropDuplicates(["leaf", "sig"])
+    text = common.saved(text.join(held.drop("key"), ["leaf", "sig"]), "line-texts")
+    common.forget(held, flags)
     spots = text.select("leaf", "sig", "n", "docs", F.posexplode(F.split("line", " ")).alias("place", "token")).where(F.col("place") >= p.lead)
     often = spots.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"), F.first("docs").alias("docs"))
     top = often.groupBy("leaf", "place").agg(F.max(F.struct("n", "token")).alias("t"), F.first("docs").alias("docs"))
@@ -203,21 +226,19 @@ def deduplicated(docs: DataFrame, p: LineParams = LineParams(), id_col: str = "d
     each = marks.select("key", F.explode("lines").alias("x")).select("key", "x.leaf", "x.sig")
     hits = common.sieved(each, found, "sig").join(found, ["leaf", "sig"]).select("key", "leaf", "sig")
     hits = hits.unionByName(marks.select("key", "body").distinct().join(passages, "body").select("key", "leaf", "sig"))
-    gone = common.saved(hits.groupBy("key").agg(F.collect_set("sig").alias("gone")), "line-hits")  # the lines of one document
+    flags = _flagged(marks, hits.select("key", "sig"))
     common.forget(marks, found, passages)
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(common.document_key(id_col, text_col).alias("key"), F.struct(*kept).alias("row"))
-    rows, others = common.parted(rows, gone, "key")  # documents without such a line aren't shuffled
-    rows = rows.join(gone, "key", "left").unionByName(others.withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType)))
-    text = F.when(F.col("gone").isNotNull(), F.col("row")[text_col])
-    rows = rows.withColumn("text", text).withColumn("mark", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_masked(x))))
-    # Lines and marks go into one array first: a column that only a lambda reads would be evaluated for each element.
-    rows = rows.withColumn("both", F.arrays_zip(F.split("text", "\n").alias("line"), "mark"))
-    rows = rows.withColumn("left", F.transform(F.filter("both", lambda z: ~F.array_contains("gone", z["mark"])), lambda z: z["line"]))
+    rows = docs.select(common.document_key(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("version"), F.struct(*kept).alias("row"))
+    rows, others = common.parted(rows, flags, "key")  # documents without such a line aren't shuffled
+    rows = rows.join(flags, ["key", "version"], "left").unionByName(others.withColumn("flags", F.lit(None).cast(flags.schema["flags"].dataType)))
     own = F.col("row")[text_col]
+    # Lines and flags go into one array first: a column that only a lambda reads would be evaluated for each element.
+    rows = rows.withColumn("both", F.arrays_zip(F.split(F.when(F.col("flags").isNotNull(), own), "\n").alias("line"), "flags"))
+    rows = rows.withColumn("left", F.transform(F.filter("both", lambda z: ~z["flags"]), lambda z: z["line"]))
     whole = F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n"), F.lit(""))) + 1
-    new = F.when(F.col("gone").isNotNull(), F.array_join("left", "\n")).otherwise(own)
+    new = F.when(F.col("flags").isNotNull(), F.array_join("left", "\n")).otherwise(own)
     n_lines = F.when(own.isNull() | (own == ""), 0).otherwise(whole).cast("long").alias("n_lines")
     n_dropped = F.coalesce(whole - F.size("left"), F.lit(0)).cast("long").alias("n_dropped")
     return rows.select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept], n_lines, n_dropped)
