@@ -11,7 +11,8 @@ judge the others. For each host, paths are cut into segments and go down a tree,
 * A node's purity is its share of blocked labels, smoothed with `smoothing` labels at its parent's purity; a host's
   parent is the whole table. URLs whose template has purity `reject` or more are blocked.
 
-What travels is one row for each distinct generalised path of a host, whatever the number of its URLs.
+What travels is one row for each distinct generalised path of a host, whatever the number of its URLs. Paths below a node
+whose labels are all alike, and those below lone children, take all their levels at once.
 
 Defined cases: null URLs and those without `://` have an empty host and path, fit no rule and are judged as the empty
 host; without any labels the purity is 0, so all is allowed; rows may repeat and ids may be null: each row is judged.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -89,21 +90,68 @@ def _stats(rows: DataFrame, keys: list[str], names: tuple[str, str, str]) -> Dat
     return rows.join(sums, keys)
 
 
+def _step(purity: Column, blocked: Column, labelled: Column, p: UrlParams) -> Column:
+    return (blocked + p.smoothing * purity) / (labelled + p.smoothing)
+
+
+def _unary(template: Column, levels: Column) -> Column:
+    """The template after levels at which all children are one merged branch."""
+    return F.concat(template, F.repeat(F.lit("/~"), levels))
+
+
+def _pure(rows: DataFrame, p: UrlParams) -> DataFrame:
+    """(host, segs, template, purity) of the paths at nodes whose labels are all alike, or that have none. There no child
+    differs from its parent, so each level down is one merged branch, with the labels of the paths that reach it."""
+    rows = rows.withColumn("len", F.size("segs"))
+    each = rows.groupBy("template", "len").agg(F.sum("labelled").alias("own"), *[F.first(c).alias(c) for c in ("k", "L", "B", "purity")])  # alike in a node
+    up, down = Window.partitionBy("template").orderBy("len"), Window.partitionBy("template").orderBy(F.desc("len"))  # a row for each length of a path
+    each = each.withColumn("reach", F.sum("own").over(down)).withColumn("steps", F.col("len") - F.coalesce(F.lag("len").over(up), F.col("k")))
+    each = each.withColumn("hit", F.when((F.col("B") > 0), F.col("reach")).otherwise(0))
+    nodes = each.groupBy("template").agg(F.first("purity").alias("purity"), F.array_sort(F.collect_list(F.struct("len", "steps", "reach", "hit"))).alias("lens"))
+
+    def further(a: Column, x: Column) -> Column:
+        end = F.when(x["steps"] > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(x["steps"], F.lit(1))), a["purity"], lambda q, _: _step(q, x["hit"], x["reach"], p))).otherwise(a["purity"])
+        return F.struct(end.alias("purity"), F.concat(a["ends"], F.array(F.struct(x["len"].alias("len"), end.alias("purity")))).alias("ends"))
+
+    start = F.struct(F.col("purity"), F.expr("cast(array() as array<struct<len: int, purity: double>>)").alias("ends"))
+    ends = nodes.select("template", F.explode(F.aggregate("lens", start, further)["ends"]).alias("e")).select("template", "e.len", F.col("e.purity").alias("purity"))
+    rows = rows.drop("purity").join(ends, ["template", "len"])
+    return rows.select("host", "segs", _unary(F.col("template"), F.col("len") - F.col("k")).alias("template"), "purity")
+
+
+def _jumped(rows: DataFrame, p: UrlParams) -> DataFrame:
+    """rows, further down as long as all paths of a node go on alike: a lone child doesn't differ from its parent either."""
+    ends = rows.groupBy("template").agg(F.min("segs").alias("low"), F.max("segs").alias("high"), *[F.first(c).alias(c) for c in ("k", "L", "B", "purity")])
+    differ = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    to = F.when(differ > 0, differ - 1).otherwise(F.size("low")).cast("int")
+    ends = ends.withColumn("to", to).where(F.col("to") > F.col("k"))
+    down = F.aggregate(F.sequence(F.lit(1), F.col("to") - F.col("k")), F.col("purity"), lambda q, _: _step(q, F.col("B"), F.col("L"), p))
+    rows = rows.join(ends.select("template", "to", down.alias("down")), "template", "left")
+    below = _unary(F.col("template"), F.coalesce(F.col("to") - F.col("k"), F.lit(0)))
+    return rows.select("host", "segs", "n", "labelled", "blocked", "L", "B", F.coalesce("down", "purity").alias("purity"), below.alias("template"), F.coalesce("to", "k").alias("k"))
+
+
 def templates(paths: DataFrame, p: UrlParams) -> DataFrame:
-    """paths: (host, segs, n, labelled, blocked), one row for each host and segs. Adds template and purity."""
+    """paths: (host, segs, n, labelled, blocked), one row for each host and segs. Adds template and purity.
+
+    A round goes a level down from the nodes with labels of both kinds where paths part; there are as many rounds as such
+    nodes lie under one another, however long the paths are."""
     labelled, blocked = paths.agg(F.sum("labelled"), F.sum("blocked")).first()
     top = blocked / labelled if labelled else 0.0
     rows = _stats(paths, ["host"], ("_n", "L", "B")).drop("_n")
-    rows = rows.withColumn("purity", (F.col("B") + F.lit(p.smoothing) * F.lit(top)) / (F.col("L") + p.smoothing)).withColumn("template", F.col("host"))
-    rows, ended, k = common.saved(rows, "paths"), [], 0
+    rows = rows.withColumn("purity", _step(F.lit(top), F.col("B"), F.col("L"), p)).withColumn("template", F.col("host")).withColumn("k", F.lit(0))
+    rows, ended = common.saved(rows, "paths"), []
     while True:
-        ended.append(rows.where(F.size("segs") <= k).select("host", "segs", "template", "purity"))
-        if len(ended) == 8:  # deep tables: keep the plan short
+        pure = (F.col("B") == 0) | (F.col("B") == F.col("L"))
+        ended.append(_pure(rows.where(pure), p))
+        rows = common.saved(_jumped(rows.where(~pure), p), "paths")
+        ended.append(rows.where(F.size("segs") <= F.col("k")).select("host", "segs", "template", "purity"))
+        if len(ended) >= 6:  # many rounds: keep the plan short
             ended = [common.saved(functools.reduce(DataFrame.unionByName, ended), "paths")]
-        rows = rows.where(F.size("segs") > k)
+        rows = rows.where(F.size("segs") > F.col("k"))
         if rows.isEmpty():
             return functools.reduce(DataFrame.unionByName, ended)
-        rows = rows.withColumn("seg", F.get("segs", F.lit(k)))
+        rows = rows.withColumn("seg", F.get("segs", F.col("k")))
         rows = _stats(rows, ["template", "seg"], ("cn", "_l", "_b")).drop("_l", "_b")
         rows = rows.withColumn("seg", F.when(F.col("cn") < p.min_child, "*").otherwise(F.col("seg"))).drop("cn")
         rows = _stats(rows, ["template", "seg"], ("_n", "cl", "cb")).drop("_n")
@@ -112,9 +160,8 @@ def templates(paths: DataFrame, p: UrlParams) -> DataFrame:
         alike = d * d <= CHI2 * (F.col("cl") * F.col("B") * (F.col("L") - F.col("B")))
         rows = rows.withColumn("seg", F.when(alike, "~").otherwise(F.col("seg"))).drop("cl", "cb")
         rows = _stats(rows.drop("L", "B"), ["template", "seg"], ("_n", "L", "B")).drop("_n")
-        rows = rows.withColumn("purity", (F.col("B") + p.smoothing * F.col("purity")) / (F.col("L") + p.smoothing))
+        rows = rows.withColumn("purity", _step(F.col("purity"), F.col("B"), F.col("L"), p)).withColumn("k", F.col("k") + 1)
         rows = common.saved(rows.withColumn("template", F.concat("template", F.lit("/"), "seg")).drop("seg"), "paths")
-        k += 1
 
 
 def judged(pages: DataFrame, p: UrlParams = UrlParams(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:

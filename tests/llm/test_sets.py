@@ -229,6 +229,23 @@ def test_deep_templates(spark):
     assert got["/a/b/c/d/e/shop/y7"] == "block" and got["/a/b/c/d/e/news/y7"] == "allow"
 
 
+def test_long_urls_against_sql(spark, rng, monkeypatch):
+    """Paths of up to 1000 segments, with labels of one kind, of both or none, that end or part anywhere; few rounds."""
+    rows = ["http://none.net/" + "s/" * 1000, "http://none.net/" + "s/" * 400 + "t", "http://x.com/de/" + "a/" * 600, "http://x.com/de/" + "a/" * 20, "http://y.com/fr/" + "b/" * 300]
+    rows += [f"http://example.org/en/{i % 3}/" + "x/" * 200 + ("y" if i % 2 else "z/z/z") for i in range(30)]  # blocked and allowed under one template
+    rows += [f"http://m.com/{rng.choice(['de', 'fr', 'it'])}/" + "/".join(rng.choice("ab") for _ in range(rng.randrange(6))) for _ in range(150)]
+    rows += [f"http://example.org/{rng.choice(['es', 'en/1', 'en/2', 'pt'])}/" + "/".join(rng.choice("ab") for _ in range(rng.randrange(5))) for _ in range(150)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    steps, stats = [], urls._stats
+    monkeypatch.setattr(urls, "_stats", lambda *a: steps.append(1) or stats(*a))
+    got = urls.judged(pages).select("page_id", "host", "path", "rule", "verdict", "template", "purity").collect()
+    assert len(steps) <= 1 + 3 * 12
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict, template, purity FROM ({urls.sql()})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_urls_empty(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
