@@ -20,10 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later work doesn't depend on executors that made it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

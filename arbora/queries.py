@@ -16,7 +16,9 @@ from arbora.operators import euler, generate, graph, lca, report, stats
 from arbora.operators.components import components, components_and_forest, spanning_forest, violations
 from arbora.plans import derive as d
 from arbora.plans.pointer import list_rank
-from arbora.plans.shared import saved
+from arbora.plans.shared import folder, saved
+from arbora.sources import store
+from arbora.streaming import lca_probe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,6 +335,38 @@ for _method in ("inlabel", "rmq", "climb"):
 query("q_lca_batched", lca_sql(d.order_tree_sql(-1), d.order_queries_sql()))(_lca("batched", lambda s, f: d.order_tree(s, f, -1), d.order_queries))
 
 
+@query("q_lca_stream", lca_sql(d.order_tree_sql(1000), d.order_queries_sql()))
+def q_lca_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of q_lca_inlabel as a stream, a micro-batch for each file, against an index that is built once."""
+    top = folder(spark, "lca-stream")
+    d.order_queries(spark, sf).repartition(4, "qid").write.parquet(f"{top}/pairs")
+    return lca_probe.drain(lca_probe.pairs(spark, f"{top}/pairs"), d.order_tree(spark, sf, 1000), f"{top}/answers", f"{top}/state")
+
+
+# --- files -----------------------------------------------------------------------------------
+
+
+@query("q_graph_file", f"""WITH {arcs_sql()}, names AS (SELECT u AS old, row_number() OVER (ORDER BY u) - 1 AS new FROM (SELECT DISTINCT u FROM arcs))
+SELECT row_number() OVER (ORDER BY s.new, t.new) - 1 AS arc_id, s.new AS src, t.new AS dst FROM arcs JOIN names s ON s.old = u JOIN names t ON t.old = v""")
+def q_graph_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph of all lines, nodes numbered from 0, written as compressed rows and read back."""
+    arcs = saved(d.purchase_arcs(spark, sf), "arcs")
+    names = saved(d.indexed(arcs.select(F.col("src").alias("old")).distinct(), ["old"], "new").select("old", F.col("new").cast("long").alias("new")), "names")
+    own = arcs.join(names.toDF("src", "s"), "src").join(names.toDF("dst", "t"), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
+    path = folder(spark, "graph-file")
+    store.write_graph(own, names.count(), path)
+    return store.read_graph(spark, path).select("arc_id", "src", "dst")
+
+
+@query("q_tree_file", f"SELECT t.node, t.parent, q.x, q.y FROM ({d.order_tree_sql(1000)}) t JOIN ({d.order_queries_sql()}) q ON q.qid = t.node")
+def q_tree_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree of orders with a pair for each, written as one test file and read back."""
+    path = folder(spark, "tree-file")
+    store.write_tree(d.order_tree(spark, sf, 1000), d.order_queries(spark, sf), path)
+    tree, pairs = store.read_tree(spark, path)
+    return tree.join(pairs, F.col("qid") == F.col("node")).select("node", "parent", "x", "y")
+
+
 # --- statistics, generators, reports ---------------------------------------------------------
 
 
