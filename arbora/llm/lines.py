@@ -22,6 +22,7 @@ by their text. All columns of the input stay, whatever their names, but for `n_l
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,6 +67,11 @@ def _pairs(hashes: Column) -> Column:
     return F.when(n > 0, F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: a.bitwiseXOR(F.shiftleft(b, 1)))).otherwise(hashes)
 
 
+def _turned(turn: int) -> Callable[[Column], Column]:
+    """For the hashes of a line. No default arguments in lambdas here: transform would give them the place of the element."""
+    return lambda line: F.transform(line, lambda x: x.bitwiseXOR(F.lit(turn)))
+
+
 def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
     """Adds sigs, the hash of each masked line in order, and lines: (leaf, sig, tokens, m0...) of the distinct ones. Each step is a column of its own: lambdas evaluate what they repeat anew."""
     df = df.withColumn("_every", F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _masked))
@@ -73,15 +79,15 @@ def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
     df = df.withColumn("_hashes", F.transform("_own", lambda x: F.transform(F.split(x, " "), lambda y: F.xxhash64(y))))
     df = df.withColumn("_sizes", F.transform("_hashes", F.size)).withColumn("_pairs", F.transform("_hashes", _pairs))
 
-    def minima(pairs: Column) -> list[Column]:
-        out = []
-        for turn in TURNS[: FAMILIES // 2]:
-            h = F.transform(pairs, lambda x, t=turn: x.bitwiseXOR(F.lit(t))) if turn else pairs
-            out += [F.array_min(h), F.bitwise_not(F.array_max(h))]
-        return [c.alias(f"m{k}") for k, c in enumerate(out)]
+    turned = [f"_turned{k}" for k in range(FAMILIES // 2)]
+    df = df.withColumns({name: F.transform("_pairs", _turned(turn)) if turn else F.col("_pairs") for name, turn in zip(turned, TURNS, strict=True)})
+
+    def minima(line: Column) -> list[Column]:
+        ends = [e for h in turned for e in (F.array_min(line[h]), F.bitwise_not(F.array_max(line[h])))]
+        return [c.alias(f"m{k}") for k, c in enumerate(ends)]
 
-    each = F.arrays_zip("_own", "_sizes", "_pairs")
-    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_own"], z["_sizes"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), z["_sizes"].alias("tokens"), *minima(z["_pairs"]))))
+    each = F.arrays_zip("_own", "_sizes", *turned)
+    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_own"], z["_sizes"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), z["_sizes"].alias("tokens"), *minima(z))))
 
 
 def _two_least() -> list[Column]:
