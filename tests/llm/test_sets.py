@@ -370,22 +370,3 @@ def test_lines_odd(spark, odd_docs, no_docs):
     texts = sorted((repr(r.text) for r in odd_docs.collect()))
     assert sorted(repr(r.text) for r in rows) == texts and set(lines.deduplicated(odd_docs).columns) == {*odd_docs.columns, "n_dropped"}
     assert lines.deduplicated(no_docs).collect() == []
-
-
-def test_minima_of_a_line(spark):
-    """Both ends of the pairs' hashes, plain and turned by a fixed value wherever the pair stands."""
-    texts = ["one two three four five six seven eight nine ten", "lone", "a b\nb a b a"]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    marks = lines._marks(docs, "text", lines.LineParams()).select("text", "lines").collect()
-    words = sorted({w for t in texts for w in t.split()})
-    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-
-    def wrap(x):
-        return (x + 2**63) % 2**64 - 2**63
-
-    for r in marks:
-        for line, got in zip(r.text.split("\n"), r.lines, strict=True):
-            h = [hashed[w] for w in line.split()]
-            pairs = [a ^ wrap(b << 1) for a, b in zip(h[:-1], h[1:], strict=True)] or h
-            want = [e for turn in lines.TURNS for e in (min(p ^ turn for p in pairs), ~max(p ^ turn for p in pairs))]
-            assert [got[f"m{k}"] for k in range(lines.FAMILIES)] == want
