@@ -63,6 +63,13 @@ def test_marking_on_a_deep_tree(spark, strategy):
         assert got == {x for x, f in want.items() if f and x[0] < x[1]}
 
 
+def test_large_components_are_no_tasks(spark, monkeypatch):
+    """Components of more arcs than a task of the local strategy may hold are solved too, beside small ones."""
+    monkeypatch.setattr(cut, "LOCAL_ARCS", 6)
+    edges = CASES["two cycles and an edge"] + [(20, 21), (21, 22), (22, 20)] + [(30, 31)]
+    assert flags(cut.bridges(arcs_of(spark, edges), "local")) == expected(edges)
+
+
 def test_bridges_golden(spark):
     """The four-node example: offsets 0 2 5 7 8, columns 1 2 0 2 3 0 1 1."""
     rows = [(0, 0, 1), (1, 0, 2), (2, 1, 0), (3, 1, 2), (4, 1, 3), (5, 2, 0), (6, 2, 1), (7, 3, 1)]
