@@ -53,6 +53,15 @@ def test_lca_golden(spark):
         assert [r.lca for r in out.orderBy("qid").collect()] == [3, 0, 1]
 
 
+def test_batches_are_few_jobs(spark, monkeypatch):
+    """20 batches of one id each are dealt to JOBS jobs."""
+    q, jobs = spark.range(20).select(F.col("id").alias("qid"), F.col("id").alias("x"), F.col("id").alias("y")), []
+    monkeypatch.setattr(lca, "by_inlabel", lambda part, nodes, paths: part.withColumn("lca", F.col("x")))
+    monkeypatch.setattr(lca, "saved", lambda df, name: jobs.append(name) or df)
+    assert sorted(r.qid for r in lca.batches(q, None, None, 1).collect()) == list(range(20))
+    assert len(jobs) == lca.JOBS
+
+
 @SLOW
 @given(trees())
 def test_tour_and_numbers_at_random(spark, parent):
