@@ -197,6 +197,26 @@ def test_eccentricities_of_many_masks(spark, monkeypatch):
     assert got == {v: max(brute.distances(edges, v).values()) for v in range(150)}
 
 
+def test_fringe_is_searched_by_its_guards(spark, monkeypatch):
+    """40 hairs on a cycle of 8 are searched by way of 8 nodes, which bound them; two of one end are searched themselves."""
+    asked = []
+
+    def counted(arcs, starts, enough=None):
+        asked.append(starts.distinct().count())
+        return kept(arcs, starts, enough)
+
+    kept = search.eccentricities
+    monkeypatch.setattr(search, "eccentricities", counted)
+    hairs = [(i % 8, 100 + i) for i in range(40)]
+    edges = [(i, (i + 1) % 8) for i in range(8)] + hairs
+    nodes = spark.createDataFrame([(b,) for _, b in hairs], "node long")
+    assert search.widest(arcs_of(spark, edges), nodes, 6) == max(max(brute.distances(edges, b).values()) for _, b in hairs) == 6
+    assert asked == [8, 0]
+    asked.clear()
+    assert search.widest(arcs_of(spark, edges), nodes, 0) == 6
+    assert asked[0] == 8 and search.diameter_bounds(arcs_of(spark, edges)) == (6, 6)
+
+
 def test_diameter_of_a_cycle(spark):
     """Nodes far from the centre have to be searched."""
     assert search.diameter_bounds(arcs_of(spark, [(i, (i + 1) % 9) for i in range(9)])) == (4, 4)
