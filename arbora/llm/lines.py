@@ -47,7 +47,8 @@ class LineParams:
 
 def _masked(line: Column) -> Column:
     """The line with one space between tokens and <*> for tokens with a digit. Only lines with something to do are rewritten."""
-    spaced = F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))
+    odd = line.contains("  ") | line.rlike(r"[\t\x0B\f\r]")  # few lines have digits, fewer these
+    spaced = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line))
     return F.when(line.contains("  ") | line.rlike(r"[0-9\t\x0B\f\r]"), F.regexp_replace(spaced, r"(?<! )[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.trim(line))
 
 
@@ -73,15 +74,17 @@ def _marks(df: DataFrame, text_col: str, p: LineParams) -> DataFrame:
     df = df.withColumn("_hashes", F.transform("_own", lambda x: F.transform(F.split(x, " "), lambda y: F.xxhash64(y))))
     df = df.withColumn("_sizes", F.transform("_hashes", F.size)).withColumn("_pairs", F.transform("_hashes", _pairs))
 
-    def minima(pairs: Column) -> list[Column]:
-        out = []
-        for turn in TURNS[: FAMILIES // 2]:
-            h = F.transform(pairs, lambda x, t=turn: x.bitwiseXOR(F.lit(t))) if turn else pairs
-            out += [F.array_min(h), F.bitwise_not(F.array_max(h))]
+    turned = [f"_pairs{k}" if turn else "_pairs" for k, turn in enumerate(TURNS[: FAMILIES // 2])]
+    for c, turn in zip(turned, TURNS):
+        if turn:  # once for both ends; in the lambda below it would be evaluated for each
+            df = df.withColumn(c, F.transform("_pairs", lambda y: F.transform(y, lambda x, t=turn: x.bitwiseXOR(F.lit(t)))))
+
+    def minima(z: Column) -> list[Column]:
+        out = [c for h in turned for c in (F.array_min(z[h]), F.bitwise_not(F.array_max(z[h])))]
         return [c.alias(f"m{k}") for k, c in enumerate(out)]
 
-    each = F.arrays_zip("_own", "_sizes", "_pairs")
-    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_own"], z["_sizes"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), z["_sizes"].alias("tokens"), *minima(z["_pairs"]))))
+    each = F.arrays_zip("_own", "_sizes", *dict.fromkeys(["_pairs", *turned]))
+    return df.withColumn("lines", F.transform(each, lambda z: F.struct(leaf(z["_own"], z["_sizes"], p).alias("leaf"), F.xxhash64(z["_own"]).alias("sig"), z["_sizes"].alias("tokens"), *minima(z))))
 
 
 def _two_least() -> list[Column]:

@@ -370,3 +370,11 @@ def test_lines_odd(spark, odd_docs, no_docs):
     texts = sorted((repr(r.text) for r in odd_docs.collect()))
     assert sorted(repr(r.text) for r in rows) == texts and set(lines.deduplicated(odd_docs).columns) == {*odd_docs.columns, "n_dropped"}
     assert lines.deduplicated(no_docs).collect() == []
+
+
+def test_turned_hashes_are_made_once(spark):
+    """The turned hashes of a line's pairs serve both their least and their greatest value: one turn in the plan beside that of neighbours."""
+    df = spark.range(1).select(F.concat(F.lit("a b  c\td\ne f"), F.substring(F.col("id").cast("string"), 2, 1)).alias("text"))  # no constant
+    marks = lines._marks(df, "text", lines.LineParams())
+    assert marks._jdf.queryExecution().optimizedPlan().toString().count(" ^ ") == 2
+    assert [r.x for r in marks.select(F.explode("_every").alias("x")).collect()] == ["a b c d", "e f"]
