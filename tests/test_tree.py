@@ -53,6 +53,18 @@ def test_lca_golden(spark):
         assert [r.lca for r in out.orderBy("qid").collect()] == [3, 0, 1]
 
 
+def test_climbing_takes_paths(spark, monkeypatch):
+    """In a path of 400 nodes with hairs, climbing stores tables for log log n powers of two, not for each of log n; repeated ids keep their pairs."""
+    parent = {i: i - 1 if i else None for i in range(400)} | {1000 + i: i for i in range(0, 400, 7)}
+    nodes, names, store = lca.index(tree_of(spark, parent))[0], [], lca.saved
+    monkeypatch.setattr(lca, "saved", lambda df, name: names.append(name) or store(df, name))
+    pairs = [(x, y) for x in (0, 13, 399, 1007, 1399) for y in (0, 250, 399, 1000, 1007, 1392)]
+    q = spark.createDataFrame([(i // 2, x, y) for i, (x, y) in enumerate(pairs)], "qid long, x long, y long")
+    got = lca.by_climbing(q, nodes).collect()
+    assert sorted((r.qid, r.x, r.y, r.lca) for r in got) == sorted((i // 2, x, y, brute.lca(parent, x, y)) for i, (x, y) in enumerate(pairs))
+    assert names.count("climb") <= 6
+
+
 def test_batches_are_few_jobs(spark, monkeypatch):
     """20 batches of one id each are dealt to JOBS jobs."""
     q, jobs = spark.range(20).select(F.col("id").alias("qid"), F.col("id").alias("x"), F.col("id").alias("y")), []
