@@ -8,6 +8,7 @@ from arbora.operators import euler, generate, lca, stats
 from arbora.operators.rmq import interval_minmax, levels
 from arbora.plans.pointer import list_rank, roots
 from arbora.plans.scan import indexed, prefix_sum
+from arbora.plans.shared import saved
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -100,6 +101,30 @@ def test_lca_at_random(spark, parent):
     assert answers(lca.by_range_minimum(q, tree)) == want
 
 
+@SLOW
+@given(trees())
+def test_search_trees_at_random(spark, parent):
+    """A search tree's levels give the tour that list ranking gives, with nodes that turn to smaller children last."""
+    root = next(v for v, p in parent.items() if p is None)
+
+    def depth(v):
+        return 0 if parent[v] is None else 1 + depth(parent[v])
+
+    found = saved(spark.createDataFrame([(v, depth(v), p) for v, p in parent.items()], "node long, distance long, parent long"))
+    ranked = euler.visits(euler.tree_edges(tree_of(spark, parent)), root) if len(parent) > 1 else found.limit(0)
+    assert sorted(map(tuple, euler.search_visits(found, root).select("parent", "node", "down", "up", "level").collect())) == sorted(map(tuple, ranked.select("parent", "node", "down", "up", "level").collect() if len(parent) > 1 else []))
+
+
+def test_search_trees_rank_no_list(spark, monkeypatch):
+    parent = {0: None, 5: 0, 3: 5, 9: 5, 7: 9, 2: 9, 8: 7}
+    found = saved(spark.createDataFrame([(v, d, parent[v]) for v, d in ((0, 0), (5, 1), (3, 2), (9, 2), (7, 3), (2, 3), (8, 4))], "node long, distance long, parent long"))
+    monkeypatch.setattr(euler, "sums_to_tail", None)
+    assert {r.node: (r.down, r.up) for r in euler.search_visits(found, 0).collect()} == {5: (0, 11), 3: (1, 2), 9: (3, 10), 7: (4, 7), 8: (5, 6), 2: (8, 9)}
+    with pytest.raises(TypeError):
+        monkeypatch.setattr(euler, "FLAT", 3)
+        euler.search_visits(found, 0)
+
+
 def test_deep_path(spark):
     parent = {0: None} | {i: i - 1 for i in range(1, 300)}
     tree = tree_of(spark, parent)
