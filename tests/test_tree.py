@@ -6,6 +6,7 @@ import brute
 import pytest
 from arbora.operators import euler, generate, lca, stats
 from arbora.operators.rmq import interval_minmax, levels
+from arbora.plans import scan
 from arbora.plans.pointer import list_rank, roots
 from arbora.plans.scan import indexed, prefix_sum
 from arbora.plans.shared import saved
@@ -180,6 +181,11 @@ def test_scan(spark):
         total += r.v
 
 
+def test_row_numbers_run_no_python(spark, monkeypatch):
+    monkeypatch.setattr(scan, "_summed", None)
+    assert sorted(map(tuple, indexed(spark.range(0, 50, 5).repartition(3), ["id"], "i").collect())) == [(5 * i, i) for i in range(10)]
+
+
 def test_interval_minmax(spark):
     values = spark.createDataFrame([(i, i * 5 % 11, i * 3 % 7) for i in range(11)], "pos long, lo long, hi long")
     asked = [(10 * a + b, a, b) for a in range(11) for b in range(a, 11)]
